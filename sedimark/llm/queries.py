@@ -5,12 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedimark.llm import encode, leak, neardup, rank
+from sedimark.llm import encode, leak, neardup, nearest, rank
 from sedimark.sources.tables import table
 
 SCORES = ["vector_score", "fts_score", "graph_score"]
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    found = nearest.nearest(table(spark, folder, "chunks"), k=5, min_similarity=0.8)
+    return found.select(F.least("id", "other").alias("chunk_a"), F.greatest("id", "other").alias("chunk_b")).distinct()
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return rank.leximin_top(table(spark, folder, "ranked_chunks"), "query_id", "chunk_id", SCORES, 5).select("query_id", "chunk_id")
 
@@ -40,7 +45,7 @@ def p9_items(spark: SparkSession, folder: str) -> DataFrame:
     return found.groupBy("item_id").agg(F.count("*").alias("documents"), F.max("words").alias("longest"))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_order, p7_found, p8_ids, p9_found, p9_items)}
+QUERIES = {f.__name__: f for f in (p4_found, p5_found, p5_order, p7_found, p8_ids, p9_found, p9_items)}
 
 _P5 = """
 WITH c AS (
