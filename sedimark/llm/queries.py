@@ -5,12 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedimark.llm import encode, leak, neardup, nearest, rank
+from sedimark.llm import encode, leak, markup, neardup, nearest, rank
 from sedimark.sources.tables import table
 
 SCORES = ["vector_score", "fts_score", "graph_score"]
 
 
+def _markup(spark: SparkSession, folder: str) -> DataFrame:
+    pages = markup.clean(table(spark, folder, "html_documents"), "file_id", "content", markup.host_of("path"))
+    chunks = markup.clean(table(spark, folder, "chunks"), "chunk_id", "content")
+    return pages.select(F.lit("html_documents").alias("table_name"), "*").unionByName(chunks.select(F.lit("chunks").alias("table_name"), "*"))
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _markup(spark, folder).select("table_name", F.col("id").alias("record_id"), F.explode("kinds").alias("kind")).distinct()
+
+
+def p3_text(spark: SparkSession, folder: str) -> DataFrame:
+    """The clean text of every record that holds markup."""
+    return _markup(spark, folder).where(F.size("kinds") > 0).select("table_name", F.col("id").alias("record_id"), "text").distinct()
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     found = nearest.nearest(table(spark, folder, "chunks"), k=5, min_similarity=0.8)
     return found.select(F.least("id", "other").alias("chunk_a"), F.greatest("id", "other").alias("chunk_b")).distinct()
@@ -45,7 +60,7 @@ def p9_items(spark: SparkSession, folder: str) -> DataFrame:
     return found.groupBy("item_id").agg(F.count("*").alias("documents"), F.max("words").alias("longest"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p5_found, p5_order, p7_found, p8_ids, p9_found, p9_items)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_text, p4_found, p5_found, p5_order, p7_found, p8_ids, p9_found, p9_items)}
 
 _P5 = """
 WITH c AS (
