@@ -14,7 +14,9 @@ them, unequally, then in some partition the sets share one of the bits that got
   count), the t + 1 cheapest bits of all; frequent partitions get none. That closed form is what
   ``allocate`` computes, with ties broken by one global order of bits, so that of two similar
   records both hold their first shared bit.
-- Probe: records meet at equal bits. Verify: on the whole shingle sets, exactly.
+- Probe: records meet at equal bits. With l - 1 more places, similar records share at least l of
+  them, which keeps out those that meet by chance.
+- Verify: on the whole shingle sets, exactly.
 
 Equal shingle sets are one class and are compared once.
 """
@@ -22,17 +24,21 @@ Equal shingle sets are one class and are compared once.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sedimark.llm.leak import words_of
 from sedimark.storage_paths import written
 
+#: Texts that are cut into shingles together.
+STEP = 4096
+#: Bits that two records must share among those with a place; each takes one place more.
+SHARED = 3
 #: Counters in the table of estimated candidate counts.
 COUNTERS = 1 << 20
 
@@ -66,79 +72,109 @@ def shingle_sets(texts: list[str | None], size: int, least: int) -> tuple[np.nda
     return row[new], s[new], count
 
 
-def allocate(row: np.ndarray, shingle: np.ndarray, cost: np.ndarray, similarity: float) -> np.ndarray:
-    """Which bits get a place: of each row's n shingles the n - ceil(s n) + 1 cheapest, ties by the shingle itself.
+def allocate(row: np.ndarray, shingle: np.ndarray, cost: np.ndarray, similarity: float, shared: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Which bits get a place, and how many of them a partner of their row shares at least.
 
-    A partner has at least s n shingles and shares at least s / (1 + s) (1 + s) n = s n of these n.
+    A row of n shingles shares at least o = ceil(s n) with each partner, so of its n - o + l cheapest
+    bits, ties by the shingle itself, both hold the first l shared ones; l is ``shared``, or o if less.
     """
     order = np.lexsort((shingle, cost, row))
     sizes = np.bincount(row) if len(row) else np.zeros(0, np.int64)
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64) if len(sizes) else np.zeros(0, np.int64)
     rank = np.arange(len(row)) - starts[row[order]]
-    places = sizes - np.ceil(sizes * similarity - 1e-9).astype(np.int64) + 1
-    return order[rank < places[row[order]]]
+    common = np.ceil(sizes * similarity - 1e-9).astype(np.int64)
+    need = np.maximum(1, np.minimum(shared, common))
+    at = order[rank < (sizes - common + need)[row[order]]]
+    return at, need[row[at]]
 
 
-def _counts(sets: DataFrame) -> np.ndarray:
-    """The number of records at each counter; the same size for any input. Each task sums up its own rows first."""
+def _keyed_sets(reps: DataFrame, size: int, least: int, run, schema: str) -> DataFrame:
+    """``run(cls, row, shingle)`` over the shingle sets of each batch of (cls, t). Sets are made anew from the texts, which are smaller."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTERS, np.int64)
-        for b in batches:
-            total += np.bincount(b.column(0).flatten().to_numpy(zero_copy_only=False) & (COUNTERS - 1), minlength=COUNTERS)
-        at = np.flatnonzero(total)
-        for i in range(0, len(at), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(at[i : i + 100_000] >> 6), pa.array(at[i : i + 100_000] & 63), pa.array(total[at[i : i + 100_000]])], names=["block", "at", "n"])
+    def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in rows:
+            for i in range(0, b.num_rows, STEP):
+                part = b.slice(i, STEP)
+                row, s, _ = shingle_sets(part.column(1).to_pylist(), size, least)
+                if len(row):
+                    yield run(part.column(0), row, s)
 
-    parts = sets.select("shingles").mapInArrow(run, "block long, at long, n long")
-    table = np.zeros(COUNTERS, np.int64)
-    got = parts.groupBy("block", "at").agg(F.sum("n").alias("n")).select((F.col("block") * 64 + F.col("at")).alias("i"), "n").toPandas()
-    table[got["i"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
-    return np.minimum(table, 2**31 - 1).astype(np.int32)
+    return reps.select("cls", "t").mapInArrow(batches, schema)
 
 
-def classes(rows: DataFrame, key: str, text: str, size: int, least: int) -> DataFrame:
-    """(cls, id, shingles): rows with at least ``least`` words; cls is the same for equal shingle sets."""
+def _lists(row: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, pa.ListArray]:
+    """The rows that have shingles, and their sets."""
+    starts = np.concatenate([[0], np.flatnonzero(np.diff(row)) + 1])
+    return row[starts], pa.ListArray.from_arrays(pa.array(np.append(starts, len(row)).astype(np.int32)), pa.array(s))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from hashlib import blake2b
 
-        for b in batches:
-            row, s, _ = shingle_sets(b.column(1).to_pylist(), size, least)
-            if not len(row):
-                continue
-            ends = np.append(np.flatnonzero(np.diff(row)) + 1, len(row))
-            starts = np.concatenate([[0], ends[:-1]])
-            cls = [blake2b(s[a:z].tobytes(), digest_size=16).digest() for a, z in zip(starts, ends)]
-            sets = pa.ListArray.from_arrays(pa.array(np.append(starts, len(row)).astype(np.int32)), pa.array(s))
-            yield pa.RecordBatch.from_arrays([pa.array(cls, pa.binary()), b.column(0).take(pa.array(row[starts])), sets], names=["cls", "id", "shingles"])
+def _counts(reps: DataFrame, size: int, least: int) -> np.ndarray:
+    """The number of records at each counter; the same size for any input.
 
-    return rows.select(F.col(key).cast("string").alias("id"), F.col(text).alias("t")).where(F.col("id").isNotNull() & F.col("t").isNotNull()).mapInArrow(run, "cls binary, id string, shingles array<long>")
+    Each task sums up its own rows; the tasks' tables are added as they stream by, in two steps.
+    """
 
+    def own(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
+        for b in rows:
+            for i in range(0, b.num_rows, STEP):
+                total += np.bincount(shingle_sets(b.column(0).slice(i, STEP).to_pylist(), size, least)[1] & (COUNTERS - 1), minlength=COUNTERS)
+        yield packed(total)
 
-def similar_classes(sets: DataFrame, similarity: float) -> DataFrame:
-    """(cls_a, cls_b): pairs of different classes whose shingle sets have at least this Jaccard similarity. ``sets``: each class once."""
-    spark = sets.sparkSession
-    table = spark.sparkContext.broadcast(_counts(sets))
+    def packed(total: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()], pa.binary())], names=["table"])
 
-    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cost = table.value
+    def added(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
+        for b in rows:
+            for t in b.column(0):
+                total += np.frombuffer(t.as_buffer(), np.int32)
+        yield packed(total)
+
+    parts = reps.select("t").mapInArrow(own, "table binary").repartition(32).mapInArrow(added, "table binary").repartition(1).mapInArrow(added, "table binary")
+    return np.frombuffer(parts.collect()[0][0], np.int32)
+
+
+def classes(rows: DataFrame, key: str, text: str, size: int, least: int) -> DataFrame:
+    """(cls, id, t): rows with at least ``least`` words; cls, 64 bits of a hash, is the same for equal shingle sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lists = b.column(1)
-            s = lists.flatten().to_numpy(zero_copy_only=False)
-            lengths = np.diff(lists.offsets.to_numpy())
-            row = np.repeat(np.arange(len(lengths)), lengths)
-            at = allocate(row, s, cost[s & (COUNTERS - 1)], similarity)
-            yield pa.RecordBatch.from_arrays([pa.array(s[at]), b.column(0).take(pa.array(row[at])), pa.array(lengths[row[at]].astype(np.int32))], names=["bit", "cls", "n"])
-
-    placed = sets.select("cls", "shingles").mapInArrow(bits, "bit long, cls binary, n int")
-    shared = placed.withColumn("c", F.count("*").over(W.partitionBy("bit"))).where(F.col("c") > 1).select("bit", "cls", "n")
-    a, b = shared.alias("a"), shared.alias("b")
-    fits = (F.col("a.n") >= F.col("b.n") * similarity) & (F.col("b.n") >= F.col("a.n") * similarity)
-    pairs = written(a.join(b, (F.col("a.bit") == F.col("b.bit")) & (F.col("a.cls") < F.col("b.cls")) & fits).select(F.col("a.cls").alias("cls_a"), F.col("b.cls").alias("cls_b")).distinct(), "probed")
-    needed = written(sets.join(pairs.select(F.explode(F.array("cls_a", "cls_b")).alias("cls")).distinct(), "cls", "left_semi"), "sets")
-    left = needed.select(F.col("cls").alias("cls_a"), F.col("shingles").alias("x"))
-    right = needed.select(F.col("cls").alias("cls_b"), F.col("shingles").alias("y"))
+            for i in range(0, b.num_rows, STEP):
+                part = b.slice(i, STEP)
+                row, s, _ = shingle_sets(part.column(1).to_pylist(), size, least)
+                if not len(row):
+                    continue
+                ends = np.append(np.flatnonzero(np.diff(row)) + 1, len(row))
+                starts = np.concatenate([[0], ends[:-1]])
+                cls = np.frombuffer(b"".join(blake2b(s[a:z].tobytes(), digest_size=8).digest() for a, z in zip(starts, ends)), np.int64)
+                at = pa.array(row[starts])
+                yield pa.RecordBatch.from_arrays([pa.array(cls), part.column(0).take(at), part.column(1).take(at)], names=["cls", "id", "t"])
+
+    return rows.select(F.col(key).cast("string").alias("id"), F.col(text).alias("t")).where(F.col("id").isNotNull() & F.col("t").isNotNull()).mapInArrow(run, "cls long, id string, t string")
+
+
+def similar_classes(reps: DataFrame, size: int, similarity: float, least: int) -> DataFrame:
+    """(cls_a, cls_b): pairs of different classes whose shingle sets have at least this Jaccard similarity. ``reps``: (cls, t), each class once."""
+    spark = reps.sparkSession
+    table = spark.sparkContext.broadcast(_counts(reps, size, least))
+
+    def bits(cls: pa.Array, row: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
+        at, need = allocate(row, s, table.value[s & (COUNTERS - 1)], similarity, SHARED)
+        return pa.RecordBatch.from_arrays([pa.array(s[at]), cls.take(pa.array(row[at])), pa.array(need.astype(np.int8))], names=["bit", "cls", "need"])
+
+    def sets(cls: pa.Array, row: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
+        at, lists = _lists(row, s)
+        return pa.RecordBatch.from_arrays([cls.take(pa.array(at)), lists], names=["cls", "shingles"])
+
+    placed = _keyed_sets(reps, size, least, bits, "bit long, cls long, need byte")
+    a, b = placed.alias("a"), placed.alias("b")
+    met = a.join(b, (F.col("a.bit") == F.col("b.bit")) & (F.col("a.cls") < F.col("b.cls"))).groupBy(F.col("a.cls").alias("cls_a"), F.col("b.cls").alias("cls_b")).agg(F.count("*").alias("n"), F.min(F.least("a.need", "b.need")).alias("need"))
+    pairs = written(met.where(F.col("n") >= F.col("need")).select("cls_a", "cls_b"), "probed")
+    needed = reps.join(pairs.select(F.explode(F.array("cls_a", "cls_b")).alias("cls")).distinct(), "cls", "left_semi")
+    known = written(_keyed_sets(needed, size, least, sets, "cls long, shingles array<long>"), "sets")
+    left = known.select(F.col("cls").alias("cls_a"), F.col("shingles").alias("x"))
+    right = known.select(F.col("cls").alias("cls_b"), F.col("shingles").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     return pairs.join(left, "cls_a").join(right, "cls_b").where(both >= similarity * (F.size("x") + F.size("y") - both) - 1e-9).select("cls_a", "cls_b")
 
@@ -152,8 +188,8 @@ def near_duplicates(rows: DataFrame, key: str = "chunk_id", text: str = "content
     """
     every = written(classes(rows, key, text, size, least), "classes")
     members = every.select("cls", "id").distinct()
-    sets = written(every.groupBy("cls").agg(F.first("shingles").alias("shingles")), "class-sets")
-    return members, similar_classes(sets, similarity)
+    reps = written(every.groupBy("cls").agg(F.first("t").alias("t")), "representatives")
+    return members, similar_classes(reps, size, similarity, least)
 
 
 def duplicate_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:

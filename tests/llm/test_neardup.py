@@ -67,7 +67,8 @@ def test_allocation_is_the_dynamic_programme():
         for p in range(parts):
             c = np.concatenate([[0], np.cumsum(np.sort(cost[part == p]))])
             best = {u: min(best[u - t] + int(c[t]) for t in range(len(c)) if u - t in best) for u in range(places + 1) if any(u - t in best for t in range(len(c)))}
-        at = allocate(np.zeros(n, np.int64), np.arange(n), cost, similarity)
+        at, need = allocate(np.zeros(n, np.int64), np.arange(n), cost, similarity)
+        assert (need == 1).all()
         assert len(at) == places and int(cost[at].sum()) == best[places]
 
 
