@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedimark.llm import encode, leak, markup, neardup, nearest, rank
+from sedimark.llm import encode, leak, markup, neardup, nearest, rank, subjects
 from sedimark.sources.tables import table
 
 SCORES = ["vector_score", "fts_score", "graph_score"]
@@ -60,7 +60,17 @@ def p9_items(spark: SparkSession, folder: str) -> DataFrame:
     return found.groupBy("item_id").agg(F.count("*").alias("documents"), F.max("words").alias("longest"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_text, p4_found, p5_found, p5_order, p7_found, p8_ids, p9_found, p9_items)}
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    model, occurrences = subjects.fit(table(spark, folder, "documents"), table(spark, folder, "subject_labels"), table(spark, folder, "subjects"))
+    return subjects.assign(model, occurrences).select("doc_id", "subject").distinct()
+
+
+def p10_composition(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents by subject."""
+    return p10_found(spark, folder).groupBy("subject").agg(F.count("*").alias("documents"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_text, p4_found, p5_found, p5_order, p7_found, p8_ids, p9_found, p9_items, p10_found, p10_composition)}
 
 _P5 = """
 WITH c AS (
