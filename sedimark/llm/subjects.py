@@ -28,8 +28,8 @@ from sedimark.storage_paths import written
 LABELLED = 50_000
 #: A term must be in this part of all documents, and in so many at least. At most (terms of a document) / TERM_SHARE terms pass.
 TERM_SHARE, TERM_LEAST = 0.0003, 5
-#: A term in this part of a language's documents belongs to none of its subjects; languages with fewer documents than this part of all aren't told apart.
-COMMON_SHARE, LANGUAGE_SHARE = 0.2, 0.005
+#: A term in this part of a language's documents, times what one subject would have of them, is common to all; languages with fewer documents than the second part of all aren't told apart.
+COMMON_SHARE, LANGUAGE_SHARE = 2.0, 0.005
 #: Weight of the free component beside the subjects'.
 FREE = 0.3
 #: Least part of a term's weight in one subject for the term to count in a sentence.
@@ -106,7 +106,7 @@ def _term_counts(docs: DataFrame, labelled: dict, names: list[str]) -> tuple[lis
     is_language = F.col("g").startswith("l")
     sums = [F.sum(F.when(is_language, F.col("n"))).alias("df"), *[F.coalesce(F.sum(F.when(F.col("g") == f"s{i}", F.col("n"))), F.lit(0)).alias(f"n{i}") for i in range(len(names))]]
     terms = counts.where(F.col("term") != "").groupBy("term").agg(*sums, part.alias("part"))
-    frequent = terms.where((F.col("df") >= max(TERM_LEAST, total * TERM_SHARE)) & (F.coalesce("part", F.lit(0.0)) < COMMON_SHARE)).drop("part").orderBy("term").collect()
+    frequent = terms.where((F.col("df") >= max(TERM_LEAST, total * TERM_SHARE)) & (F.coalesce("part", F.lit(0.0)) < min(0.9, COMMON_SHARE / max(1, len(names))))).drop("part").orderBy("term").collect()
     return [sizes.get(f"s{i}", 0) for i in range(len(names))], frequent
 
 
