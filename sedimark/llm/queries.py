@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedimark.llm import encode, leak, markup, neardup, nearest, rank, subjects
+from sedimark.llm import encode, leak, markup, neardup, nearest, rank, scans, subjects
 from sedimark.sources.tables import table
 
 SCORES = ["vector_score", "fts_score", "graph_score"]
@@ -41,6 +41,17 @@ def p5_order(spark: SparkSession, folder: str) -> DataFrame:
     return r.select("query_id", "chunk_id", "place", *[F.col("supports")[i].alias(s.replace("_score", "_support")) for i, s in enumerate(SCORES)])
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    docs = scans.documents(table(spark, folder, "pdf_documents"))
+    return scans.noise(docs, scans.fit(docs)).select(F.col("id").alias("file_id"), "page_no", "line_no", "kind")
+
+
+def p6_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
+    """The continuous text of every document."""
+    docs = scans.documents(table(spark, folder, "pdf_documents"))
+    return scans.paragraphs(docs, scans.fit(docs)).withColumnRenamed("id", "file_id")
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     members, pairs = neardup.near_duplicates(table(spark, folder, "chunks"), size=3, similarity=0.5, least=40)
     return neardup.duplicate_pairs(members, pairs).select(F.col("id_a").alias("chunk_a"), F.col("id_b").alias("chunk_b"))
@@ -70,7 +81,7 @@ def p10_composition(spark: SparkSession, folder: str) -> DataFrame:
     return p10_found(spark, folder).groupBy("subject").agg(F.count("*").alias("documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_text, p4_found, p5_found, p5_order, p7_found, p8_ids, p9_found, p9_items, p10_found, p10_composition)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_text, p4_found, p5_found, p5_order, p6_found, p6_paragraphs, p7_found, p8_ids, p9_found, p9_items, p10_found, p10_composition)}
 
 _P5 = """
 WITH c AS (
