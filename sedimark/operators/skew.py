@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sedimark.storage_paths import written
+
 #: A key is hot when it has more than this part of all rows; so at most 1 / HOT_PART keys are hot.
 HOT_PART = 0.01
+#: Fewer rows than this have no hot keys worth a plan of their own; which rows come out doesn't depend on it.
+LEAST_ROWS = 10_000
 
 
 def hot_keys(left: DataFrame, key: str, part: float = HOT_PART) -> list:
@@ -14,21 +18,24 @@ def hot_keys(left: DataFrame, key: str, part: float = HOT_PART) -> list:
 
     Rows are counted before the shuffle, so a hot key reaches the reducer as one row a task.
     """
-    counts = left.where(F.col(key).isNotNull()).groupBy(key).count()
-    total = counts.agg(F.sum("count")).first()[0] or 0
-    least = int(total * part)
-    return [] if total < 10_000 else [r[0] for r in counts.where(F.col("count") > least).select(key).collect()]
+    some = left.where(F.col(key).isNotNull()).select(key)
+    total = some.count()
+    if total < LEAST_ROWS:
+        return []
+    return [r[0] for r in some.groupBy(key).count().where(F.col("count") > int(total * part)).select(key).collect()]
 
 
-def join_unique(left: DataFrame, right: DataFrame, key: str, how: str = "left", part: float = HOT_PART) -> DataFrame:
+def join_unique(left: DataFrame, right: DataFrame, key: str, how: str = "left", part: float = HOT_PART, counted: DataFrame | None = None) -> DataFrame:
     """``left`` joined with ``right``, which has each ``key`` at most once.
 
     Rows of hot keys meet their at most ``1 / part`` rows of ``right`` by broadcast, where they lie;
     the others are shuffled. Null keys match nothing and stay for ``how='left'``. No row is dropped.
+    ``counted`` has the key's values at less cost than ``left``, such as the table it was made from.
     """
-    hot = hot_keys(left, key, part)
+    hot = hot_keys(left if counted is None else counted, key, part)
     if not hot:
         return left.join(right, key, how)
+    left = written(left, "split")
     is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
     few = right.where(F.col(key).isin(hot))
     return left.where(is_hot).join(F.broadcast(few), key, how).unionByName(left.where(~is_hot).join(right, key, how))
