@@ -65,16 +65,16 @@ def heading_text(c: Column) -> Column:
 
 
 def byte_range(c: Column, start: int, end: int) -> Column:
-    """The text of bytes [start, end); null where that isn't a proper range of the text."""
+    """The text of bytes [start, end); null where that isn't a proper range of the text or cuts a character."""
     n = F.octet_length(c)
-    part = F.decode(F.substring(F.encode(c, "utf-8"), start + 1, end - start), "utf-8")
+    part = F.try_validate_utf8(F.substring(F.encode(c, "utf-8"), start + 1, end - start).cast("string"))
     return F.when((F.lit(start) < n) & (F.lit(end) <= n) & F.lit(start < end), part)
 
 
 def last_sentences(c: Column, n: int) -> Column:
     """The last ``n`` sentences that aren't blank, as they stand, without leading space."""
     parts = F.filter(F.split(c, r"(?<=[.!?\n])"), lambda x: F.trim(F.regexp_replace(x, r"(?U)\s+", "")) != "")
-    return F.regexp_replace(F.array_join(F.slice(parts, -F.least(F.size(parts), F.lit(n)), n) if n else F.array(), ""), r"^(?U)\s+", "")
+    return F.regexp_replace(F.array_join(F.slice(parts, F.greatest(F.size(parts) - n + 1, F.lit(1)), n) if n else F.array().cast("array<string>"), ""), r"(?U)^\s+", "")
 
 
 def file_name(path: Column) -> Column:

@@ -66,19 +66,17 @@ def sentence_boundary(text: str, limit: int) -> int | None:
     raw = text.encode("utf-8", "surrogatepass")
     if len(raw) <= limit:
         return None
-    half, ends = max(limit // 2, 1), []
-    for at in range(half, limit):
+    cut = None
+    for at in range(limit - 1, max(limit // 2, 1) - 1, -1):
         c = raw[at]
         if c == 10:
-            ends.append((at, at > 0 and raw[at - 1] == 10))
-        elif c in b".!?" and at + 1 < limit and raw[at + 1 : at + 2] in (b" ", b"\n", b"\r", b"\t"):
-            ends.append((at + 1, False))
-    blank = [at for at, b in ends if b]
-    if blank and blank[-1] > limit // 2:
-        later = [at for at, _ in ends if at > blank[-1]]
-        return _character(raw, blank[-1] if later or len(ends) > 1 and ends[-1][0] != blank[-1] else ends[0][0])
-    if ends:
-        return _character(raw, ends[0][0])
+            if cut is not None and at and raw[at - 1] == 10:  # a blank line with a later boundary
+                return _character(raw, at if at > limit // 2 else cut)
+            cut = at
+        elif c in b".!?" and at + 1 < limit and raw[at + 1] in b" \n\r\t":
+            cut = at + 1
+    if cut is not None:
+        return _character(raw, cut)
     space = raw.find(b" ", limit // 2, limit)
     return _character(raw, space + 1 if space >= 0 else limit)
 

@@ -71,7 +71,11 @@ def structural_edges(chunks: DataFrame) -> DataFrame:
 
 def reference_matches(chunks: DataFrame) -> DataFrame:
     """(chunk_id, file_id, matched): what each pattern captures, trimmed; a text that two patterns capture comes out twice."""
-    found = F.flatten(F.array(*[F.transform(F.regexp_extract_all("content", F.lit(p), F.lit(1)), lambda x, i=i: F.struct(F.lit(i).alias("pattern"), F.trim(x).alias("matched"))) for i, p in enumerate(REFERENCE_PATTERNS)]))
+
+    def named(number: int):
+        return lambda x: F.struct(F.lit(number).alias("pattern"), F.trim(x).alias("matched"))
+
+    found = F.flatten(F.array(*[F.transform(F.regexp_extract_all("content", F.lit(p), F.lit(1)), named(i)) for i, p in enumerate(REFERENCE_PATTERNS)]))
     return _usable(chunks).where(F.col("content").isNotNull()).select("chunk_id", "file_id", F.explode(found).alias("m")).select("chunk_id", "file_id", "m.pattern", "m.matched").where(F.col("matched") != "")
 
 

@@ -56,18 +56,18 @@ class Query:
     any_term: bool = False
 
 
-def penalise(df: DataFrame, column: str, weight: float) -> DataFrame:
-    """Scores divided by 1 + weight for each further row of the result with the same value; null is a value."""
-    n = F.count("*").over(W.partitionBy(column))
+def penalise(df: DataFrame, column: str, weight: float, within: tuple[str, ...] = ()) -> DataFrame:
+    """Scores divided by 1 + weight for each further row of the result with the same value; null is a value. ``within`` names several results in one table."""
+    n = F.count("*").over(W.partitionBy(*within, column))
     return df.withColumn("score", F.col("score") / (1 + weight * (n - 1)))
 
 
-def rerank_by_heading(df: DataFrame) -> DataFrame:
-    return penalise(df, "heading", 0.15)
+def rerank_by_heading(df: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
+    return penalise(df, "heading", 0.15, within)
 
 
-def rerank_by_file(df: DataFrame) -> DataFrame:
-    return penalise(df, "file_id", 0.1)
+def rerank_by_file(df: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
+    return penalise(df, "file_id", 0.1, within)
 
 
 def context_windows(chunks: DataFrame, anchors: DataFrame, n: int = 3, key: str = "chunk_id") -> DataFrame:

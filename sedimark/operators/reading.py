@@ -62,12 +62,12 @@ def part(array: Column, skip: int, take: int) -> Column:
     return F.when(F.size(array) > skip, F.slice(array, skip + 1, take))
 
 
-def section(text: Column, heading: str) -> Column:
+def section(text: Column, heading: str | Column) -> Column:
     """The first heading's line of that name, in any case, and all lines up to the next heading of its level or above; null if there is none."""
     own = lines(text)
     heads = headings(text)
-    start = F.get(F.filter(heads, lambda h: F.lower(h["label"]) == heading.strip().lower()), F.lit(0))
-    # arrays are passed on in one struct, so that lambdas see columns of the row only once
+    wanted = F.lit(heading.strip().lower()) if isinstance(heading, str) else F.lower(F.trim(heading))
+    start = F.get(F.filter(heads, lambda h: F.lower(h["label"]) == wanted), F.lit(0))
     stop = F.array_min(F.transform(F.filter(heads, lambda h: (h["i"] > start["i"]) & (h["level"] <= start["level"])), lambda h: h["i"]))
     return F.when(start.isNotNull(), F.array_join(F.slice(own, start["i"] + 1, F.coalesce(stop, F.size(own)) - start["i"]), "\n"))
 
@@ -86,9 +86,7 @@ def two_level_outline(heads: Column) -> Column:
 
     def step(acc: Column, h: Column) -> Column:
         roots = F.filter(acc, lambda o: o["parent"].isNull())
-        last = F.element_at(roots, -1)
         parent = F.when((F.size(roots) > 0) & (F.try_element_at(roots, F.lit(-1))["level"] < h["level"]), F.try_element_at(roots, F.lit(-1))["pos"])
-        del last
         return F.concat(acc, F.array(F.struct(F.size(acc).alias("pos"), h["level"].alias("level"), h["label"].alias("label"), parent.alias("parent"))))
 
     return F.aggregate(heads, F.array().cast("array<struct<pos:int,level:int,label:string,parent:int>>"), step)

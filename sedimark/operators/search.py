@@ -121,7 +121,7 @@ def fts_search(chunks: DataFrame, query: str, k: int = 10, where: SearchFilter |
         raise InvalidQuery("no search terms")
     rows = where.apply(chunks) if where else chunks
     own = T.terms(F.col(content))
-    counted = rows.withColumn("_t", own).withColumns({"_n": F.size("_t"), **{f"_f{i}": F.size(F.filter("_t", lambda x, w=w: x == w)) for i, w in enumerate(wanted)}}).drop("_t")
+    counted = rows.withColumn("_t", own).withColumns({"_n": F.size("_t"), **{f"_f{i}": F.size(F.filter("_t", _is(w))) for i, w in enumerate(wanted)}}).drop("_t")
     stats = counted.agg(F.count("*").alias("n"), F.avg("_n").alias("mean"), *[F.count_if(F.col(f"_f{i}") > 0).alias(f"d{i}") for i in range(len(wanted))]).first()
     if not stats.n or not stats.mean:
         return rows.withColumn("fts_score", F.lit(0.0)).limit(0)
@@ -135,6 +135,10 @@ def fts_search(chunks: DataFrame, query: str, k: int = 10, where: SearchFilter |
     return counted.where(met).withColumn("fts_score", score).drop("_n", *[f"_f{i}" for i in range(len(wanted))]).orderBy(F.desc("fts_score"), F.asc(key)).limit(clamp(k))
 
 
+def _is(word: str):
+    return lambda x: x == F.lit(word)
+
+
 def _query_terms(query: str) -> list[str]:
     import regex
 
@@ -156,6 +160,18 @@ def fuse_rrf(lists: dict[str, DataFrame], k: int = 10, rank_constant: float = RR
     return fused.orderBy(F.desc("score"), F.asc(key)).limit(clamp(k))
 
 
+def fuse_rrf_by(rows: DataFrame, group: str, key: str, scores: list[str], k: int = 10, rank_constant: float = RRF_K) -> DataFrame:
+    """(group, key, score, place): the fusion of several scores for every group at once; a null or NaN score gives nothing.
+
+    Ranks need a group's rows in order, so groups are meant to be lists of candidates.
+    """
+    clean = rows.where(F.col(key).isNotNull()).groupBy(group, key).agg(*[F.max(F.when(~F.isnan(F.col(s).cast("double")), F.col(s).cast("double"))).alias(s) for s in scores])
+    ranked = clean.withColumns({f"_r{i}": F.when(F.col(s).isNotNull(), F.row_number().over(W.partitionBy(group).orderBy(F.desc_nulls_last(s), F.asc(key)))) for i, s in enumerate(scores)})
+    total = sum((F.coalesce(1.0 / (rank_constant + F.col(f"_r{i}")), F.lit(0.0)) for i in range(len(scores))), F.lit(0.0))
+    placed = ranked.withColumn("score", total).withColumn("place", F.row_number().over(W.partitionBy(group).orderBy(F.desc("score"), F.asc(key))))
+    return placed.where(F.col("place") <= clamp(k)).select(group, key, "score", "place")
+
+
 def hybrid_search(chunks: DataFrame, query: str, vector: Sequence[float], k: int = 10, where: SearchFilter | None = None, key: str = "chunk_id", content: str = "content", any_term: bool = False) -> DataFrame:
     """Both searches with the same filter, fused: (key, score, vector_score, fts_score)."""
     by_vector = vector_search(chunks, vector, k, where, key).select(key, "vector_score")

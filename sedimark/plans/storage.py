@@ -1,0 +1,140 @@
+"""Queries of stores, incremental indexing, change detection and the event stream."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sedimark.operators import embedding, graph, indexing, store
+from sedimark.sources import scan
+from sedimark.sources.tables import table
+from sedimark.streaming import watch
+
+
+def _scans(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The first and the last scan of every path."""
+    f = table(spark, folder, "file_meta").where(F.col("path").isNotNull())
+    keys = F.struct(F.coalesce("modified", F.lit(-1)).alias("m"), F.coalesce("last_indexed", F.lit(-1)).alias("l"), F.coalesce("hash", F.lit("")).alias("h"))
+    both = f.groupBy("path").agg(F.min(keys).alias("a"), F.max(keys).alias("b"))
+    return both.select("path", F.col("a.h").alias("hash"), F.col("a.m").alias("modified"), F.col("a.l").alias("last_indexed")), both.select("path", F.col("b.h").alias("hash"), F.col("b.m").alias("modified"))
+
+
+def store_latest_files(spark, folder):
+    """Upserts of all scans in order, that is each file's latest row."""
+    return graph.latest(table(spark, folder, "file_meta"), "file_id", "modified").select("file_id", "path", "size", "modified")
+
+
+def store_needs_update(spark, folder):
+    stored, scanned = _scans(spark, folder)
+    return store.needs_update(scanned, stored).select("path", "hash")
+
+
+def store_pending(spark, folder):
+    """Each file's latest state that isn't Indexed."""
+    s = graph.latest(table(spark, folder, "index_state"), "file_id", "last_indexed")
+    return s.select("file_id", F.lower(F.trim(F.regexp_replace("status", "\t", " "))).alias("status")).where(F.col("status") != "indexed")
+
+
+def store_known_contents(spark, folder):
+    """Chunks whose content and model another chunk has too."""
+    c = table(spark, folder, "chunks").select("chunk_id", F.sha2("content", 256).alias("h"), "model").distinct()
+    twin = c.groupBy("h", "model").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    return c.join(twin, ["h", "model"], "left_semi").select("chunk_id")
+
+
+def store_by_heading(spark, folder):
+    """Chunks by file and heading, null too, in the order of keys."""
+    c = graph.latest(table(spark, folder, "chunks"), "chunk_id")
+    return c.groupBy("file_id", "heading").agg(F.count("*").alias("chunks"), F.min("chunk_id").alias("first"))
+
+
+def store_delete(spark, folder):
+    """What is left of the chunks when files that were never scanned are deleted."""
+    c, f = table(spark, folder, "chunks"), table(spark, folder, "file_meta").select("file_id").distinct()
+    return c.join(f, "file_id", "left_semi").groupBy("file_id").agg(F.countDistinct("chunk_id").alias("chunks"))
+
+
+def store_edges(spark, folder):
+    """Edges of each node by direction and relation."""
+    e = graph.latest(table(spark, folder, "graph_edges"), "edge_id")
+    ends = F.array(F.struct(F.col("from_id").alias("id"), F.lit("Forward").alias("direction")), F.struct(F.col("to_id").alias("id"), F.lit("Backward").alias("direction")))
+    return e.select("relation", F.explode(ends).alias("x")).where(F.col("x.id").isNotNull()).groupBy("x.id", "x.direction", "relation").agg(F.count("*").alias("n"))
+
+
+def store_counts(spark, folder):
+    t = lambda name, key: table(spark, folder, name).select(key).where(F.col(key).isNotNull()).distinct()
+    return store.count_all(t("file_meta", "file_id"), t("chunks", "chunk_id"), t("graph_nodes", "id"), t("graph_edges", "edge_id"))
+
+
+def embed_missing(spark, folder):
+    """Chunks without a vector whose content no stored vector of the model has."""
+    c = graph.latest(table(spark, folder, "chunks"), "chunk_id").select("chunk_id", "content", "embedding", "model")
+    stored = c.where(F.col("embedding").isNotNull()).select(F.sha2("content", 256).alias("content_hash"), "model")
+    return embedding.missing(c.where(F.col("embedding").isNull()), stored, "tide-embed-l").select("chunk_id")
+
+
+def embed_report(spark, folder):
+    """An embedding run over all documents against those that share their text with an earlier one."""
+    d = table(spark, folder, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("text").alias("content"))
+    twins = d.where(F.col("content").isNotNull()).groupBy(F.sha2("content", 256).alias("content_hash")).agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    e = embedding.HashingEmbedder(8)
+    stored = twins.select("content_hash", F.lit(e.model).alias("model"), F.array(*[F.lit(0.0)] * 8).cast("array<float>").alias("embedding"))
+    return embedding.index_report(embedding.index_chunks(d, stored, e))
+
+
+def index_due(spark, folder):
+    """Scans whose file and hash have no success on record, as they are spelt."""
+    s = table(spark, folder, "index_state")
+    return indexing.to_process(table(spark, folder, "file_meta").select("file_id", "hash").distinct(), s).select("file_id", "hash")
+
+
+def index_report(spark, folder):
+    s = table(spark, folder, "index_state").select(F.regexp_replace("status", "\t", " ").alias("status"), F.lit(1).alias("chunks"))
+    return indexing.report(s)
+
+
+def watch_changes(spark, folder):
+    """Events between the first and the last scan, when the files of the first tenth of folders are new and those of 2023 gone."""
+    a, b = _scans(spark, folder)
+    before = a.where(~F.col("path").contains("/board/"))
+    after = b.where(~F.col("path").contains("/2023/") | F.col("path").contains("/ops/"))
+    return scan.changes(before.select("path", F.nullif("hash", F.lit("")).alias("hash")), after.select("path", F.nullif("hash", F.lit("")).alias("hash")))
+
+
+def watch_batches(spark, folder):
+    """Events of each kind by second."""
+    e = table(spark, folder, "events").select(F.col("event_type").alias("path"), F.col("ts").cast("timestamp").alias("ts"))
+    return watch.debounced(e, 3600).select("path", F.unix_millis("window_start").alias("window_ms"), "events")
+
+
+def watch_rate(spark, folder):
+    e = table(spark, folder, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
+    return watch.in_last_minute(e, "user_id", "ts", 86_400).select("event_id", "recent")
+
+
+QUERIES = {f.__name__: f for f in (store_latest_files, store_needs_update, store_pending, store_known_contents, store_by_heading, store_delete, store_edges, store_counts, embed_missing, embed_report, index_due, index_report, watch_changes, watch_batches, watch_rate)}
+
+_SCANS = "scans AS (SELECT path, min((coalesce(modified, -1), coalesce(last_indexed, -1), coalesce(hash, ''))) AS a, max((coalesce(modified, -1), coalesce(last_indexed, -1), coalesce(hash, ''))) AS b FROM file_meta WHERE path IS NOT NULL GROUP BY path)"
+_CHUNK = "chunk AS (SELECT DISTINCT ON (chunk_id) * FROM chunks WHERE chunk_id IS NOT NULL ORDER BY chunk_id, created_at DESC NULLS LAST)"
+_STATUS = r"lower(regexp_replace(status, '^\s+|\s+$', '', 'g'))"
+ORACLE = {
+    "store_latest_files": "SELECT file_id, path, size, modified FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY modified DESC NULLS LAST, path DESC NULLS LAST, hash DESC NULLS LAST, size DESC NULLS LAST) AS r FROM file_meta WHERE file_id IS NOT NULL) WHERE r = 1",
+    "store_needs_update": f"WITH {_SCANS} SELECT path, b[3] AS hash FROM scans WHERE a[3] <> b[3] OR a[1] <> b[1]",
+    "store_pending": f"SELECT file_id, {_STATUS} AS status FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY last_indexed DESC NULLS LAST, hash DESC NULLS LAST, status DESC NULLS LAST) AS r FROM index_state WHERE file_id IS NOT NULL) WHERE r = 1 AND {_STATUS} <> 'indexed'",
+    "store_known_contents": "WITH c AS (SELECT DISTINCT chunk_id, sha256(content) AS h, model FROM chunks) SELECT chunk_id FROM c WHERE (h, model) IN (SELECT (h, model) FROM c WHERE h IS NOT NULL AND model IS NOT NULL GROUP BY h, model HAVING count(*) > 1)",
+    "store_by_heading": f"WITH {_CHUNK} SELECT file_id, heading, count(*) AS chunks, min(chunk_id) AS first FROM chunk GROUP BY ALL",
+    "store_delete": "SELECT file_id, count(DISTINCT chunk_id) AS chunks FROM chunks WHERE file_id IN (SELECT file_id FROM file_meta) GROUP BY ALL",
+    "store_edges": "WITH e AS (SELECT DISTINCT ON (edge_id) * FROM graph_edges WHERE edge_id IS NOT NULL ORDER BY edge_id, created_at DESC NULLS LAST, from_id DESC NULLS LAST, to_id DESC NULLS LAST, relation DESC NULLS LAST) SELECT id, direction, relation, count(*) AS n FROM (SELECT from_id AS id, 'Forward' AS direction, relation FROM e UNION ALL SELECT to_id, 'Backward', relation FROM e) WHERE id IS NOT NULL GROUP BY ALL",
+    "store_counts": "SELECT (SELECT count(DISTINCT file_id) FROM file_meta) AS files, (SELECT count(DISTINCT chunk_id) FROM chunks) AS chunks, (SELECT count(DISTINCT id) FROM graph_nodes) AS nodes, (SELECT count(DISTINCT edge_id) FROM graph_edges) AS edges",
+    "embed_missing": f"WITH {_CHUNK} SELECT chunk_id FROM chunk WHERE embedding IS NULL AND NOT EXISTS (SELECT 1 FROM chunk o WHERE o.embedding IS NOT NULL AND o.model = 'tide-embed-l' AND sha256(o.content) = sha256(chunk.content))",
+    "embed_report": "SELECT count(*) AS total, count(*) FILTER (n = 1) AS embedded, count(*) FILTER (n > 1) AS skipped, 0::BIGINT AS failed FROM (SELECT count(*) OVER (PARTITION BY text) AS n FROM documents WHERE text IS NOT NULL)",
+    "index_due": "SELECT DISTINCT file_id, hash FROM file_meta f WHERE NOT EXISTS (SELECT 1 FROM index_state s WHERE s.file_id = f.file_id AND s.hash = f.hash AND lower(trim(status, ' ')) = 'indexed')",
+    "index_report": f"SELECT count(*) AS total, count(*) FILTER ({_STATUS} = 'indexed') AS indexed, count(*) FILTER ({_STATUS} = 'skipped') AS skipped, count(*) FILTER ({_STATUS} = 'failed') AS failed, count(*)::BIGINT AS chunks FROM index_state",
+    "watch_changes": f"""
+WITH {_SCANS}, a AS (SELECT path, nullif(a[3], '') AS h FROM scans WHERE NOT contains(path, '/board/')), b AS (SELECT path, nullif(b[3], '') AS h FROM scans WHERE NOT contains(path, '/2023/') OR contains(path, '/ops/')),
+gone AS (SELECT path, h, row_number() OVER (PARTITION BY h ORDER BY path) AS n FROM a WHERE path NOT IN (SELECT path FROM b)), new AS (SELECT path, h, row_number() OVER (PARTITION BY h ORDER BY path) AS n FROM b WHERE path NOT IN (SELECT path FROM a))
+SELECT 'Modified' AS event_type, b.path, NULL AS old_path, b.h AS hash FROM a JOIN b USING (path) WHERE a.h IS DISTINCT FROM b.h
+UNION ALL SELECT CASE WHEN g.path IS NULL THEN 'Created' WHEN w.path IS NULL THEN 'Deleted' ELSE 'Renamed' END, coalesce(w.path, g.path), CASE WHEN w.path IS NOT NULL THEN g.path END, coalesce(g.h, w.h) FROM gone g FULL JOIN new w ON g.h = w.h AND g.n = w.n""",
+    "watch_batches": "SELECT event_type AS path, epoch_ms(date_trunc('hour', ts)) AS window_ms, count(*) AS events FROM events GROUP BY ALL",
+    "watch_rate": "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 86399999999 PRECEDING AND CURRENT ROW) AS recent FROM events",
+}
