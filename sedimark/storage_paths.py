@@ -12,6 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: list[str] = []
+_WRITTEN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,6 +40,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -47,3 +49,12 @@ def filesystem(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def forget(spark: SparkSession) -> int:
+    """Deletes the tables that this process wrote with ``written``; results that still read them must be stored before. Their number."""
+    n = 0
+    while _WRITTEN:
+        fs, p = filesystem(spark, _WRITTEN.pop())
+        n += bool(fs.delete(p, True))
+    return n

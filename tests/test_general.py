@@ -107,3 +107,12 @@ def test_join_unique_with_hot_key(spark):
     assert got.groupBy("v").count().where("v is not null").orderBy("v").collect() == [(1, 10_000), (2, 1)]
     assert current_rows(left.withColumns({"h": F.lit("A"), "m": F.lit(1)}), "k", "h", "m").count() == 20_000
     assert changed(current_rows(left.withColumns({"h": F.lit("A"), "m": F.lit(1)}), "k", "h", "m"), spark.createDataFrame([("hot", "a")], "key string, hash string")).count() == 19_999
+
+
+def test_written_tables_can_be_forgotten(spark):
+    from sedimark.storage_paths import forget, shared_dir, written
+
+    forget(spark)
+    t = written(spark.range(3).selectExpr("id", "array(id) AS a"), "x")
+    assert t.count() == 3 and shared_dir(spark).startswith("file:")
+    assert forget(spark) == 1 and forget(spark) == 0
