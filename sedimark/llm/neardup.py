@@ -35,6 +35,8 @@ from pyspark.sql import functions as F
 from sedimark.llm.leak import words_of
 from sedimark.storage_paths import written
 
+#: Members of a class that one task pairs with as many others.
+BLOCK = 1000
 #: Texts that are cut into shingles together.
 STEP = 4096
 #: Bits that two records must share among those with a place; each takes one place more.
@@ -193,8 +195,16 @@ def near_duplicates(rows: DataFrame, key: str = "chunk_id", text: str = "content
 
 
 def duplicate_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(id_a, id_b), smaller first: every pair of different keys in one class or in similar classes."""
-    a, b = members.select("cls", F.col("id").alias("i")), members.select("cls", F.col("id").alias("j"))
-    inside = a.join(b, "cls").where(F.col("i") < F.col("j")).select("i", "j")
-    across = pairs.join(a.withColumnRenamed("cls", "cls_a"), "cls_a").join(b.withColumnRenamed("cls", "cls_b"), "cls_b").where(F.col("i") != F.col("j")).select("i", "j")
+    """(id_a, id_b), smaller first: every pair of different keys in one class or in similar classes.
+
+    This is as many rows as there are such pairs; ``near_duplicates`` itself is the short form. The
+    members of a large class are cut into blocks, and every two blocks meet in a task of their own.
+    """
+    blocks = members.groupBy("cls").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where(F.col("blocks") > 1)
+    placed = members.join(blocks, "cls", "left").select("cls", "id", F.coalesce("blocks", F.lit(1)).alias("blocks")).withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    met = placed.select("cls", "id", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    left, right = met.select("cls", F.col("id").alias("i"), F.col("mine").alias("x"), F.col("other").alias("y")), met.select("cls", F.col("id").alias("j"), F.col("other").alias("x"), F.col("mine").alias("y"))
+    inside = left.join(right, ["cls", "x", "y"]).where(F.col("i") < F.col("j")).select("i", "j")
+    a, b = members.select(F.col("cls").alias("cls_a"), F.col("id").alias("i")), members.select(F.col("cls").alias("cls_b"), F.col("id").alias("j"))
+    across = pairs.join(a, "cls_a").join(b, "cls_b").where(F.col("i") != F.col("j")).select("i", "j")
     return inside.unionByName(across).select(F.least("i", "j").alias("id_a"), F.greatest("i", "j").alias("id_b")).distinct()

@@ -52,6 +52,13 @@ def test_copies_are_one_class(spark):
     assert members.select("cls").distinct().count() == 1 and members.count() == 40 and pairs.count() == 0
 
 
+def test_blocks_of_a_large_class_lose_no_pair(spark, monkeypatch):
+    rows = [(f"c{i:02d}", "the same words in each of these many copies") for i in range(23)] + [("z", "the same words in each of these many copies here")]
+    whole = found(spark, rows)
+    monkeypatch.setattr("sedimark.llm.neardup.BLOCK", 4)
+    assert found(spark, rows) == whole == brute(rows, 5, 0.8, 0) and len(whole) == 24 * 23 // 2
+
+
 def test_empty(spark):
     assert found(spark, []) == set()
     assert found(spark, [("a", "too short"), ("b", None)]) == set()
