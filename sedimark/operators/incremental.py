@@ -1,8 +1,8 @@
 """Processing only new or changed records.
 
-The state is a table of (key, hash) in numbered version folders beside a pointer file. A run hashes
-its current rows, joins them with the version that the pointer names, works on what is new or
-changed, writes the next version whole, and moves the pointer by one rename. A run that fails
+The state is a table of (key, hash) in numbered versions beside a pointer file. A run hashes its
+current rows, joins them with the version that the pointer names, works on what is new or changed,
+writes those rows as a part of the next version, and moves the pointer by one rename. A run that fails
 before the rename leaves the old version in force, so its records come again; after it, they don't.
 """
 
@@ -58,71 +58,118 @@ def content_hash(columns: list[str]) -> Column:
     return F.sha2(F.concat(*parts), 256)
 
 
-class KeyedState:
-    """Versions of a (key, hash) table in a folder that all executors reach.
+class Versions:
+    """Numbered versions of a table in a folder: which parts make up each, and which is in force.
 
-    ``select`` gives a run's records, ``commit`` ends it. Between the two the caller processes the
-    records; that work should be idempotent by key, since a run that dies before ``commit`` is
-    repeated. Two runs at once: the one that commits second fails, as its base version is gone.
+    A version is a manifest that names folders of Parquet files, older parts first. ``publish`` moves
+    a staged folder to its place, writes the manifest, and then moves the pointer by one rename, so
+    readers see a version whole or not at all, and a run that dies in between leaves the old one.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
 
-    def _pointer(self) -> str:
-        return f"{self.folder}/CURRENT"
-
-    def version(self) -> int:
-        """The version in force; 0 before the first commit."""
-        fs, p = filesystem(self.spark, self._pointer())
+    def _read_text(self, name: str) -> str | None:
+        fs, p = filesystem(self.spark, f"{self.folder}/{name}")
         if not fs.exists(p):
-            return 0
+            return None
         stream = fs.open(p)
         try:
-            return int(bytes(stream.readAllBytes()).decode().strip())
+            return bytes(stream.readAllBytes()).decode()
         finally:
             stream.close()
 
+    def _write_text(self, name: str, text: str) -> None:
+        """Replaces a small file by one rename."""
+        jvm, jsc = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc
+        fs, _ = filesystem(self.spark, self.folder)
+        temp = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/_new-{uuid.uuid4().hex}")
+        out = fs.create(temp, True)
+        out.write(bytearray(text.encode()))
+        out.close()
+        option = jvm.org.apache.hadoop.fs.Options.Rename
+        options = self.spark.sparkContext._gateway.new_array(option, 1)
+        options[0] = option.OVERWRITE
+        jobs = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), jsc.hadoopConfiguration())
+        jobs.rename(temp, jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}"), options)
+
+    def current(self) -> int:
+        """The version in force; 0 before the first."""
+        return int(self._read_text("CURRENT") or 0)
+
+    def parts(self, version: int) -> list[str]:
+        """The paths of a version's parts."""
+        names = (self._read_text(f"MANIFEST-{version:08d}") or "").split() if version else []
+        return [f"{self.folder}/{n}" for n in names]
+
+    def stage(self, rows: DataFrame) -> str:
+        path = f"{self.folder}/_staged-{uuid.uuid4().hex}"
+        rows.write.parquet(path)
+        return path
+
+    def drop(self, path: str) -> None:
+        fs, p = filesystem(self.spark, path)
+        fs.delete(p, True)
+
+    def publish(self, staged: str, base: int, keep_parts: bool) -> int:
+        """Makes the staged rows version ``base`` + 1: on top of the parts of ``base``, or in their place."""
+        if self.current() != base:
+            self.drop(staged)
+            raise StorageError(f"version {base} is no longer in force")
+        name = f"part-{base + 1:08d}"
+        fs, target = filesystem(self.spark, f"{self.folder}/{name}")
+        if fs.exists(target):  # of a run that died before it moved the pointer
+            fs.delete(target, True)
+        if not fs.rename(filesystem(self.spark, staged)[1], target):
+            raise StorageError(f"can't move {staged}")
+        names = [p.rpartition("/")[2] for p in self.parts(base)] if keep_parts else []
+        self._write_text(f"MANIFEST-{base + 1:08d}", "\n".join([*names, name]))
+        self._write_text("CURRENT", str(base + 1))
+        return base + 1
+
+
+class KeyedState:
+    """Versions of a (key, hash) table in a folder that all executors reach.
+
+    ``select`` gives a run's records, ``commit`` ends it. Between the two the caller processes the
+    records; that work should be idempotent by key, since a run that dies before ``commit`` is
+    repeated. Two runs at once: the one that commits second fails, as its base version is gone.
+
+    A commit writes its own rows only, as one more part; the last part that has a key counts. After
+    ``MOST_PARTS`` the state is written anew as one.
+    """
+
+    MOST_PARTS = 16
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.versions = spark, Versions(spark, folder)
+
+    def version(self) -> int:
+        return self.versions.current()
+
     def read(self, version: int | None = None) -> DataFrame:
-        v = self.version() if version is None else version
-        if v == 0:
+        parts = self.versions.parts(self.version() if version is None else version)
+        if not parts:
             return self.spark.createDataFrame([], "key string, hash string")
-        return self.spark.read.parquet(f"{self.folder}/v{v:08d}")
+        if len(parts) == 1:
+            return self.spark.read.parquet(parts[0])
+        every = None
+        for n, p in enumerate(parts):
+            df = self.spark.read.parquet(p).withColumn("n", F.lit(n))
+            every = df if every is None else every.unionByName(df)
+        return every.groupBy("key").agg(F.max_by("hash", "n").alias("hash"))
 
     def select(self, current: DataFrame) -> DataFrame:
         """What is new or changed, held in the shared folder so that ``commit`` ends exactly this selection."""
-        picked = written(changed(current, self.read()), "changed")
-        return picked
+        return written(changed(current, self.read()), "changed")
 
     def commit(self, done: DataFrame, base: int) -> int:
         """Makes ``done`` (key, hash) part of the state that was ``base``, and that the version in force."""
         new = done.select("key", "hash")
+        if len(self.versions.parts(base)) < self.MOST_PARTS:
+            return self.versions.publish(self.versions.stage(new), base, True)
         kept = self.read(base).join(new, "key", "left_anti")
-        path = f"{self.folder}/v{base + 1:08d}"
-        staged = f"{self.folder}/_staged-{uuid.uuid4().hex}"
-        kept.unionByName(new).write.parquet(staged)
-        fs, p = filesystem(self.spark, path)
-        if self.version() != base:
-            fs.delete(filesystem(self.spark, staged)[1], True)
-            raise StorageError(f"version {base} is no longer in force")
-        if fs.exists(p):  # of a run that died before it moved the pointer
-            fs.delete(p, True)
-        fs.rename(filesystem(self.spark, staged)[1], p)
-        self._point(base + 1)
-        return base + 1
-
-    def _point(self, version: int) -> None:
-        jvm = self.spark.sparkContext._jvm
-        fs, _ = filesystem(self.spark, self.folder)
-        temp = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/_pointer-{uuid.uuid4().hex}")
-        out = fs.create(temp, True)
-        out.write(bytearray(str(version).encode()))
-        out.close()
-        option = jvm.org.apache.hadoop.fs.Options.Rename
-        jobs = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
-        options = self.spark.sparkContext._gateway.new_array(option, 1)
-        options[0] = option.OVERWRITE
-        jobs.rename(temp, jvm.org.apache.hadoop.fs.Path(self._pointer()), options)
+        return self.versions.publish(self.versions.stage(kept.unionByName(new)), base, False)
 
 
 def pending_files(file_meta: DataFrame, index_state: DataFrame) -> DataFrame:

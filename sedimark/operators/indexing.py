@@ -97,7 +97,7 @@ def index(store: Store, root: str, embedder: embedding.Embedder, config: IndexCo
         gone = due.select("file_id")
         for name, rows in (("chunks", indexed), ("nodes", nodes.withColumn("created_at", F.lit(now))), ("edges", edges.withColumn("created_at", F.lit(now)))):
             t = store.tables[name]
-            t._write(t.read().join(gone, "file_id", "left_anti").select(*t.read().columns).unionByName(rows.select(*t.read().columns)))
+            t.upsert(rows, t.read().join(gone, "file_id", "left_semi"))
         store.files.upsert(outcome.select("file_id", "path", "hash", "size", "modified", "extension", F.lit(now).alias("last_indexed")))
         store.state.upsert(outcome.select("file_id", "hash", F.lit(now).alias("last_indexed"), "status"))
     r = report(outcome).first()

@@ -1,20 +1,19 @@
 """Tables with keys: upserts, deletes, lookups, over immutable Parquet versions.
 
-A table is a folder of version folders with a pointer file, as in ``KeyedState``; a change writes the
-next version whole and moves the pointer by one rename, so readers see the old version or the new.
-A transaction stages changes of several tables and moves all pointers at its end.
+A table has ``Versions``: parts of rows and a pointer that moves by one rename, so readers see the old
+version or the new. Upserts and deletes write only what they change, as a part of its own with a mark
+for deleted keys, and reading takes the last part that has a key; after ``MOST_PARTS`` parts the
+table is written anew as one. A transaction stages changes of several tables and moves all pointers
+at its end.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedimark.errors import DuplicateKey, ReadOnlyError, StorageError
-from sedimark.operators.incremental import KeyedState
-from sedimark.storage_paths import filesystem
+from sedimark.operators.incremental import Versions
 
 SCHEMAS = {
     "files": ("file_id", "file_id string, path string, hash string, size long, modified long, extension string, last_indexed long"),
@@ -41,44 +40,75 @@ def needs_update(scanned: DataFrame, stored: DataFrame) -> DataFrame:
     return met.where(F.col("s").isNull() | ~same).drop("s")
 
 
+MOST_PARTS = 16
+GONE = "_gone"
+
+
 class Table:
     def __init__(self, store: Store, name: str, key: str, schema: str):
         self.store, self.name, self.key, self.schema = store, name, key, schema
-        self._versions = KeyedState(store.spark, f"{store.folder}/{name}")
+        self.columns = [f.split()[0] for f in schema.split(", ")]
+        self.versions = Versions(store.spark, f"{store.folder}/{name}")
 
-    def read(self) -> DataFrame:
-        staged = self.store._staged.get(self.name)
-        if staged is not None:
-            return self.store.spark.read.schema(self.schema).parquet(staged)
-        v = self._versions.version()
-        return self.store.spark.read.schema(self.schema).parquet(f"{self.store.folder}/{self.name}/v{v:08d}") if v else self.store.spark.createDataFrame([], self.schema)
+    def _parts(self) -> list[str]:
+        """Paths of the parts that are read now: the version in force and what the transaction staged on it."""
+        whole, own = self.store._staged.get(self.name, (False, []))
+        return ([] if whole else self.versions.parts(self.versions.current())) + own
 
-    def _write(self, rows: DataFrame) -> None:
+    def read(self) -> DataFrame:
+        spark, parts = self.store.spark, self._parts()
+        if not parts:
+            return spark.createDataFrame([], self.schema)
+        frames = [spark.read.schema(f"{self.schema}, {GONE} boolean").parquet(p) for p in parts]
+        every = None
+        for n, df in enumerate(frames):
+            df = df.withColumn("_n", F.lit(n))
+            every = df if every is None else every.unionByName(df)
+        if self.key and len(frames) > 1:
+            last = F.max(F.struct("_n", GONE, *[c for c in self.columns if c != self.key])).alias("m")
+            every = every.groupBy(self.key).agg(last).select(self.key, F.col(f"m.{GONE}").alias(GONE), *[F.col(f"m.{c}").alias(c) for c in self.columns if c != self.key])
+        return every.where(~F.coalesce(F.col(GONE), F.lit(False))).select(*self.columns)
+
+    def _change(self, rows: DataFrame, gone: DataFrame | None = None) -> None:
+        """Stages new rows, and keys that go."""
+        self.store.check_writable()
+        part = rows.select(*self.columns).withColumn(GONE, F.lit(False))
+        if gone is not None:
+            marks = gone.select(self.key).distinct()
+            for c in self.columns:
+                if c != self.key:
+                    marks = marks.withColumn(c, F.lit(None).cast(dict(rows.select(*self.columns).dtypes)[c]))
+            marks = marks.select(*self.columns).withColumn(GONE, F.lit(True))
+            part = part.unionByName(marks.join(part.select(self.key), self.key, "left_anti"))
+        self.store._stage(self, self.versions.stage(part), False)
+
+    def replace(self, rows: DataFrame) -> None:
+        """The whole table anew."""
         self.store.check_writable()
-        path = f"{self.store.folder}/{self.name}/_staged-{uuid.uuid4().hex}"
-        columns = [f.split()[0] for f in self.schema.split(", ")]
-        rows.select(*columns).write.parquet(path)
-        self.store._stage(self.name, path)
+        self.store._stage(self, self.versions.stage(rows.select(*self.columns).withColumn(GONE, F.lit(False))), True)
 
     def append(self, rows: DataFrame) -> None:
         """New rows; a key that is there already is an error."""
         if self.key and (rows.join(self.read().select(self.key), self.key, "left_semi").limit(1).count() or rows.groupBy(self.key).count().where("count > 1").limit(1).count()):
             raise DuplicateKey(self.name)
-        self._write(self.read().unionByName(rows))
+        self._change(rows)
 
-    def upsert(self, rows: DataFrame) -> None:
-        self._write(upserted(self.read(), rows, self.key))
+    def upsert(self, rows: DataFrame, instead_of: DataFrame | None = None) -> None:
+        """Rows in place of those with the same key, and of those with the keys of ``instead_of``; of several rows with one key the greatest."""
+        self._change(upserted(rows.select(*self.columns).limit(0), rows, self.key), instead_of)
 
     def delete(self, where: Column) -> int:
         """The number of rows that the condition held for; null is none."""
-        hit = F.coalesce(where, F.lit(False))
-        n = self.read().where(hit).count()
-        if n:
-            self._write(self.read().where(~hit))
+        hit = self.read().where(F.coalesce(where, F.lit(False)))
+        n = hit.count()
+        if n and self.key:
+            self._change(self.read().limit(0), hit)
+        elif n:
+            self.replace(self.read().where(~F.coalesce(where, F.lit(False))))
         return n
 
     def clear(self) -> None:
-        self._write(self.read().limit(0))
+        self.replace(self.read().limit(0))
 
     def get(self, value) -> DataFrame:
         return self.read().where(F.col(self.key) == value)
@@ -93,7 +123,7 @@ class Store:
     def __init__(self, spark: SparkSession, folder: str, read_only: bool = False):
         self.spark, self.folder, self.read_only = spark, folder.rstrip("/"), read_only
         self._depth = 0
-        self._staged: dict[str, str] = {}
+        self._staged: dict[str, tuple[bool, list[str]]] = {}
         self.tables = {name: Table(self, name, key, schema) for name, (key, schema) in SCHEMAS.items()}
 
     def __getattr__(self, name: str) -> Table:
@@ -106,22 +136,21 @@ class Store:
         if self.read_only:
             raise ReadOnlyError(self.folder)
 
-    def _stage(self, name: str, path: str) -> None:
-        self._staged[name] = path
+    def _stage(self, table: Table, path: str, whole: bool) -> None:
+        before = self._staged.get(table.name, (False, []))
+        self._staged[table.name] = (True, [path]) if whole else (before[0], [*before[1], path])
         if not self._depth:
             self._publish()
 
     def _publish(self) -> None:
-        for name, path in self._staged.items():
-            t = self.tables[name]
-            v = t._versions.version() + 1
-            fs, target = filesystem(self.spark, f"{self.folder}/{name}/v{v:08d}")
-            if fs.exists(target):
-                fs.delete(target, True)
-            if not fs.rename(filesystem(self.spark, path)[1], target):
-                raise StorageError(f"can't publish {name}")
-            t._versions._point(v)
+        for name, (whole, paths) in self._staged.items():
+            v = self.tables[name].versions
+            for i, path in enumerate(paths):
+                v.publish(path, v.current(), not (whole and i == 0))
+        many = [self.tables[n] for n in self._staged if len(self.tables[n].versions.parts(self.tables[n].versions.current())) > MOST_PARTS]
         self._staged = {}
+        for t in many:
+            t.replace(t.read())
 
     def begin(self) -> None:
         self.check_writable()
@@ -138,9 +167,9 @@ class Store:
         if not self._depth:
             raise StorageError("no transaction")
         self._depth = 0
-        for path in self._staged.values():
-            fs, p = filesystem(self.spark, path)
-            fs.delete(p, True)
+        for name, (_, paths) in self._staged.items():
+            for path in paths:
+                self.tables[name].versions.drop(path)
         self._staged = {}
 
     def __enter__(self) -> Store:

@@ -154,6 +154,8 @@ SELECT path, lower(regexp_extract(name, '^.+\.([^.]+)$', 1)) IN ({_EXT}) AND NOT
     "text_hash": "SELECT doc_id, sha256(text) AS hash FROM documents",
     "text_tokens": rf"""SELECT doc_id, len(list_filter(regexp_split_to_array(coalesce(text, ''), '{_S}+'), lambda x: x <> '')) + len(regexp_extract_all(coalesce(text, ''), '[!-/:-@\[-`{{-~]')) // 2 AS tokens,
   strlen(coalesce(text, '')) // 4 AS quarter_bytes FROM documents""",
+    "text_last_sentences": rf"""SELECT doc_id, regexp_replace(array_to_string(list_filter(regexp_extract_all(text, '[^.!?\n]*[.!?\n]|[^.!?\n]+'), lambda x: regexp_replace(x, '{_S}+', '', 'g') <> '')[-2:], ''), '^{_S}+', '') AS last_two FROM documents WHERE text IS NOT NULL""",
+    "text_range": "SELECT doc_id, CASE WHEN strlen(text) >= 40 THEN substr(text, 1, list_filter(range(0, 41), lambda k: strlen(substr(text, 1, k::BIGINT)) = 40)[1]::BIGINT) END AS part FROM documents",
     "text_lines": _DOC_LINES + " SELECT doc_id, line, text FROM line",
     "text_slice": _DOC_LINES + " SELECT d.doc_id, CASE WHEN len(l) > 2 THEN array_to_string(l[3:5], chr(10)) END AS part FROM documents d LEFT JOIN own ON own.doc_id = d.doc_id",
     "text_paragraph": _DOC_LINES + rf", p AS (SELECT doc_id, text, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS n FROM line WHERE trim(text) <> '' AND NOT {_IS_HEAD}) SELECT d.doc_id, p.text AS paragraph FROM documents d LEFT JOIN p ON p.doc_id = d.doc_id AND n = 2",

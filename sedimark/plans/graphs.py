@@ -149,6 +149,14 @@ SELECT own.file_id, count(*) AS mentions FROM own JOIN name ON name.file_id = ow
 d3 AS (SELECT seed, dst AS id, min(step.edge_id) AS edge_id FROM d2 JOIN step ON src = id WHERE (seed, dst) NOT IN (SELECT (seed, id) FROM d0 UNION ALL SELECT (seed, id) FROM d1 UNION ALL SELECT (seed, id) FROM d2) GROUP BY ALL)
 SELECT seed, id, 0 AS depth, edge_id FROM d0 UNION ALL SELECT seed, id, 1, edge_id FROM d1 UNION ALL SELECT seed, id, 2, edge_id FROM d2 UNION ALL SELECT seed, id, 3, edge_id FROM d3""",
     "graph_forward": f"WITH {_NODE}, {_EDGE}, {_ARCS % ''}, {_SEED}, {_REACH} SELECT seed, id, 0 AS depth FROM d0 UNION ALL SELECT seed, id, 1 FROM d1 UNION ALL SELECT seed, id, 2 FROM d2",
+    "graph_path": f"""
+WITH {_NODE}, {_EDGE}, {_BOTH}, {_SEED}, s0 AS (SELECT min(seed) AS id FROM seed), hop AS (SELECT * FROM arc WHERE dst IN (SELECT id FROM node)),
+a1 AS (SELECT dst AS id, min({{'edge_id': edge_id, 'src': src}}) AS m FROM hop WHERE src = (SELECT id FROM s0) AND dst <> src GROUP BY dst),
+a2 AS (SELECT dst AS id, min({{'edge_id': edge_id, 'src': src}}) AS m FROM hop WHERE src IN (SELECT id FROM a1) AND dst NOT IN (SELECT id FROM s0 UNION ALL SELECT id FROM a1) GROUP BY dst),
+a3 AS (SELECT dst AS id, min({{'edge_id': edge_id, 'src': src}}) AS m FROM hop WHERE src IN (SELECT id FROM a2) AND dst NOT IN (SELECT id FROM s0 UNION ALL SELECT id FROM a1 UNION ALL SELECT id FROM a2) GROUP BY dst),
+far AS (SELECT * FROM (SELECT 3 AS d, id, m FROM a3 UNION ALL SELECT 2, id, m FROM a2 UNION ALL SELECT 1, id, m FROM a1) ORDER BY d DESC, id DESC LIMIT 1),
+q3 AS (SELECT m FROM far WHERE d = 3), q2 AS (SELECT m FROM a2 WHERE id = (SELECT m.src FROM q3) UNION ALL SELECT m FROM far WHERE d = 2), q1 AS (SELECT m FROM a1 WHERE id = (SELECT m.src FROM q2) UNION ALL SELECT m FROM far WHERE d = 1)
+SELECT 0::BIGINT AS step, m.edge_id AS edge_id FROM q1 UNION ALL SELECT 1, m.edge_id FROM q2 UNION ALL SELECT 2, m.edge_id FROM q3""",
     "graph_expand_results": f"""
 WITH {_NODE}, {_EDGE}, {_BOTH},
 hit AS (SELECT chunk_id, max(vector_score::DOUBLE) AS score FROM ranked_chunks WHERE vector_score IS NOT NULL AND NOT isnan(vector_score) GROUP BY ALL ORDER BY score DESC, chunk_id LIMIT 20),

@@ -59,10 +59,23 @@ def test_state_survives_failure_and_conflict(spark, tmp_path):
     assert {tuple(r) for r in state.read().collect()} == {("a", "1"), ("b", "3"), ("c", "4")}
 
 
+def test_state_is_written_anew_after_many_parts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(KeyedState, "MOST_PARTS", 3)
+    state = KeyedState(spark, f"file://{tmp_path}/state")
+    for n in range(6):
+        now = spark.createDataFrame([("a", str(n)), (f"k{n}", "1")], "key string, hash string")
+        picked = state.select(now)
+        assert picked.count() == 2
+        state.commit(picked, n)
+    assert {tuple(r) for r in state.read().collect()} == {("a", "5"), *((f"k{n}", "1") for n in range(6))}
+    assert {tuple(r) for r in state.read(2).collect()} == {("a", "1"), ("k0", "1"), ("k1", "1")}
+    assert len(state.versions.parts(6)) < 4
+
+
 def test_state_ignores_half_written_version(spark, tmp_path):
     state = KeyedState(spark, f"file://{tmp_path}/state")
     now = spark.createDataFrame([("a", "1")], "key string, hash string")
-    now.write.parquet(f"file://{tmp_path}/state/v00000001")
+    now.write.parquet(f"file://{tmp_path}/state/part-00000001")
     assert state.version() == 0
     assert state.commit(state.select(now), 0) == 1
     assert state.read().count() == 1

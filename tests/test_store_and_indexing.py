@@ -38,6 +38,19 @@ def test_upserts_and_lookups(spark, store):
         store.nothing
 
 
+def test_parts_are_taken_together(spark, store, monkeypatch):
+    monkeypatch.setattr(ST, "MOST_PARTS", 3)
+    for n in range(8):
+        store.files.upsert(files(spark, ("a", "/a", str(n), n), (f"k{n}", "/k", "1", 1)))
+        if n % 2:
+            store.files.delete(F.col("file_id") == f"k{n}")
+    assert {r.file_id: r.hash for r in store.files.read().collect()} == {"a": "7", "k0": "1", "k2": "1", "k4": "1", "k6": "1"}
+    assert len(store.files.versions.parts(store.files.versions.current())) <= 4
+    store.moves.append(spark.createDataFrame([("a", "x", "y", 1)], ST.SCHEMAS["moves"][1]))
+    store.moves.append(spark.createDataFrame([("a", "y", "z", 2)], ST.SCHEMAS["moves"][1]))
+    assert store.moves.count() == 2 and store.moves.delete(F.col("timestamp") == 1) == 1 and store.moves.count() == 1
+
+
 def test_transactions(spark, store):
     with store:
         store.files.append(files(spark, ("a", "/a", "1", 1)))
@@ -177,7 +190,7 @@ def test_cli(spark, tree, tmp_path, monkeypatch):
     assert "Alpha" in run("query", "the budget of the project", "--context")[1][0]
     assert run("vector-search", "pastry")[1][0].startswith("1. ")
     assert json.loads(run("graph-stats")[1][0])["File"] == 2
-    node = "file:" + spark.read.parquet(f"{tmp_path}/.sedimark/files/v*").first().file_id
+    node = "file:" + spark.read.parquet(f"{tmp_path}/.sedimark/files/part-*").first().file_id
     assert len(json.loads(run("graph-expand", node)[1][0])["nodes"]) >= 1
     assert json.loads(run("graph-path", node, node)[1][0]) == []
     assert json.loads(run("vector-status")[1][0])["vectors"] == 5
