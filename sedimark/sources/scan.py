@@ -103,6 +103,18 @@ def normalise(files: DataFrame) -> DataFrame:
     return files.withColumns({"mime_type": T.mime_type(F.col("extension")), "category": T.category(F.col("extension"))})
 
 
+def within(root: str, path: str, extensions: tuple[str, ...] = (), links: bool = False) -> str:
+    """The real path of ``path`` if it lies under ``root``; links out of it, and other extensions where some are named, are an error."""
+    base, real = os.path.realpath(root), os.path.realpath(os.path.join(root, path))
+    if os.path.commonpath([base, real]) != base:
+        raise ScanError(f"outside {root}: {path}")
+    if not links and os.path.islink(os.path.join(root, path)):
+        raise ScanError(f"a link: {path}")
+    if extensions and os.path.splitext(real)[1][1:].lower() not in extensions:
+        raise ScanError(f"not allowed: {path}")
+    return real
+
+
 MOVES = "file_id string, old_path string, new_path string, timestamp long"
 
 

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from sedimark.functions import text as T
+from sedimark.operators.embedding import Embedder
+from sedimark.operators.indexing import IndexConfig, IndexReport, index
+from sedimark.operators.store import Store
 from sedimark.sources.scan import changes, include
 
 SEEN = "path string, modificationTime timestamp, length long, content binary"
@@ -28,6 +31,16 @@ def start(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoin
     return (w.trigger(availableNow=True) if once else w.trigger(processingTime=interval)).start()
 
 
+def index_changes(store: Store, root: str, embedder: Embedder, checkpoint: str, config: IndexConfig = IndexConfig(), done: Callable[[IndexReport], None] = lambda r: None, interval: str = "5 seconds", once: bool = False) -> StreamingQuery:
+    """Indexes the directory whenever the stream sees new files; what is indexed already with its present hash is left alone, so a batch that comes again does nothing."""
+
+    def handle(batch: DataFrame, _: int) -> None:
+        if not batch.isEmpty():
+            done(index(store, root, embedder, config))
+
+    return start(watch(store.spark, root), handle, checkpoint, interval, once)
+
+
 def events(before: DataFrame, after: DataFrame) -> DataFrame:
     """File events between two scans."""
     return changes(before, after)
