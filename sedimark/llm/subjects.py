@@ -13,6 +13,7 @@ sentence treats the subject that most of its terms' parts go to.
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -38,9 +39,25 @@ PURE = 0.3
 LIFT, ENOUGH = 2.0, 4
 ALTERNATIONS, INNER = 4, 8
 
-#: Runs of one script, of three letters at least where words are written with letters: Japanese has no spaces, and its content words are mostly runs of one kind.
-terms_of = re.compile("[一-鿿々]+|[ァ-ヿ]+|[ぁ-ゟ]+|[^\\W\\d_ぁ-ヿ一-鿿々]{3,}").findall
-sentences_of = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])\s*|[\r\n  \u0085]+").split
+_BREAKS = "[.!?](?=\\s)|[。！？\r\n\u0085\u2028\u2029]"
+_ASCII, _ANY = "[a-z]{3,}", "[一-鿿々]+|[ァ-ヿ]+|[ぁ-ゟ]+|[^\\W\\d_ぁ-ヿ一-鿿々]{3,}"
+_terms_ascii, _terms_any = re.compile(_ASCII).findall, re.compile(_ANY).findall
+_parts_ascii, _parts_any = re.compile(f"{_ASCII}|{_BREAKS}").findall, re.compile(f"{_ANY}|{_BREAKS}").findall
+#: What ends a sentence, as it comes out among the terms.
+BREAKS = ".!?。！？\r\n\u0085\u2028\u2029"
+
+
+def terms_of(text: str) -> list[str]:
+    """Terms of a lower-case text: runs of one script, of three letters at least where words are written with letters.
+
+    Japanese has no spaces, and its content words are mostly runs of one kind.
+    """
+    return (_terms_ascii if text.isascii() else _terms_any)(text)
+
+
+def parts_of(text: str) -> list[str]:
+    """Terms and, in their places, the ends of sentences."""
+    return (_parts_ascii if text.isascii() else _parts_any)(text)
 
 
 @dataclass
@@ -50,19 +67,21 @@ class SubjectModel:
     weights: np.ndarray  # (subjects + 1, terms); the last component is free
 
 
-def _divided(model: SubjectModel, row: np.ndarray, term: np.ndarray, rows: int, rounds: int) -> np.ndarray:
+def _divided(model: SubjectModel, row: np.ndarray, term: np.ndarray, rounds: int) -> np.ndarray:
     """The part of each occurrence that goes to each component, after ``rounds`` updates of the document factor."""
-    h = model.weights.T[term]
-    k = h.shape[1]
-    w = np.full((rows, k), 1.0 / k)
-    part = h
+    if not len(term):
+        return np.zeros((0, len(model.weights)), np.float32)
+    h = np.ascontiguousarray(model.weights.T, np.float32)[term]
+    starts = np.flatnonzero(np.diff(row, prepend=-1))  # rows are ascending
+    at = np.cumsum(np.diff(row, prepend=row[0]) != 0)
+    w = np.full((len(starts), h.shape[1]), 1.0 / h.shape[1], np.float32)
     for _ in range(rounds):
-        part = h * w[row]
-        part /= np.maximum(part.sum(1, keepdims=True), 1e-300)
-        w = np.stack([np.bincount(row, part[:, c], minlength=rows) for c in range(k)], 1) + 0.01
+        part = h * w[at]
+        part /= np.maximum(part.sum(1, keepdims=True), 1e-30)
+        w = np.add.reduceat(part, starts, axis=0) + 0.01
         w /= w.sum(1, keepdims=True)
-    part = h * w[row]
-    return part / np.maximum(part.sum(1, keepdims=True), 1e-300)
+    part = h * w[at]
+    return part / np.maximum(part.sum(1, keepdims=True), 1e-30)
 
 
 def _labels(labels: DataFrame, key: str) -> dict:
@@ -148,23 +167,25 @@ def _scaled(h: np.ndarray) -> np.ndarray:
 
 def _occurrences(docs: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
     """(k, sentence, term): of each document the known terms in order and their sentences' numbers; whole texts."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    shared = docs.sparkSession.sparkContext.broadcast({**vocabulary, **dict.fromkeys(BREAKS, -1)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = shared.value.get
         for b in batches:
-            sentences, found = [], []
-            for text in b.column(1).to_pylist():
-                s, f = [], []
-                for i, sentence in enumerate(sentences_of(text.lower())):
-                    own = [v for w in terms_of(sentence) if (v := get(w)) is not None]
-                    if own:
-                        f += own
-                        s += [i] * len(own)
-                sentences.append(s)
-                found.append(f)
-            kept = pa.array([i for i, f in enumerate(found) if f], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(kept), pa.array([s for s in sentences if s], pa.list_(pa.int32())), pa.array([f for f in found if f], pa.list_(pa.int32()))], names=["k", "sentence", "term"])
+            flat, ends = array("i"), np.zeros(b.num_rows + 1, np.int64)
+            for i, text in enumerate(b.column(1).to_pylist()):
+                flat.extend([v for v in map(get, parts_of(text.lower())) if v is not None])
+                ends[i + 1] = len(flat)
+            term = np.array(flat, np.int32)
+            doc = np.repeat(np.arange(b.num_rows), np.diff(ends))
+            ended = np.cumsum(term < 0)
+            before = np.concatenate([[0], ended])[ends[:-1]]
+            sentence = (ended - before[doc]).astype(np.int32)
+            known = term >= 0
+            count = np.bincount(doc[known], minlength=b.num_rows)
+            kept = np.flatnonzero(count)
+            offsets = pa.array(np.concatenate([[0], np.cumsum(count[kept])]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(kept)), pa.ListArray.from_arrays(offsets, pa.array(sentence[known])), pa.ListArray.from_arrays(offsets, pa.array(term[known]))], names=["k", "sentence", "term"])
 
     kind = dict(docs.dtypes)["k"]
     return docs.where(F.col("t").isNotNull()).select("k", "t").mapInArrow(run, f"k {kind}, sentence array<int>, term array<int>")
@@ -188,7 +209,7 @@ def _alternate(occurrences: DataFrame, model: SubjectModel) -> np.ndarray:
         for b in batches:
             row, term = _flat(b, 0)
             if len(term):
-                part = _divided(shared.value, row, term, b.num_rows, INNER)
+                part = _divided(shared.value, row, term, INNER)
                 for c in range(shape[0]):
                     total[c] += np.bincount(term, part[:, c], minlength=shape[1])
         yield packed(total)
@@ -227,7 +248,7 @@ def sentence_subjects(model: SubjectModel, b: pa.RecordBatch) -> tuple[np.ndarra
     if not len(term):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     pure = model.weights / np.maximum(model.weights.sum(0), 1e-300)
-    part = _divided(model, row, term, b.num_rows, 3 * INNER) * (pure[:-1].max(0) >= PURE)[term, None]
+    part = _divided(model, row, term, 2 * INNER) * (pure[:-1].max(0) >= PURE)[term, None]
     name, at = np.unique(row * (sentence.max() + 1) + sentence, return_inverse=True)
     votes = np.stack([np.bincount(at, part[:, c], minlength=len(name)) for c in range(part.shape[1] - 1)], 1)
     best = votes.argmax(1)

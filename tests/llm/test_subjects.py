@@ -73,4 +73,6 @@ def test_nothing_to_learn_from(spark):
 
 def test_terms_and_sentences():
     assert S.terms_of("実験とテストを確認した the api x".lower()) == ["実験", "と", "テスト", "を", "確認", "した", "the", "api"]
-    assert S.sentences_of("a b. c 04.06.2015 d! e。f\ng") == ["a b.", "c 04.06.2015 d!", "e。", "f", "g"]
+    assert S.terms_of("café ab élan".lower()) == ["café", "élan"]
+    assert S.parts_of("abc def. ghi 04.06.2015 jkl! mno。pqr\nstu") == ["abc", "def", ".", "ghi", "jkl", "!", "mno", "。", "pqr", "\n", "stu"]
+    assert S.parts_of("abc! def.ghi") == ["abc", "!", "def", "ghi"]
