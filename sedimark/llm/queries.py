@@ -96,7 +96,31 @@ s AS (
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY list_sort([x, y, z]) DESC, chunk_id) AS place FROM s)
 SELECT %s FROM r WHERE place <= %d
 """
+_P4 = """
+WITH u AS (SELECT DISTINCT chunk_id, model, dimension, embedding::DOUBLE[] AS e FROM chunks WHERE chunk_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) = dimension AND dimension > 0
+  AND NOT list_bool_or(list_transform(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) AND list_bool_or(list_transform(embedding, lambda x: x <> 0))),
+s AS (SELECT a.chunk_id AS a, b.chunk_id AS b, max(list_cosine_similarity(a.e, b.e)) AS s FROM u a JOIN u b ON a.model IS NOT DISTINCT FROM b.model AND a.dimension = b.dimension AND a.chunk_id <> b.chunk_id GROUP BY ALL),
+r AS (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS n FROM s WHERE s >= 0.8)
+SELECT DISTINCT least(a, b) AS chunk_a, greatest(a, b) AS chunk_b FROM r WHERE n <= 5
+"""
+_WORDS = "regexp_extract_all(lower(%s), '[\\p{L}\\p{N}]+')"
+_P7 = f"""
+WITH t AS (SELECT DISTINCT chunk_id, content, w FROM (SELECT chunk_id, content, {_WORDS % 'content'} AS w FROM chunks WHERE chunk_id IS NOT NULL AND content IS NOT NULL) WHERE len(w) >= 40),
+g AS (SELECT DISTINCT chunk_id, content, array_to_string(w[i : i + 2], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - 1)) AS i FROM t)),
+n AS (SELECT chunk_id, content, count(*) AS n FROM g GROUP BY ALL),
+c AS (SELECT a.chunk_id AS a, a.content AS x, b.chunk_id AS b, b.content AS y, count(*) AS c FROM g a JOIN g b ON a.s = b.s AND a.chunk_id < b.chunk_id GROUP BY ALL)
+SELECT DISTINCT a AS chunk_a, b AS chunk_b FROM c JOIN n p ON p.chunk_id = a AND p.content = x JOIN n q ON q.chunk_id = b AND q.content = y WHERE 2 * c >= p.n + q.n - c
+"""
+_P9 = f"""
+WITH d AS (SELECT doc_id, {_WORDS % 'text'} AS w FROM documents WHERE text IS NOT NULL), i AS (SELECT item_id, {_WORDS % 'text'} AS w FROM eval_items WHERE text IS NOT NULL),
+x AS (SELECT DISTINCT doc_id, array_to_string(w[k : k + 11], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - 10)) AS k FROM d WHERE len(w) >= 12)),
+y AS (SELECT DISTINCT item_id, array_to_string(w[k : k + 11], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - 10)) AS k FROM i WHERE len(w) >= 12))
+SELECT DISTINCT doc_id, item_id FROM x JOIN y USING (s)
+"""
 ORACLE = {
+    "p4_found": _P4,
+    "p7_found": _P7,
+    "p9_found": _P9,
     "p5_found": _P5 % ("query_id, chunk_id", 5),
     "p5_order": _P5 % ("query_id, chunk_id, place, x AS vector_support, y AS fts_support, z AS graph_support", 10),
 }
