@@ -62,8 +62,8 @@ def _chunks(spark: SparkSession, folder: str) -> DataFrame:
 def _hybrid(spark: SparkSession, folder: str) -> DataFrame:
     c = _chunks(spark, folder).select("chunk_id", "file_id", "heading", "block_type", "content", "embedding", "created_at", "model", "dimension")
     ok = c.where((F.col("model") == "tide-embed-l") & (F.size("embedding") == F.col("dimension")) & ~F.exists("embedding", lambda x: F.isnan(x)))
-    v = ok.where(F.col("content").contains("tribunal")).orderBy("chunk_id").first()
-    return search.hybrid_search(ok, "tribunal court", v.embedding, 10, any_term=True)
+    v = ok.where(F.col("content").isNotNull()).orderBy(~F.col("content").contains("tribunal"), "chunk_id").first()
+    return search.hybrid_search(ok, "tribunal court", v.embedding if v else [1.0], 10, any_term=True)
 
 
 def hybrid(spark, folder):
@@ -130,7 +130,7 @@ ORACLE = {
     "fts_any": f"SELECT doc_id, round(s, 6) AS score FROM ({_bm25('documents', 'doc_id', 'text', ANY.split(), True, 20)})",
     "hybrid": f"""
 WITH {_LATEST}, ok AS (SELECT * FROM latest WHERE model = 'tide-embed-l' AND len(embedding) = dimension AND NOT list_bool_or(list_transform(embedding, lambda x: isnan(x)))),
-q AS (SELECT embedding FROM ok WHERE contains(content, 'tribunal') ORDER BY chunk_id LIMIT 1),
+q AS (SELECT embedding FROM ok WHERE content IS NOT NULL ORDER BY NOT contains(content, 'tribunal'), chunk_id LIMIT 1),
 v AS (SELECT chunk_id, s, row_number() OVER (ORDER BY s DESC, chunk_id) AS r FROM (SELECT chunk_id, {_COS % ('embedding', '(SELECT embedding FROM q)')} AS s FROM ok WHERE list_bool_or(list_transform(embedding, lambda x: x <> 0)) ORDER BY s DESC, chunk_id LIMIT 10)),
 f AS (SELECT chunk_id, s, row_number() OVER (ORDER BY s DESC, chunk_id) AS r FROM ({_bm25('ok', 'chunk_id', 'content', ['tribunal', 'court'], True, 10)}))
 SELECT chunk_id, round(coalesce(1.0 / (60 + v.r), 0) + coalesce(1.0 / (60 + f.r), 0), 6) AS score, round(v.s, 6) AS vector_score, round(f.s, 6) AS fts_score
