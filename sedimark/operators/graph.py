@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sedimark.errors import GraphError, InvalidDepth
+from sedimark.operators.containment import containing
 from sedimark.storage_paths import written
 
 # Node and relation names, weights, and the patterns of references.
@@ -82,14 +83,16 @@ def reference_matches(chunks: DataFrame) -> DataFrame:
 def reference_edges(chunks: DataFrame, nodes: DataFrame) -> DataFrame:
     """References edges to the first node of the chunk's file that names the match, else to ``unknown:``.
 
-    Nodes are looked up by file, each distinct match of a file once, so the comparison of texts stays
-    within a file's nodes and matches. The first is the one with the smallest (type, id).
+    Each distinct match of a file is looked for in the texts of its nodes, all matches in one pass
+    over a text. The first is the one with the smallest (type, id).
     """
     found = reference_matches(chunks)
     order = F.when(F.col("node_type") == "File", 0).when(F.col("node_type") == "Chunk", 1).when(F.col("node_type") == "Heading", 2).otherwise(3)
-    names = nodes.select("file_id", "id", order.alias("rank"), F.lower(F.concat_ws(" ", "id", F.coalesce("label", F.lit("")), "ref_id")).alias("text"))
-    texts = found.select("file_id", "matched").distinct()
-    hits = texts.join(names, "file_id").where(F.col("text").contains(F.lower("matched"))).groupBy("file_id", "matched").agg(F.min_by("id", F.struct("rank", "id")).alias("target"))
+    names = nodes.select(F.col("file_id").alias("grp"), "id", order.alias("rank"), F.lower(F.concat_ws(" ", "id", F.coalesce("label", F.lit("")), "ref_id")).alias("text"))
+    texts = found.select("file_id", "matched", F.lower("matched").alias("needle")).distinct()
+    met = containing(names, texts.select(F.col("file_id").alias("grp"), "needle"))
+    firsts = met.join(names.select("grp", "id", "rank"), ["grp", "id"]).groupBy(F.col("grp").alias("file_id"), "needle").agg(F.min_by("id", F.struct("rank", "id")).alias("target"))
+    hits = texts.join(firsts, ["file_id", "needle"]).select("file_id", "matched", "target")
     met = found.join(hits, ["file_id", "matched"], "left")
     target = F.coalesce("target", F.concat(F.lit("unknown:"), "matched"))
     return met.select(*edge(F.concat(F.lit("chunk:"), "chunk_id"), target, "References", F.col("file_id"), F.concat(F.lit("matched: "), "matched")))
@@ -124,9 +127,9 @@ def entity_nodes(names: DataFrame) -> DataFrame:
 
 def mention_edges(chunks: DataFrame, names: DataFrame) -> DataFrame:
     """Mentions edges from each chunk to the entities of its file whose name its lower-case text contains, also within words."""
-    c = _usable(chunks).where(F.col("content").isNotNull()).select("chunk_id", "file_id", F.lower("content").alias("text")).distinct()
-    met = c.join(names, "file_id").where(F.col("text").contains(F.col("name")))
-    return met.select(*edge(F.concat(F.lit("chunk:"), "chunk_id"), entity_id(F.col("file_id"), F.col("name")), "Mentions", F.col("file_id"))).distinct()
+    c = _usable(chunks).select(F.col("file_id").alias("grp"), F.col("chunk_id").alias("id"), F.lower("content").alias("text"))
+    met = containing(c, names.select(F.col("file_id").alias("grp"), F.col("name").alias("needle")))
+    return met.select(*edge(F.concat(F.lit("chunk:"), "id"), entity_id(F.col("grp"), F.col("needle")), "Mentions", F.col("grp")))
 
 
 def build(chunks: DataFrame, references: bool = True, with_entities: bool = True, least: int = 3) -> tuple[DataFrame, DataFrame]:

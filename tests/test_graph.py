@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from sedimark.errors import GraphError, InvalidDepth
 from sedimark.operators import graph as G
+from sedimark.operators.containment import containing
 
 CHUNK = "chunk_id string, file_id string, heading string, content string"
 NODE = "id string, node_type string, ref_id string, label string, file_id string"
@@ -117,3 +118,11 @@ def test_neighbours_and_counts(small, spark):
     assert a.count() == 5 and b.count() == 6
     rows = spark.createDataFrame([("a", 1, "x"), ("a", 3, "y"), ("a", None, "z"), (None, 1, "n")], "id string, created_at long, v string")
     assert [(r.id, r.v) for r in G.latest(rows, "id").collect()] == [("a", "y")]
+
+
+def test_containment_of_a_large_group(spark, monkeypatch):
+    monkeypatch.setattr("sedimark.operators.containment.TEXTS", 7)
+    texts = [("g", str(i), f"text {i} ab{'c' * (i % 3)}") for i in range(50)] + [("h", "x", "abc"), ("h", "y", None), (None, "z", "abc")]
+    needles = [("g", "abc"), ("g", "abcc"), ("g", "zz"), ("h", "b"), ("h", ""), ("h", None), ("i", "a"), ("g", "abc")]
+    got = {tuple(r) for r in containing(spark.createDataFrame(texts, "grp string, id string, text string"), spark.createDataFrame(needles, "grp string, needle string")).collect()}
+    assert got == {(g, i, n) for g, i, t in texts for h, n in needles if g == h and g and t and n and n in t}
