@@ -9,7 +9,9 @@ is further than the least similarity allows, or than the k-th neighbour found so
 remains is verified on the vectors themselves.
 
 Equal vectors are one class. Cells that hold more than ``CELL`` vectors are cut into blocks, and
-every two blocks meet in a task of their own, so no cell is cut short and none is too large.
+every two blocks meet in a task of their own, so no cell is cut short and none is too large. There
+the vectors themselves are compared, and each keeps its ``k`` nearest of the other block: a test on
+projections would let most of a dense cell pass.
 """
 
 from __future__ import annotations
@@ -29,8 +31,10 @@ from sedimark.storage_paths import written
 
 #: Vectors of a group on which its trees are fitted, at most (about, as they are drawn by their hash).
 SAMPLE = 16_384
-#: Vectors that a cell is meant to hold, and the size of the blocks of larger ones.
-LEAF, CELL = 256, 2048
+#: Vectors that a cell is meant to hold, how many it may before it is cut into blocks, and the size of these.
+LEAF, CELL, BLOCK = 256, 4096, 8192
+#: Vectors of a block that are compared at once.
+TILE = 1024
 #: Dimensions of the projections that the chi-square test uses.
 TEST_DIMS = 32
 #: Projected coordinates are kept as whole steps of this size.
@@ -169,78 +173,103 @@ def _cells(vectors: DataFrame, forests: dict[str, Forest], with_points: bool) ->
     return vectors.select("cls", "grp", "unit").mapInArrow(run, "cell long, cls long" + ", point binary" * with_points)
 
 
-def _within(points: np.ndarray, other: np.ndarray | None, k: int, limit: float, spread: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs that the test lets pass, of one block or of two."""
-    y = points if other is None else other
-    d = (points * points).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * (points @ y.T)
-    if other is None:
-        np.fill_diagonal(d, np.inf)
-    keep = np.zeros(d.shape, bool)
-    for axis in (1, 0) if other is not None else (1,):
-        far = np.full(d.shape[1 - axis], limit)
-        if d.shape[axis] > k:
-            far = np.minimum(far, spread * np.maximum(np.partition(d, k - 1, axis=axis).take(k - 1, axis=axis), 1e-3))
-        keep |= d <= (far[:, None] if axis else far[None, :])
-    i, j = np.nonzero(keep)
-    if other is None:
-        i, j = np.minimum(i, j), np.maximum(i, j)
-        flat = np.unique(i * len(points) + j)
-        i, j = flat // len(points), flat % len(points)
-    return i, j
-
-
-def candidates(vectors: DataFrame, k: int, min_similarity: float, trees: int = 16, sure: float = 0.995, seed: int = 11) -> DataFrame:
-    """(cls_a, cls_b): pairs of vectors that the test lets pass in some tree, each once. ``vectors``: (cls, grp, unit), each class once."""
-    forests = _forests(vectors, trees, seed)
-    spark = vectors.sparkSession
-    large = _cells(vectors, forests, False).groupBy("cell").count().where(F.col("count") > CELL)
-    blocks = large.select("cell", F.ceil(F.col("count") / (CELL // 2)).cast("int").alias("blocks"))
-    placed = _cells(vectors, forests, True).join(blocks, "cell", "left").withColumn("mine", F.when(F.col("blocks").isNotNull(), F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")).otherwise(0))
-    met = placed.select("cell", "cls", "point", "mine", F.explode(F.when(F.col("blocks").isNotNull(), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.lit(0)))).alias("other"))
-    tasks = met.select("cell", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "mine", "cls", "point")
-    # rounding moves each coordinate's difference by a step at most, typically by 0.4
-    limit = chi_square(sure, TEST_DIMS) * (2 - 2 * min_similarity) * 1.02 / STEP**2
-    spread = chi_square(sure, TEST_DIMS) / chi_square(1 - sure, TEST_DIMS)
+def _within(points: np.ndarray, k: int, limit: float, spread: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a cell that the test lets pass: within ``limit``, and within ``spread`` times the distance of either one's k-th neighbour."""
+    n = len(points)
+    square = (points * points).sum(1)
+    d = square[:, None] + square[None, :] - 2 * (points @ points.T)
+    np.fill_diagonal(d, np.inf)
+    far = np.full(n, limit)
+    if n > k:
+        far = np.minimum(far, spread * np.maximum(np.partition(d, k - 1, axis=1)[:, k - 1], 1e-3))
+    i, j = np.nonzero(d <= far[:, None])
+    flat = np.unique(np.minimum(i, j) * n + np.maximum(i, j))
+    return flat // n, flat % n
+
+
+def _first_of(x: np.ndarray, y: np.ndarray, same: bool, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row of ``x`` its up to ``k`` nearest of ``y`` with a cosine of ``least`` at least."""
+    rows, cols = [], []
+    for start in range(0, len(x), TILE):
+        s = x[start : start + TILE] @ y.T
+        if same:
+            s[np.arange(len(s)), np.arange(start, start + len(s))] = -2
+        if s.shape[1] > k:
+            s[s < np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k, None]] = -2
+        i, j = np.nonzero(s >= least - 1e-5)
+        rows.append(i + start)
+        cols.append(j)
+    return np.concatenate(rows), np.concatenate(cols)
+
+
+def _meetings(tasks: DataFrame, schema_of, meet) -> DataFrame:
+    """``meet(mine, cls, data)`` over the rows (cell, low, high, mine, cls, data) of each (cell, low, high); a task holds one of them at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
-        def meet(part: tuple) -> pa.RecordBatch | None:
-            low, high, mine, cls, point = part
-            if low == high:
-                i, j = _within(point, None, k, limit, spread)
-                a, b = cls[i], cls[j]
-            else:
-                x, y = mine == low, mine == high
-                if not x.any() or not y.any():
-                    return None
-                i, j = _within(point[x], point[y], k, limit, spread)
-                a, b = cls[x][i], cls[y][j]
-            if not len(a):
-                return None
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["cls_a", "cls_b"])
-
-        def joined() -> tuple:
-            return (held[0][1], held[0][2], *(np.concatenate([h[n] for h in held]) for n in (3, 4, 5)))
+        def joined() -> pa.RecordBatch | None:
+            mine, cls, data = (np.concatenate([h[n] for h in held]) for n in (1, 2, 3))
+            a, b = meet(held[0][0][1], held[0][0][2], mine, cls, data)
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["cls_a", "cls_b"]) if len(a) else None
 
         for b in batches:
             if not b.num_rows:
                 continue
             cell, low, high, mine, cls = (b.column(n).to_numpy() for n in range(5))
-            point = np.frombuffer(b"".join(b.column(5).to_pylist()), np.int8).reshape(-1, TEST_DIMS).astype(np.float32)
+            data = schema_of(b.column(5))
             edges = np.concatenate([[0], np.flatnonzero((np.diff(cell) != 0) | (np.diff(low) != 0) | (np.diff(high) != 0)) + 1, [len(cell)]])
             for s, e in zip(edges[:-1], edges[1:]):
                 name = (cell[s], low[s], high[s])
-                if held and held[0][:3] != name:
-                    if (out := meet(joined())) is not None:
+                if held and held[0][0] != name:
+                    if (out := joined()) is not None:
                         yield out
                     held = []
-                held.append((*name, mine[s:e], cls[s:e], point[s:e]))
-        if held and (out := meet(joined())) is not None:
+                held.append((name, mine[s:e], cls[s:e], data[s:e]))
+        if held and (out := joined()) is not None:
             yield out
 
     together = tasks.repartition(F.col("cell"), F.col("low"), F.col("high")).sortWithinPartitions("cell", "low", "high")
-    return together.mapInArrow(run, "cls_a long, cls_b long").where(F.col("cls_a") != F.col("cls_b")).distinct() if forests else spark.createDataFrame([], "cls_a long, cls_b long")
+    return together.mapInArrow(run, "cls_a long, cls_b long")
+
+
+def candidates(vectors: DataFrame, k: int, min_similarity: float, trees: int = 16, sure: float = 0.995, seed: int = 11) -> DataFrame:
+    """(cls_a, cls_b): pairs of vectors that the test lets pass in some tree, each once. ``vectors``: (cls, grp, unit), each class once."""
+    forests = _forests(vectors, trees, seed)
+    if not forests:
+        return vectors.sparkSession.createDataFrame([], "cls_a long, cls_b long")
+    large = _cells(vectors, forests, False).groupBy("cell").count().where(F.col("count") > CELL)
+    blocks = written(large.select("cell", F.greatest(F.ceil(F.col("count") / BLOCK), F.lit(1)).cast("int").alias("blocks")), "large-cells")
+    # rounding moves each coordinate's difference by a step at most, typically by 0.4
+    limit = chi_square(sure, TEST_DIMS) * (2 - 2 * min_similarity) * 1.02 / STEP**2
+    spread = chi_square(sure, TEST_DIMS) / chi_square(1 - sure, TEST_DIMS)
+
+    def by_test(low, high, mine, cls, point):
+        i, j = _within(point, k, limit, spread)
+        return cls[i], cls[j]
+
+    def exactly(low, high, mine, cls, unit):
+        if low == high:
+            i, j = _first_of(unit, unit, True, k, min_similarity)
+            return cls[i], cls[j]
+        x, y = mine == low, mine == high
+        if not x.any() or not y.any():
+            return cls[:0], cls[:0]
+        i, j = _first_of(unit[x], unit[y], False, k, min_similarity)
+        u, v = _first_of(unit[y], unit[x], False, k, min_similarity)
+        return np.concatenate([cls[x][i], cls[y][u]]), np.concatenate([cls[y][j], cls[x][v]])
+
+    zero = F.lit(0).alias
+    small = _cells(vectors, forests, True).join(F.broadcast(blocks), "cell", "left_anti").select("cell", zero("low"), zero("high"), zero("mine"), "cls", "point")
+    found = _meetings(small, lambda c: np.frombuffer(b"".join(c.to_pylist()), np.int8).reshape(-1, TEST_DIMS).astype(np.float32), by_test)
+    if not blocks.isEmpty():
+        placed = _cells(vectors, forests, False).join(F.broadcast(blocks), "cell").withColumn("mine", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+        met = placed.select("cell", "cls", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).join(vectors.select("cls", "grp", "unit"), "cls")
+        for g, forest in forests.items():  # one group's vectors have one length
+            tasks = met.where(F.col("grp") == g).select("cell", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "mine", "cls", "unit")
+            dim = len(forest.test)
+            found = found.unionByName(_meetings(tasks, lambda c, dim=dim: c.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, dim), exactly))
+    return found.where(F.col("cls_a") != F.col("cls_b")).distinct()
 
 
 def similarities(pairs: DataFrame, vectors: DataFrame, min_similarity: float) -> DataFrame:

@@ -51,13 +51,25 @@ def test_recall_against_brute_force(spark, monkeypatch):
 
 
 def test_blocks_of_large_cells_lose_nothing(spark, monkeypatch):
-    rows = cloud(3, 120, 16, "s")
+    rows = cloud(3, 120, 16, "s") + cloud(4, 40, 8, "t")
     monkeypatch.setattr(N, "LEAF", 10_000)  # one cell holds everything
     whole = found(spark, rows)
     monkeypatch.setattr(N, "CELL", 40)
+    monkeypatch.setattr(N, "BLOCK", 50)
+    monkeypatch.setattr(N, "TILE", 16)
     assert found(spark, rows) == whole == brute(rows, 5, 0.8)
 
 
+def test_dense_cell(spark, monkeypatch):
+    r = np.random.default_rng(9)
+    centre = r.standard_normal(24)
+    rows = [(f"d{i:03d}", [float(x) for x in np.float32(centre + 0.2 * r.standard_normal(24))], "m", 24, None, None) for i in range(400)]
+    monkeypatch.setattr(N, "LEAF", 10_000)
+    monkeypatch.setattr(N, "CELL", 100)
+    monkeypatch.setattr(N, "BLOCK", 150)
+    assert found(spark, rows) == brute(rows, 5, 0.8)
+
+
 def test_unusable_and_repeated(spark):
     nan, inf = float("nan"), float("inf")
     rows = [
