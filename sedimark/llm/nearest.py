@@ -36,7 +36,7 @@ LEAF, CELL, BLOCK = 256, 4096, 8192
 #: Vectors of a block that are compared at once.
 TILE = 1024
 #: Dimensions of the projections that the chi-square test uses.
-TEST_DIMS = 32
+TEST_DIMS = 64
 #: Projected coordinates are kept as whole steps of this size.
 STEP = 1 / 24
 
