@@ -18,7 +18,10 @@ def _markup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    return _markup(spark, folder).select("table_name", F.col("id").alias("record_id"), F.explode("kinds").alias("kind")).distinct()
+    found = _markup(spark, folder).select("table_name", F.col("id").alias("record_id"), F.explode("kinds").alias("kind"))
+    # of a record with several contents; at most six kinds
+    kinds = found.groupBy("table_name", "record_id").agg(F.collect_set("kind").alias("k"))
+    return kinds.select("table_name", "record_id", F.explode(F.when(F.size("k") > 1, F.array_remove("k", "other")).otherwise(F.col("k"))).alias("kind"))
 
 
 def p3_text(spark: SparkSession, folder: str) -> DataFrame:
