@@ -8,14 +8,13 @@ import os
 import sys
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
+from sedimark import api
 from sedimark import config as C
-from sedimark.errors import InvalidSelector, SedimarkError
-from sedimark.operators import chunking, embedding, graph, indexing, query, reading
+from sedimark.errors import SedimarkError
+from sedimark.operators import chunking, query
 from sedimark.operators.search import SearchFilter
-from sedimark.operators.store import Store
-from sedimark.sources import formats, scan
+from sedimark.sources import scan
 
 
 def session() -> SparkSession:
@@ -25,76 +24,6 @@ def session() -> SparkSession:
     return s
 
 
-def elements_of(path: str) -> list[dict]:
-    if not os.path.exists(path):
-        raise FileNotFoundError(path)
-    with open(path, "rb") as f:
-        return formats.parse(f.read(), os.path.splitext(path)[1])
-
-
-def select(found: list[dict], ext: str, kind: str, value: str) -> list:
-    """What a selector picks of a parsed file; a selector that the format has not is an error."""
-    own = [e for e in found if e["kind"] == kind]
-    number = lambda v: int(v)
-    allowed = {"page": {"pdf"}, "slide": {"pptx"}, "note": {"pptx"}, "sheet": {"xlsx"}, "cell": {"xlsx"}, "table": {"html", "htm", "docx", "xlsx"}, "image": {"html", "htm", "docx", "pptx"}, "heading": {"md", "html", "htm", "docx", "pdf"}, "paragraph": {"txt", "md", "html", "htm", "docx", "pptx"}}
-    if kind in allowed and ext not in allowed[kind]:
-        raise InvalidSelector(f"{ext} has no {kind}")
-    if kind in ("page", "slide", "note"):
-        picked = [e["text"] for e in found if e["kind"] == ("page" if kind == "page" else "slide") and e["number"] == number(value)]
-    elif kind == "sheet":
-        picked = [e["rows"] for e in own if e["label"].lower() == value.lower()]
-    elif kind == "cell":
-        i, j = reading.cell_position(value)
-        rows = next((e["rows"] for e in found if e["kind"] == "sheet"), [])
-        picked = [rows[i][j] if i < len(rows) and j < len(rows[i]) else ""]
-    elif kind == "table":
-        picked = [e["rows"] for e in found if e["kind"] == ("sheet" if ext == "xlsx" else "table")][number(value) : number(value) + 1]
-    elif kind == "image":
-        picked = [e["label"] for e in own][number(value) : number(value) + 1]
-    elif kind == "paragraph":
-        picked = [e["text"] for e in found if e["kind"] == {"txt": "line", "pptx": "slide"}.get(ext, "paragraph")][number(value) : number(value) + 1]
-    elif kind == "heading":
-        picked = section_of(found, ext, value)
-    elif kind == "range":
-        start, end = (int(x) for x in value.replace(",", "-").split("-"))
-        raw = ("\n\n".join(e["text"] for e in found if e["kind"] == "page") if ext == "pdf" else next((e["text"] for e in found if e["kind"] in ("raw", "text")), "")).encode()
-        if not 0 <= start < end <= len(raw):
-            raise InvalidSelector(f"no range {value} in {len(raw)} bytes")
-        picked = [raw[start:end].decode("utf-8", "ignore")]
-    elif kind == "slice":
-        skip, take = (int(x) for x in value.split(","))
-        unit = {"pdf": "page", "pptx": "slide", "xlsx": "sheet", "html": "paragraph", "htm": "paragraph", "docx": "paragraph"}.get(ext, "line")
-        all_ = [e["text"] if e["text"] is not None else e["rows"] for e in found if e["kind"] == unit]
-        if skip >= len(all_):
-            raise InvalidSelector(f"only {len(all_)} {unit}s")
-        picked = all_[skip : skip + take]
-    else:
-        raise InvalidSelector(kind)
-    if not picked:
-        raise InvalidSelector(f"no {kind} {value}")
-    return picked
-
-
-def section_of(found: list[dict], ext: str, name: str) -> list:
-    heads = [e for e in found if e["kind"] == "heading"]
-    at = next((i for i, h in enumerate(heads) if h["label"].lower() == name.strip().lower()), None)
-    if at is None:
-        return []
-    h, later = heads[at], heads[at + 1 :]
-    if ext == "md":
-        lines = [e for e in found if e["kind"] == "line"]
-        stop = next((x["pos"] for x in later if x["level"] <= h["level"]), len(lines))
-        return ["\n".join(e["text"] for e in lines[h["pos"] : stop])]
-    if ext == "pdf":
-        return [e["text"] for e in found if e["kind"] == "page" and e["number"] == h["number"]]
-    paras = [e for e in found if e["kind"] == "paragraph"]
-    if ext == "docx":
-        stop = next((x["pos"] for x in later if x["level"] <= h["level"]), len(paras))
-        return ["\n".join(e["text"] for e in paras[h["pos"] + 1 : stop])]
-    stop = next((x["pos"] for x in later if x["pos"] > h["pos"]), len(paras))
-    return ["\n".join(e["text"] for e in paras[h["pos"] : stop])]
-
-
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="sedimark")
     p.add_argument("--store", default=None)
@@ -122,6 +51,7 @@ def parser() -> argparse.ArgumentParser:
     add("vector-search", "text", top_k={"type": int, "default": 10})
     add("graph-expand", "node", depth={"type": int, "default": 1}, direction={"default": "both"})
     add("graph-path", "start", "goal")
+    add("graph-info", "file_id")
     add("graph-stats")
     add("vector-status")
     add("config")
@@ -134,27 +64,20 @@ def run(argv: list[str], spark: SparkSession | None = None, out=print) -> int:
     show = lambda x: out(json.dumps(x, ensure_ascii=False, default=str))
     try:
         if a.command in ("info", "metadata", "outline", "page-count", "search", "read", "chunk"):
-            found, ext = elements_of(a.path), os.path.splitext(a.path)[1][1:].lower()
-            kinds = [e["kind"] for e in found]
-            pages = kinds.count("page") or kinds.count("slide") or None
+            doc = api.open_doc(a.path)
             if a.command in ("info", "metadata"):
-                meta = next((dict(e["rows"]) for e in found if e["kind"] == "meta"), {})
-                show({"path": a.path, "format": ext, "size": os.path.getsize(a.path), "page_count": pages, **meta})
+                show(doc.metadata())
             elif a.command == "page-count":
-                show(pages)
+                show(doc.page_count())
             elif a.command == "outline":
-                show([(1 if e["kind"] != "heading" else e["level"], e["label"] or f"Slide {e['number']}") for e in found if e["kind"] in ("heading", "slide", "sheet")])
+                show([(e.level, e.label) for e in doc.outline()])
             elif a.command == "search":
-                units = {"pdf": "page", "pptx": "slide", "html": "paragraph", "docx": "paragraph"}.get(ext, "line")
-                cells = [(f"{e['label']}:{i + 1},{j + 1}", c) for e in found if e["kind"] == "sheet" for i, r in enumerate(e["rows"]) for j, c in enumerate(r)]
-                texts = cells if ext == "xlsx" else [(e["idx"], f"{e['label']}: {e['text']}" if units == "slide" and e["label"] else e["text"]) for e in found if e["kind"] == units]
-                show([(i, t) for i, t in texts if a.query.lower() in (t or "").lower()])
+                show([(m.place, m.text, m.context) for m in doc.search(a.query)])
             elif a.command == "read":
                 kind = next((k for k in ("slice", "page", "heading", "paragraph", "table", "sheet", "slide", "cell", "image", "note", "range") if getattr(a, k) is not None), None)
-                show(select(found, ext, kind, getattr(a, kind)) if kind else [e["text"] for e in found if e["kind"] in ("text", "page", "slide")])
+                show(doc.read(kind, getattr(a, kind)) if kind else doc.read())
             else:
-                texts = [{"kind": "Text", "text": e["text"]} if e["kind"] == "text" else {"kind": "Page", "text": e["text"], "number": e["number"]} if e["kind"] == "page" else {"kind": "Slide", "text": e["text"], "number": e["number"], "title": e["label"]} if e["kind"] == "slide" else {"kind": "Sheet", "name": e["label"], "rows": e["rows"]} for e in found if e["kind"] in ("text", "page", "slide", "sheet")]
-                show(chunking.chunk_blocks(a.path, texts, chunking.ChunkConfig(a.min_tokens, a.max_tokens)))
+                show(doc.chunks(chunking.ChunkConfig(a.min_tokens, a.max_tokens)))
             return 0
         if a.command == "hash":
             show(scan.hash_file(a.path))
@@ -172,34 +95,31 @@ def run(argv: list[str], spark: SparkSession | None = None, out=print) -> int:
                 show(r.asDict())
             return 0
         if a.command == "grep":
-            files = scan.scan(spark, a.root, hashed=False)
-            raw = spark.read.format("binaryFile").load(["file://" + r.path for r in files.select("path").collect()]) if files.count() else None
-            parsed = formats.parse_files(raw.select(F.col("path").alias("file_id"), F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).alias("extension"), "content"))
-            texts = parsed.select("file_id", F.inline("elements")).where(F.col("kind").isin("line", "paragraph", "page", "slide"))
-            html = texts.where(~((F.col("kind") == "paragraph") & F.col("file_id").endswith(".md")))
-            for r in html.where(F.lower("text").contains(a.query.lower())).groupBy("file_id").agg(F.count("*").alias("matches")).orderBy("file_id").toLocalIterator():
+            for r in api.grep_docs(spark, a.root, a.query).orderBy("path").toLocalIterator():
                 show(r.asDict())
             return 0
-        store = Store(spark, a.store or "file://" + os.path.abspath(conf.storage.path), conf.storage.read_only)
-        e = embedding.create_embedder(conf.embedding.provider, conf.embedding.model, conf.embedding.url, None, conf.embedding.dimension)
+        index = api.Index(spark, a.store or conf.storage.path, conf)
         if a.command == "index":
-            show(indexing.index(store, a.root, e, indexing.IndexConfig("Full" if a.full else "Incremental")).__dict__)
-        elif a.command in ("query", "vector-search"):
-            engine = query.QueryEngine(store.chunks.read().where(F.col("embedding").isNotNull()), e, store.nodes.read(), store.edges.read())
-            q = query.Query(a.text, "Vector", a.top_k) if a.command == "vector-search" else query.Query(a.text, a.mode, a.top_k, a.depth, SearchFilter(file_id=a.file) if a.file else None, any_term=True)
-            out(query.preview(engine.results(q).collect()))
-            if a.command == "query" and a.context:
-                for r in engine.windows(q).orderBy("anchor_id", "distance").toLocalIterator():
+            show(index.add(a.root, "Full" if a.full else "Incremental").__dict__)
+        elif a.command == "query":
+            options = {"mode": a.mode, "top_k": a.top_k, "depth": a.depth, "where": SearchFilter(file_id=a.file) if a.file else None, "any_term": True}
+            out(query.preview(index.query(a.text, **options).collect()))
+            if a.context:
+                for r in index.engine().windows(query.Query(a.text, **options)).orderBy("anchor_id", "distance").toLocalIterator():
                     show(r.asDict())
+        elif a.command == "vector-search":
+            out(query.preview(index.query(a.text, mode="Vector", top_k=a.top_k).collect()))
         elif a.command == "graph-expand":
-            nodes, edges = graph.expand(a.node, store.nodes.read(), store.edges.read(), a.depth, a.direction)
+            nodes, edges = index.expand(a.node, a.depth, a.direction)
             show({"nodes": [r.id for r in nodes.orderBy("id").collect()], "edges": [r.edge_id for r in edges.orderBy("edge_id").collect()]})
         elif a.command == "graph-path":
-            show(graph.find_path(a.start, a.goal, store.nodes.read(), store.edges.read()))
+            show(index.path(a.start, a.goal))
+        elif a.command == "graph-info":
+            show(index.graph_info(a.file_id))
         elif a.command == "graph-stats":
-            show({r.node_type: r.n for r in graph.type_counts(store.nodes.read()).collect()} | store.counts())
+            show(index.stats())
         elif a.command == "vector-status":
-            show({"vectors": store.chunks.read().where(F.col("embedding").isNotNull()).count(), "model": e.model, "dimension": len(e.embed_batch(["probe"])[0])})
+            show(index.status())
         return 0
     except (SedimarkError, FileNotFoundError) as x:
         out(f"{type(x).__name__}: {x}")

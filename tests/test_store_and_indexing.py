@@ -189,10 +189,11 @@ def test_cli(spark, tree, tmp_path, monkeypatch):
     assert json.loads(run("index", str(tree))[1][0])["indexed"] == 2
     assert "Alpha" in run("query", "the budget of the project", "--context")[1][0]
     assert run("vector-search", "pastry")[1][0].startswith("1. ")
-    assert json.loads(run("graph-stats")[1][0])["File"] == 2
-    node = "file:" + spark.read.parquet(f"{tmp_path}/.sedimark/files/part-*").first().file_id
+    assert json.loads(run("graph-stats")[1][0])["types"]["File"] == 2
+    node = "file:" + spark.read.parquet(f"{tmp_path}/.sedimark/files/part-*").where("path LIKE '%a.md'").first().file_id
     assert len(json.loads(run("graph-expand", node)[1][0])["nodes"]) >= 1
     assert json.loads(run("graph-path", node, node)[1][0]) == []
+    assert json.loads(run("graph-info", node[5:])[1][0])["nodes"] >= 0
     assert json.loads(run("vector-status")[1][0])["vectors"] == 5
     assert "chunking" in run("config")[1][0]
 
