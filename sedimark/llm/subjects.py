@@ -35,6 +35,8 @@ COMMON_SHARE, LANGUAGE_SHARE = 2.0, 0.005
 FREE = 0.3
 #: Least part of a term's weight in one subject for the term to count in a sentence.
 PURE = 0.3
+#: Counts that a task holds before it hands them on.
+HELD_TERMS = 1_000_000
 #: How much more often than in other subjects' documents an anchor must be in a subject's; labelled documents that it takes to rule a term out.
 LIFT, ENOUGH = 2.0, 4
 ALTERNATIONS, INNER = 4, 8
@@ -98,6 +100,13 @@ def _term_counts(docs: DataFrame, labelled: dict, names: list[str]) -> tuple[lis
     number = {s: i for i, s in enumerate(names)}
     shared = docs.sparkSession.sparkContext.broadcast({k: [number[s] for s in v if s in number] for k, v in labelled.items()})
 
+    def counted(by: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
+        for g, c in by.items():
+            items = list(c.items())
+            for i in range(0, len(items), 50_000):
+                part = items[i : i + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in part], pa.string()), pa.array([g] * len(part), pa.string()), pa.array([n for _, n in part], pa.int64())], names=["term", "g", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by: dict[str, Counter] = {}
         get = shared.value.get
@@ -109,11 +118,10 @@ def _term_counts(docs: DataFrame, labelled: dict, names: list[str]) -> tuple[lis
                     if g not in by:
                         by[g] = Counter()
                     by[g].update(words)
-        for g, c in by.items():
-            items = list(c.items())
-            for i in range(0, len(items), 50_000):
-                part = items[i : i + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in part], pa.string()), pa.array([g] * len(part), pa.string()), pa.array([n for _, n in part], pa.int64())], names=["term", "g", "n"])
+            if sum(map(len, by.values())) > HELD_TERMS:
+                yield from counted(by)
+                by = {}
+        yield from counted(by)
 
     counts = written(docs.select("k", "t", "l").mapInArrow(run, "term string, g string, n long").groupBy("term", "g").agg(F.sum("n").alias("n")), "terms")
     sizes = {r.g: r.n for r in counts.where(F.col("term") == "").orderBy(F.desc("n")).limit(10_000).collect()}
