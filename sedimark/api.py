@@ -13,6 +13,7 @@ from sedimark.errors import InvalidQuery
 from sedimark.operators import embedding, graph, indexing, query, search
 from sedimark.operators.caching import CacheManager
 from sedimark.operators.store import Store
+from sedimark.session import ship
 from sedimark.sources import formats, scan
 from sedimark.sources.documents import Document
 from sedimark.streaming import watch
@@ -26,6 +27,7 @@ def grep_docs(spark: SparkSession, root: str, text: str) -> DataFrame:
     """(path, matches): files of a directory with matching lines, paragraphs, slides, cells or pages; broken files are skipped."""
     if not text:
         raise InvalidQuery("empty query")
+    ship(spark)
     files = spark.createDataFrame([(p, os.path.splitext(p)[1][1:].lower()) for p in scan.readable_files(root)], "file_id string, extension string")
 
     def load(batches):
@@ -54,6 +56,7 @@ class Index:
     """A store, an embedder and what they answer."""
 
     def __init__(self, spark: SparkSession, folder: str, config: Config = Config(), embedder: embedding.Embedder | None = None):
+        ship(spark)
         self.spark, self.config = spark, config
         self.store = Store(spark, folder if "://" in folder else "file://" + os.path.abspath(folder), config.storage.read_only)
         c = config.embedding

@@ -129,3 +129,17 @@ def test_written_tables_can_be_forgotten(spark):
     t = written(spark.range(3).selectExpr("id", "array(id) AS a"), "x")
     assert t.count() == 3 and shared_dir(spark)
     assert forget(spark) == 1 and forget(spark) == 0
+
+
+def test_package_is_shipped(spark):
+    import zipfile
+
+    from sedimark.session import ship
+
+    ship(spark)
+    ship(spark)
+    sent = [f for f in spark.sparkContext._python_includes if f == "sedimark_package.zip"]
+    assert len(sent) == 1
+    from pyspark import SparkFiles
+
+    assert "sedimark/operators/graph.py" in zipfile.ZipFile(SparkFiles.get("sedimark_package.zip")).namelist()
