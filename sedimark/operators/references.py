@@ -108,3 +108,15 @@ def cascade(tables: dict[str, Keyed], keys: list[ForeignKey], max_rounds: int =
             return known
         known = known.unionByName(frontier)
     return known
+
+
+def dated(found: DataFrame, tables: dict[str, Keyed]) -> DataFrame:
+    """The records of ``cascade`` with their ``period``, the month of a record's earliest time over all its rows, or ``unknown``."""
+    out = None
+    for name, t in tables.items():
+        own = found.where(F.col("table_name") == name)
+        rows = t.rows.select(F.col(t.key).alias("_id"), _time(t).alias("_at"))
+        at = rows.join(own.select("record_id"), F.col("_id").eqNullSafe(F.col("record_id")), "left_semi").groupBy("_id").agg(F.min("_at").alias("_at"))
+        part = own.join(at, F.col("record_id").eqNullSafe(F.col("_id")), "left").withColumn("period", month(F.col("_at"))).drop("_id", "_at")
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedimark.operators.incremental import pending_files
-from sedimark.operators.references import ForeignKey, Keyed, cascade, direct
+from sedimark.operators.references import ForeignKey, Keyed, cascade, dated, direct
 from sedimark.sources.tables import table
 
 
@@ -39,13 +39,21 @@ def p2_cascade(spark: SparkSession, folder: str) -> DataFrame:
     tables, keys = _references(spark, folder)
     nodes = table(spark, folder, "graph_nodes")
     tables["chunk_nodes"] = Keyed(nodes.where(F.col("node_type") == "Chunk"), "id", "created_at")
-    tables["edges_of_chunks"] = Keyed(table(spark, folder, "graph_edges"), "edge_id", "created_at")
     keys = [keys[0], ForeignKey("chunk_nodes", "ref_id", "chunks")]
     nested = cascade({k: tables[k] for k in ("chunks", "file_meta", "chunk_nodes")}, keys)
     return nested.groupBy("table_name", "origin", "depth").agg(F.count("*").alias("n"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_changes": p1_changes, "p2_found": p2_found, "p2_cascade": p2_cascade}
+def p2_orphans(spark: SparkSession, folder: str) -> DataFrame:
+    """Direct and inherited orphans per table, month and depth, down to the edges: chunk nodes are children of their chunks, edges of their nodes."""
+    tables, keys = _references(spark, folder)
+    chunk = F.when(F.col("node_type") == "Chunk", F.col("ref_id"))
+    tables["graph_nodes"] = Keyed(table(spark, folder, "graph_nodes").withColumn("chunk_ref", chunk), "id", "created_at")
+    found = dated(cascade(tables, [*keys, ForeignKey("graph_nodes", "chunk_ref", "chunks")]), tables)
+    return found.groupBy("table_name", "period", "origin", "depth").agg(F.count("*").alias("n"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_changes": p1_changes, "p2_found": p2_found, "p2_cascade": p2_cascade, "p2_orphans": p2_orphans}
 
 _CLEAN = r"nullif(regexp_replace(lower(regexp_replace(hash, '^\s+|\s+$', '', 'g')), '^sha256:\s*', ''), '')"
 _P1 = rf"""
@@ -85,4 +93,23 @@ SELECT * FROM (
   UNION ALL SELECT 'chunk_nodes', 'direct', 0, count(*) FROM lost
   UNION ALL SELECT 'chunk_nodes', 'inherited', 1, count(*) FROM heir) WHERE n > 0
 """
-ORACLE = {"p1_found": _P1 % "file_id", "p1_changes": _P1 % "file_id, now.h AS hash, CASE WHEN ok.h IS NULL THEN 'new' ELSE 'changed' END AS change", "p2_found": _P2, "p2_cascade": _P2C}
+_P2O = f"""
+WITH found AS ({_P2}),
+bad AS (SELECT DISTINCT record_id AS id FROM found WHERE table_name = 'chunks'),
+node AS (
+  SELECT id, min(CASE WHEN c.chunk_id IS NULL THEN 0 ELSE 1 END) AS depth
+  FROM (SELECT id, ref_id FROM graph_nodes WHERE node_type = 'Chunk' AND ref_id IS NOT NULL AND ref_id <> '') n
+  LEFT JOIN (SELECT DISTINCT chunk_id FROM chunks) c ON c.chunk_id = n.ref_id
+  WHERE c.chunk_id IS NULL OR n.ref_id IN (SELECT id FROM bad WHERE id IS NOT NULL) GROUP BY id),
+edge AS (
+  SELECT id, min(depth) AS depth FROM (
+    SELECT record_id AS id, 0 AS depth FROM found WHERE table_name = 'graph_edges'
+    UNION ALL SELECT e.edge_id, n.depth + 1 FROM graph_edges e JOIN node n ON n.id = e.from_id WHERE e.from_id <> ''
+    UNION ALL SELECT e.edge_id, n.depth + 1 FROM graph_edges e JOIN node n ON n.id = e.to_id WHERE e.to_id <> '') GROUP BY id),
+dated AS (
+  SELECT 'chunks' AS table_name, depth, seen FROM (SELECT id, 0 AS depth FROM bad) b JOIN (SELECT chunk_id, min(created_at) AS seen FROM chunks GROUP BY chunk_id) a ON a.chunk_id IS NOT DISTINCT FROM b.id
+  UNION ALL SELECT 'graph_nodes', depth, seen FROM node b JOIN (SELECT id, min(created_at) AS seen FROM graph_nodes GROUP BY id) a ON a.id IS NOT DISTINCT FROM b.id
+  UNION ALL SELECT 'graph_edges', depth, seen FROM edge b JOIN (SELECT edge_id, min(created_at) AS seen FROM graph_edges GROUP BY edge_id) a ON a.edge_id IS NOT DISTINCT FROM b.id)
+SELECT table_name, {_MONTH} AS period, CASE WHEN depth = 0 THEN 'direct' ELSE 'inherited' END AS origin, depth, count(*) AS n FROM dated GROUP BY ALL
+"""
+ORACLE = {"p1_found": _P1 % "file_id", "p1_changes": _P1 % "file_id, now.h AS hash, CASE WHEN ok.h IS NULL THEN 'new' ELSE 'changed' END AS change", "p2_found": _P2, "p2_cascade": _P2C, "p2_orphans": _P2O}

@@ -5,6 +5,7 @@ from sedimark.errors import StorageError
 from sedimark.operators.incremental import KeyedState, changed, clean_hash, content_hash, current_rows, pending_files
 from sedimark.operators.references import ForeignKey, Keyed, cascade, direct
 from sedimark.operators.skew import hot_keys, join_unique
+from sedimark.plans.general import QUERIES
 
 META = "file_id string, hash string, modified long, extra string"
 LOG = "file_id string, hash string, last_indexed long, status string"
@@ -143,3 +144,19 @@ def test_package_is_shipped(spark):
     from pyspark import SparkFiles
 
     assert "sedimark/operators/graph.py" in zipfile.ZipFile(SparkFiles.get("sedimark_package.zip")).namelist()
+
+
+def test_orphans_are_inherited_down_to_the_edges(spark, tmp_path):
+    may, june = 1_714_953_600_000, 1_717_632_000_000  # 2024
+    for name, rows, schema in (
+        ("file_meta", [("f",)], "file_id string"),
+        ("chunks", [("good", "f", may), ("bad", "gone", may)], "chunk_id string, file_id string, created_at long"),
+        ("graph_nodes", [("n", "Chunk", "good", may), ("heir", "Chunk", "bad", may), ("lost", "Chunk", "none", may), ("e", "Entity", "none", may)], "id string, node_type string, ref_id string, created_at long"),
+        ("graph_edges", [("fine", "n", "e", june), ("deep", "heir", "e", june), ("near", "heir", "lost", None), ("own", "x", "heir", june), ("own", "e", "heir", may)], "edge_id string, from_id string, to_id string, created_at long"),
+    ):
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    got = {tuple(r) for r in QUERIES["p2_orphans"](spark, str(tmp_path)).select("table_name", "period", "origin", "depth", "n").collect()}
+    assert got == {
+        ("chunks", "2024-05", "direct", 0, 1), ("graph_nodes", "2024-05", "direct", 0, 1), ("graph_nodes", "2024-05", "inherited", 1, 1),
+        ("graph_edges", "2024-05", "direct", 0, 1), ("graph_edges", "unknown", "inherited", 1, 1), ("graph_edges", "2024-06", "inherited", 2, 1),
+    }
