@@ -459,16 +459,23 @@ def host_of(path: str) -> Column:
 def induce(pages: DataFrame) -> DataFrame:
     """(page rows, template): ``pages`` (host, id, content) with the numbers of each page's template nodes.
 
-    A host's reference is its page with the smallest id. Counts of matched nodes are taken together
+    Only HTML has a tree to align, so other rows are left out and don't count as pages. A host's
+    reference is its page with the smallest id. Counts of matched nodes are taken together
     within each task before they are shuffled; a host with any number of pages has one row a node.
     """
-    ok = pages.where(F.col("host").isNotNull() & (F.col("host") != "") & F.col("content").isNotNull())
+
+    def only_html(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array([is_html(t) for t in b.column(2).to_pylist()], pa.bool_()))
+
+    ok = pages.where(F.col("host").isNotNull() & (F.col("host") != "") & F.col("content").isNotNull()).select("host", "id", "content")
+    ok = written(ok.mapInArrow(only_html, "host string, id string, content string"), "html")
     ref = ok.groupBy("host").agg(F.min_by("content", F.struct("id", "content")).alias("reference"), F.count("*").alias("pages"))
     met = join_unique(ok, ref.where(F.col("pages") >= TEMPLATE_PAGES), "host", "inner")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [same_nodes(p, r) if is_html(p) and is_html(r) else [] for p, r in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            rows = [same_nodes(p, r) for p, r in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), b.column(4), pa.array([[x for x, _ in r] for r in rows], pa.list_(pa.int32())), pa.array([[y for _, y in r] for r in rows], pa.list_(pa.int32()))], names=["host", "id", "content", "pages", "theirs", "own"])
 
     # aligning takes far longer than moving the pages, so tasks are made by number of pages, not by bytes

@@ -70,6 +70,13 @@ def test_template_is_induced(spark):
     assert clean(df.limit(0), "file_id", "content", host_of("path")).count() == 0
 
 
+def test_rows_without_html_are_no_pages(spark):
+    rows = [(f"f{i}", "/site/a/x.html", page(i), None, None) for i in range(6)]
+    rows += [(f"a{i}", "/site/a/x.txt", f"# Notes {i}", None, None) for i in range(6)]  # the smallest ids, and half of the rows
+    got = {r.id: r.text for r in clean(spark.createDataFrame(rows, KIND), "file_id", "content", host_of("path")).collect()}
+    assert got == {f"f{i}": f"# Title {i}\n\nContent number {i}." for i in range(6)} | {f"a{i}": f"# Notes {i}" for i in range(6)}
+
+
 def test_host(spark):
     got = spark.createDataFrame([("/v/a/2024/x",), ("https://h.org/a/b",), ("x",), (None,)], "p string").select(host_of("p")).collect()
     assert [r[0] for r in got] == ["/v/a", "h.org", "", None]
