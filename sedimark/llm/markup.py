@@ -128,11 +128,17 @@ def parse_html(text: str) -> Node:
 
 
 def text_of(node: Node) -> str:
-    if node.template:
-        return ""
-    if node.tag == "br":
-        return "\n"
-    return node.text + "".join(map(text_of, node.children))
+    out, stack = [], [node]
+    while stack:
+        n = stack.pop()
+        if n.template:
+            continue
+        if n.tag == "br":
+            out.append("\n")
+        else:
+            out.append(n.text)
+            stack.extend(reversed(n.children))
+    return "".join(out)
 
 
 def _flat(s: str) -> str:
@@ -142,9 +148,20 @@ def _flat(s: str) -> str:
 _Block = tuple[str, str]
 
 
-def html_blocks(node: Node, out: list[_Block] | None = None, depth: int = 0) -> list[_Block]:
-    """(kind, text) in the order of the page, without template; kind is one of KINDS, ``text`` or ``hidden``."""
-    out = [] if out is None else out
+def html_blocks(node: Node) -> list[_Block]:
+    """(kind, text) in the order of the page, without template; kind is one of KINDS, ``text`` or ``hidden``. Nesting may have any depth."""
+    out: list[_Block] = []
+    stack = [_blocks(node, out)]
+    while stack:
+        if (inner := next(stack[-1], None)) is None:
+            stack.pop()
+        else:
+            stack.append(_blocks(*inner))
+    return out
+
+
+def _blocks(node: Node, out: list[_Block]) -> Iterator[tuple[Node, list[_Block]]]:
+    """Appends the node's blocks to ``out``; yields (child, list) where the child's blocks must be appended to the list before it goes on."""
     run: list[str] = []
 
     def flush():
@@ -153,7 +170,7 @@ def html_blocks(node: Node, out: list[_Block] | None = None, depth: int = 0) ->
                 out.extend(_formulas(t))
             run.clear()
 
-    for c in node.children if depth < 200 else []:
+    for c in node.children:
         if c.template or c.tag in ("script", "style", "head", "title", "meta", "link", "template", "noscript"):
             flush()
         elif c.tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
@@ -167,7 +184,8 @@ def html_blocks(node: Node, out: list[_Block] | None = None, depth: int = 0) ->
             out.append(("formula", "$$" + _flat(text_of(c)) + "$$"))
         elif c.tag in ("li", "dt", "dd"):
             flush()
-            inner = html_blocks(c, [], depth + 1)
+            inner: list[_Block] = []
+            yield c, inner
             first = [t for k, t in inner if k == "text"]
             out.append(("list", "- " + " ".join(first)))
             out.extend(b for b in inner if b[0] != "text")
@@ -180,16 +198,15 @@ def html_blocks(node: Node, out: list[_Block] | None = None, depth: int = 0) ->
         elif c.tag in ("ul", "ol", "dl", "table", "tbody", "thead", "tfoot", "p", "div", "section", "article", "nav", "header", "footer", "main", "aside", "blockquote", "body", "html", "figure", "form", "details", "summary", "caption", "figcaption", "center"):
             flush()
             before = len(out)
-            html_blocks(c, out, depth + 1)
+            yield c, out
             if c.tag in ("ul", "ol", "dl", "table") and not any(k in KINDS for k, _ in out[before:]):
                 out.append(("table" if c.tag == "table" else "list", _flat(text_of(c))))
         elif c.children and not c.tag.startswith("#") and any(x.tag in _OPENS | {"li", "tr", "td", "math", "pre"} for x in c.children):
             flush()
-            html_blocks(c, out, depth + 1)
+            yield c, out
         else:
             run.append(text_of(c))
     flush()
-    return out
 
 
 def _formulas(text: str) -> list[_Block]:

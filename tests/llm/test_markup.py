@@ -43,6 +43,12 @@ def test_long_and_broken_texts():
     assert convert("word " * 200_000 + "**b**")[1] == ["other"]
 
 
+def test_no_depth_is_too_deep():
+    text, kinds = convert("<div>" * 1500 + "<h2>Deep</h2><ul><li>item</li></ul><pre>x = 1</pre>end")
+    assert kinds == ["heading", "list", "code"] and text.startswith("## Deep\n\n- item") and text.endswith("end")
+    assert convert("<p>" + "<b>" * 3000 + "x")[0] == "x"
+
+
 def test_simple_tree_matching():
     a, b = parse_html("<div><p>1</p><b>2</b><p>3</p></div>"), parse_html("<div><b>2</b><p>x</p></div>")
     size, pairs = match_trees(a, b)
