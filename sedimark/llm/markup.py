@@ -11,10 +11,12 @@ the host's pages are template, those whose text varies are slots, that is conten
 from __future__ import annotations
 
 import html
+import math
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,8 +29,8 @@ KINDS = ("heading", "list", "code", "formula", "table")
 TEMPLATE_SHARE, TEMPLATE_PAGES = 0.6, 4
 #: Pages that one task aligns where there are many.
 TASK = 2_000
-#: Nodes of a page that take part in the alignment level by level; more are compared by position.
-ALIGNED_CHILDREN = 400
+#: Children that are aligned by plain loops; more are aligned by the same steps on arrays.
+PLAIN_CHILDREN = 32
 
 _TAGS = "a abbr article aside b blockquote body br button caption center cite code col colgroup dd del details div dl dt em embed figcaption figure font footer form h1 h2 h3 h4 h5 h6 head header hr html i iframe img input ins kbd label li link main mark math meta nav noscript ol option p path picture pre q ref references s samp script section select small source span strike strong style sub summary sup svg syntaxhighlight table tbody td template textarea tfoot th thead title tr tt u ul var video wbr nowiki gallery".split()
 _TAG = re.compile(r"</?(?:" + "|".join(_TAGS) + r")(?:\s[^<>]*)?/?>", re.I)
@@ -430,35 +432,125 @@ def convert(text: str | None, template: frozenset[int] = frozenset()) -> tuple[s
 # --- wrapper induction -------------------------------------------------------------------------
 
 
+def _row(prev, w):
+    """The next row of the alignment's table: the best of the lists so far, given the weights of one element with each of the other list."""
+    if isinstance(prev, np.ndarray):
+        return np.concatenate(([0], np.maximum.accumulate(np.maximum(prev[1:], prev[:-1] + w))))
+    row = [0]
+    for j, x in enumerate(w):
+        row.append(max(prev[j + 1], row[j], prev[j] + x))
+    return row
+
+
+class _Matcher:
+    """Sizes of mappings by shape: trees that differ in text only have one shape, so each two shapes are compared once."""
+
+    def __init__(self):
+        self.ids: dict[tuple, int] = {}
+        self.shapes: list[tuple[str, tuple[int, ...], int]] = []  # tag, shapes of the children, nodes
+        self.of: dict[int, int] = {}
+        self.size: dict[tuple[int, int], int] = {}
+
+    def add(self, root: Node) -> None:
+        order, stack = [], [root]
+        while stack:
+            order.append(n := stack.pop())
+            stack.extend(n.children)
+        for n in reversed(order):
+            key = n.tag, tuple(self.of[id(c)] for c in n.children)
+            if key not in self.ids:
+                self.ids[key] = len(self.shapes)
+                self.shapes.append((*key, 1 + sum(self.shapes[c][2] for c in key[1])))
+            self.of[id(n)] = self.ids[key]
+
+    def weight(self, x: int, y: int) -> int | None:
+        """The size for two shapes, None if it isn't known yet."""
+        if x == y:
+            return self.shapes[x][2]
+        if self.shapes[x][0] != self.shapes[y][0]:
+            return 0
+        if not self.shapes[x][1] or not self.shapes[y][1]:
+            return 1
+        return self.size.get((x, y))
+
+    def compare(self, x: int, y: int) -> int:
+        stack = [(x, y)]
+        while stack:
+            p, q = stack[-1]
+            if self.weight(p, q) is None:
+                xs, ys = self.shapes[p][1], self.shapes[q][1]
+                if open := [(i, j) for i in set(xs) for j in set(ys) if self.weight(i, j) is None]:
+                    stack.extend(open)
+                    continue
+                row, weights = self.first(ys), self.weights(ys)
+                for i in xs:
+                    row = _row(row, weights(i))
+                self.size[p, q] = 1 + int(row[-1])
+            stack.pop()
+        return self.weight(x, y)
+
+    @staticmethod
+    def first(ys):
+        return [0] * (len(ys) + 1) if len(ys) <= PLAIN_CHILDREN else np.zeros(len(ys) + 1, np.int64)
+
+    def weights(self, ys):
+        if len(ys) <= PLAIN_CHILDREN:
+            return lambda x: [self.weight(x, y) for y in ys]
+        kinds, place = np.unique(np.array(ys), return_inverse=True)
+        known: dict[int, np.ndarray] = {}
+
+        def of(x: int) -> np.ndarray:
+            if x not in known:
+                known[x] = np.array([self.weight(x, int(y)) for y in kinds], np.int64)
+            return known[x][place]
+
+        return of
+
+    def aligned(self, p: int, q: int) -> list[tuple[int, int]]:
+        """Positions of the children that the best alignment pairs. Every so many rows one is kept, the others are made again."""
+        xs, ys = self.shapes[p][1], self.shapes[q][1]
+        if p == q:
+            return [(i, i) for i in range(len(xs))]
+        if not xs or not ys:
+            return []
+        weights, step = self.weights(ys), math.isqrt(len(xs)) + 1
+        row, kept = self.first(ys), []
+        for i, x in enumerate(xs):
+            if i % step == 0:
+                kept.append(row)
+            row = _row(row, weights(x))
+        pairs, i, j, low, rows = [], len(xs), len(ys), -1, []
+        while i and j:
+            if (start := (i - 1) // step * step) != low:
+                low, rows = start, [kept[start // step]]
+                for x in xs[start:i]:
+                    rows.append(_row(rows[-1], weights(x)))
+            here, above = rows[i - low], rows[i - 1 - low]
+            if here[j] == above[j]:
+                i -= 1
+            elif here[j] == here[j - 1]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                pairs.append((i, j))
+        return pairs
+
+
 def match_trees(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
     """The size of the largest mapping between two trees that keeps parents, order and tags, and the mapping."""
     if a.tag != b.tag:
         return 0, []
-    xs, ys = a.children, b.children
-    if not xs or not ys:
-        return 1, [(a, b)]
-    if max(len(xs), len(ys)) > ALIGNED_CHILDREN:
-        parts = [match_trees(x, y) for x, y in zip(xs, ys)]
-        return 1 + sum(n for n, _ in parts), [(a, b), *(p for _, m in parts for p in m)]
-    cell: dict[tuple[int, int], tuple[int, list]] = {}
-    best = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
-    for i, x in enumerate(xs):
-        for j, y in enumerate(ys):
-            w = 0
-            if x.tag == y.tag:
-                cell[i, j] = match_trees(x, y)
-                w = cell[i, j][0]
-            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + w)
-    pairs, i, j = [(a, b)], len(xs), len(ys)
-    while i and j:
-        if best[i][j] == best[i - 1][j]:
-            i -= 1
-        elif best[i][j] == best[i][j - 1]:
-            j -= 1
-        else:
-            i, j = i - 1, j - 1
-            pairs += cell[i, j][1]
-    return 1 + best[len(xs)][len(ys)], pairs
+    m = _Matcher()
+    m.add(a)
+    m.add(b)
+    size = m.compare(m.of[id(a)], m.of[id(b)])
+    pairs, stack = [], [(a, b)]
+    while stack:
+        x, y = stack.pop()
+        pairs.append((x, y))
+        for i, j in m.aligned(m.of[id(x)], m.of[id(y)]):
+            stack.append((x.children[i], y.children[j]))
+    return size, pairs
 
 
 def same_nodes(page: str, reference: str) -> list[tuple[int, int]]:

@@ -1,6 +1,6 @@
 import pytest
 
-from sedimark.llm.markup import clean, convert, host_of, match_trees, parse_html
+from sedimark.llm.markup import clean, convert, host_of, match_trees, parse_html, text_of
 
 FENCE = "```python\ndef f(x):\n    # not a heading\n    - not an item\n```"
 
@@ -56,6 +56,18 @@ def test_simple_tree_matching():
     assert match_trees(parse_html("<a>x</a>"), parse_html("<b>x</b>"))[0] == 1
 
 
+def test_long_lists_and_deep_trees_are_matched_exactly():
+    def flat(*first):
+        return "<div>" + "".join([*first, *(f"<p>{i}</p> <b>{i}<i>{i}</i></b> " if i % 3 else f"<h3>{i}</h3> " for i in range(300)), "<nav><a>Imprint</a></nav>"]) + "</div>"
+
+    a, b = flat("<table><tr><td>new</td></tr></table>"), flat()
+    size, pairs = match_trees(parse_html(a), parse_html(b))
+    assert size == len(pairs) and {y.number for _, y in pairs} == set(range(len(pairs)))
+    assert all(text_of(x) == text_of(y) for x, y in pairs if x.tag in ("p", "b", "i", "h3", "nav"))
+    deep = match_trees(parse_html("<div>" * 3000 + "<b>x</b>"), parse_html("<div>" * 3000 + "<i>y</i>"))
+    assert deep[0] == len(deep[1]) == 3001
+
+
 KIND = "file_id string, path string, content string, text string, kinds string"
 
 
