@@ -9,17 +9,18 @@ is decoded with it by the Viterbi algorithm, page by page, and whole.
 
 Split and misread words are judged by how often words occur in all documents: a word is misread if
 it is rare and one typical confusion away from one that is far more frequent, or has a sign inside
-that no word has. Counts are summed up within tasks first; the words that are frequent enough to
-correct others number at most 1 / ``WORD_SHARE``.
+that no word has. Counts are summed up within tasks first; the words that every task holds number at most
+1 / ``WORD_SHARE``, and the counts of rarer ones are joined to the documents that ask for them.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+import uuid
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -35,8 +36,10 @@ SAMPLE, ROUNDS = 1_000, 3
 MAX_PAGE = 999
 #: Documents that one task reads where there are many.
 TASK = 2_000
-#: A word that corrects others makes up this part of all words at least, and occurs so often at least.
+#: A word that corrects others occurs so often at least. Rarer words than this part of all words aren't held in one place, but looked up.
 WORD_SHARE, WORD_LEAST = 1e-6, 8
+#: Words and shapes seen fewer times count as not seen, at every size.
+SEEN = 3
 #: Counts that a task holds before it hands them on.
 HELD_WORDS = 1_000_000
 #: How many times as frequent as a misread word the right one must be.
@@ -277,18 +280,60 @@ def shape(word: str) -> str:
     return re.sub(r"(.)\1+", r"\1+", "".join("9" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c for c in word))
 
 
+#: Signs that are evidence of a misread character in themselves.
+SIGNS = "@!|$(€¢"
+
+
+def _options(core: str) -> list[str]:
+    """What a misread word may stand for."""
+    options = []
+    for pattern in (FOREIGN, MAYBE_FOREIGN):
+        for m in pattern.finditer(core):
+            options.append(core[: m.start()] + core[m.end() :])
+    for read, meant in CONFUSIONS:
+        at = core.find(read)
+        while at >= 0:
+            options.append(core[:at] + meant + core[at + len(read) :])
+            at = core.find(read, at + 1)
+    return options
+
+
+def _reshaped(word: str) -> Iterator[tuple[int, str]]:
+    """(position, word): the word with another digit, letter or sign at one position."""
+    for i, c in enumerate(word):
+        for o in [meant for read, meant in CONFUSIONS if read == c] if not c.isalpha() else [read for read, meant in CONFUSIONS if meant == c and read.isdigit()]:
+            yield i, word[:i] + o + word[i + 1 :]
+
+
 @dataclass
 class Lexicon:
     words: dict[str, int]
     shapes: dict[str, int]
     total: int
+    rare: dict[str, int] = field(default_factory=dict)  # counts of the words and shapes that the document at hand asks for, by key
 
-    def count(self, word: str) -> int:
-        n = self.words.get(word, 0)
-        low = word.lower()
+    @staticmethod
+    def spellings(word: str) -> list[str]:
         if word[:1].isupper() and word[1:].islower() or word.isupper():
-            n = max(n, self.words.get(low, 0), self.words.get(low.capitalize(), 0))
-        return n
+            return [word, low := word.lower(), low.capitalize()]
+        return [word]
+
+    def count(self, word: str) -> int:
+        n = max(self.words.get(w, 0) for w in self.spellings(word))
+        return n or max(self.rare.get("w" + w, 0) for w in self.spellings(word)) if self.rare else n
+
+    def shape_count(self, shaped: str) -> int:
+        return self.shapes.get(shaped) or self.rare.get("s" + shaped, 0)
+
+    def asked(self, word: str) -> Iterator[str]:
+        """Keys of the rare counts that judging and repairing a word may need; none if the word is frequent, as what corrects it is more so."""
+        if self.count(word):
+            return
+        for w in (word, *_options(word)):
+            if not self.count(w):
+                yield from ("w" + x for x in self.spellings(w))
+        if any(c.isdigit() or c in SIGNS for c in word):
+            yield from ("s" + x for x in {shape(word), *(shape(o) for _, o in _reshaped(word))} if x not in self.shapes)
 
     def misread_at(self, word: str) -> int | None:
         """Where a word has a wrong character, or None."""
@@ -309,7 +354,7 @@ class Lexicon:
                 return m.start()
         if word[:1].isupper() and word[1:].islower():
             least = max(least, NAME_LEAST)
-        signs = any(c in "@!|$(€¢" for c in word)
+        signs = any(c in SIGNS for c in word)
         if own >= least or own >= 400:
             return None
         for read, meant in CONFUSIONS:
@@ -320,17 +365,17 @@ class Lexicon:
                     return at
                 at = word.find(read, at + 1)
         if has_digit and has_letter or signs:
-            rare = self.shapes.get(shape(word), 0)
+            rare = self.shape_count(shape(word))
             if rare < 1e-4 * self.total:
-                for i, c in enumerate(word):
-                    options = [meant for read, meant in CONFUSIONS if read == c] if not c.isalpha() else [read for read, meant in CONFUSIONS if meant == c and read.isdigit()]
-                    for o in options:
-                        if self.shapes.get(shape(word[:i] + o + word[i + 1 :]), 0) >= max(50, 50 * rare):
-                            return i
+                for i, o in _reshaped(word):
+                    if self.shape_count(shape(o)) >= max(50, 50 * rare):
+                        return i
         return None
 
 
-def _words(docs: DataFrame) -> Lexicon:
+def _words(docs: DataFrame) -> tuple[Lexicon, DataFrame | None]:
+    """The lexicon of frequent words and shapes, and (key, n) of the rarer ones, if there are any."""
+
     def counted(words: Counter) -> Iterator[pa.RecordBatch]:
         shapes: Counter = Counter()
         for w, n in words.items():
@@ -357,8 +402,10 @@ def _words(docs: DataFrame) -> Lexicon:
 
     counts = written(docs.select("pages").mapInArrow(run, "kind string, x string, n long").groupBy("kind", "x").agg(F.sum("n").alias("n")), "words")
     total = counts.where(F.col("kind") == "w").agg(F.sum("n")).first()[0] or 0
-    frequent = counts.where(F.col("n") >= max(3, total * WORD_SHARE)).collect()
-    return Lexicon({r.x: r.n for r in frequent if r.kind == "w"}, {r.x: r.n for r in frequent if r.kind == "s"}, total)
+    cut = max(SEEN, total * WORD_SHARE)
+    frequent = counts.where(F.col("n") >= cut).collect()
+    rare = counts.where((F.col("n") >= SEEN) & (F.col("n") < cut)).select(F.concat("kind", "x").alias("key"), "n") if cut > SEEN else None
+    return Lexicon({r.x: r.n for r in frequent if r.kind == "w"}, {r.x: r.n for r in frequent if r.kind == "s"}, total), rare
 
 
 _JOINERS = {"and", "or", "und", "oder", "bzw.", "et", "ou", "y", "e", "o", "u", "и", "или", "to", "bis"}
@@ -366,29 +413,58 @@ _JOINERS = {"and", "or", "und", "oder", "bzw.", "et", "ou", "y", "e", "o", "u",
 
 def noisy_lines(pages: list[str | None], title: str | None, model: LineModel, lexicon: Lexicon) -> tuple[list[tuple[int, int, str]], list[str]]:
     """((page, line, kind)...) from 1, and the paragraphs of the document."""
-    rows = features(pages, title)
+    return _judged(pages, _states(pages, title, model), lexicon)
+
+
+def _states(pages: list[str | None], title: str | None, model: LineModel) -> list[list[int]]:
+    return [model.decode(f) for f in features(pages, title)]
+
+
+def _continued(pages: list[str | None], states: list[list[int]]) -> tuple[list, list, list[int], list]:
+    """(running lines, other lines, places of those that aren't blank, (place, next place, first part, second part, next token) where a word may go on)."""
     found: list[tuple[int, int, str]] = []
     text: list[tuple[int, int, str, bool]] = []  # page, line, content, whether it is a break
-    for n, (page, f) in enumerate(zip(pages, rows), 1):
-        for i, (line, s) in enumerate(zip((page or "").split("\n"), model.decode(f)), 1):
+    for n, (page, f) in enumerate(zip(pages, states), 1):
+        for i, (line, s) in enumerate(zip((page or "").split("\n"), f), 1):
             if s == 0 and line.strip():
                 found.append((n, i, "running"))
             else:
                 text.append((n, i, line, s == 2))
     full = [k for k, t in enumerate(text) if t[2].strip()]
-    joined: dict[int, tuple[str, int, int]] = {}  # position in text: repaired word, length of the part on this line, place of the next line
+    parts = []
     for k, after in zip(full, full[1:]):
         line, following = text[k][2].rstrip(), text[after][2].lstrip()
         if len(line) < 2 or line[-1] not in HYPHENS or not line[-2].isalnum() or line[-2].isdigit():
             continue
         head, tail = _TOKEN.findall(line)[-1][:-1], _TOKEN.findall(following)[0]
         bare, rest = head.lstrip(_STRIP), _core(tail)
-        if not rest or tail.lower() in _JOINERS or rest.lower() in _JOINERS and lexicon.count(bare + rest) < WORD_LEAST:
+        if rest:
+            parts.append((k, after, bare, rest, tail))
+    return found, text, full, parts
+
+
+def _asked(pages: list[str | None], states: list[list[int]], lexicon: Lexicon) -> list[str]:
+    """Keys of the rare counts that ``_judged`` may need."""
+    _, text, full, parts = _continued(pages, states)
+    words = {c for k in full for t in _TOKEN.findall(text[k][2]) if (c := _core(t))}
+    keys: set[str] = set()
+    for _, _, bare, rest, _ in parts:
+        words |= {w for x in (bare + rest, bare + "-" + rest) for w in (x, _core(x)) if w}
+        keys |= {"s" + shape(bare + "-" + rest)} if rest[0].isdigit() else set()
+    return sorted(keys.union(*map(lexicon.asked, words)))
+
+
+def _judged(pages: list[str | None], states: list[list[int]], lexicon: Lexicon) -> tuple[list[tuple[int, int, str]], list[str]]:
+    found, text, full, parts = _continued(pages, states)
+    joined: dict[int, tuple[str, int, int]] = {}  # position in text: repaired word, length of the part on this line, place of the next line
+    for k, after, bare, rest, tail in parts:
+        line = text[k][2].rstrip()
+        if tail.lower() in _JOINERS or rest.lower() in _JOINERS and lexicon.count(bare + rest) < WORD_LEAST:
             continue
         whole, hyphened = bare + rest, bare + "-" + rest
         known = lexicon.count(whole) >= 3 or lexicon.count(hyphened) >= 3
         if rest[0].isdigit():
-            if line[-1] != "-" or not (bare.isupper() and lexicon.shapes.get(shape(hyphened), 0) > 50):
+            if line[-1] != "-" or not (bare.isupper() and lexicon.shape_count(shape(hyphened)) > 50):
                 continue
         elif not known and not rest[0].islower():
             continue
@@ -418,15 +494,7 @@ def repair(word: str, lexicon: Lexicon) -> str:
     core = _core(word)
     if not core or lexicon.misread_at(core) is None:
         return word
-    options = []
-    for pattern in (FOREIGN, MAYBE_FOREIGN):
-        for m in pattern.finditer(core):
-            options.append(core[: m.start()] + core[m.end() :])
-    for read, meant in CONFUSIONS:
-        at = core.find(read)
-        while at >= 0:
-            options.append(core[:at] + meant + core[at + len(read) :])
-            at = core.find(read, at + 1)
+    options = _options(core)
     best = max(options, key=lexicon.count, default=core)
     if lexicon.count(best) <= lexicon.count(core):
         best = FOREIGN.sub("", core)
@@ -467,11 +535,12 @@ def _paragraphs(text: list[tuple[int, int, str, bool]], joined: dict, lexicon: L
 
 @dataclass
 class Reader:
-    """``documents``: how many there are, which decides in how many tasks they are read."""
+    """``documents``: how many there are, which decides in how many tasks they are read. ``rare``: (key, n) of what the lexicon doesn't hold."""
 
     model: LineModel
     lexicon: Lexicon
     documents: int = 0
+    rare: DataFrame | None = None
 
 
 def fit(docs: DataFrame) -> Reader:
@@ -479,7 +548,8 @@ def fit(docs: DataFrame) -> Reader:
     n = docs.count()
     share = min(1.0, SAMPLE / max(n, 1))
     picked = docs.where(F.pmod(F.xxhash64("id", "pages"), F.lit(1_000_003)) < int(share * 1_000_003)).select("pages", "title").collect()
-    return Reader(fit_lines([(list(r.pages or []), r.title) for r in picked]), _words(docs), n)
+    lexicon, rare = _words(docs)
+    return Reader(fit_lines([(list(r.pages or []), r.title) for r in picked]), lexicon, n, rare)
 
 
 def documents(rows: DataFrame, key: str = "file_id", pages: str = "page_texts", title: str | None = "title") -> DataFrame:
@@ -489,20 +559,40 @@ def documents(rows: DataFrame, key: str = "file_id", pages: str = "page_texts",
 
 
 def _over(docs: DataFrame, reader: Reader, schema: str, make) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(reader)
+    shared = docs.sparkSession.sparkContext.broadcast((reader.model, reader.lexicon))
+
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, lexicon = shared.value
+        for b in batches:
+            for i in range(0, b.num_rows, 64):
+                part = b.slice(i, 64)
+                rows = [(d["pages"], _states(d["pages"], d["title"], model)) for d in part.to_pylist()]
+                asked = pa.array([_asked(*r, lexicon) for r in rows], pa.list_(pa.string()))
+                keys = pa.array([uuid.uuid4().hex for _ in rows], pa.string())
+                yield pa.RecordBatch.from_arrays([keys, part.column("id"), part.column("pages"), pa.array([s for _, s in rows], pa.list_(pa.list_(pa.int32()))), asked], names=["row", "id", "pages", "states", "asked"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        r = shared.value
+        model, lexicon = shared.value
         for b in batches:
             for i in range(0, b.num_rows, 64):
-                part = b.slice(i, 64).to_pylist()
-                rows = [(d["id"], *x) for d in part for x in make(noisy_lines(d["pages"], d["title"], r.model, r.lexicon))]
+                rows = []
+                for d in b.slice(i, 64).to_pylist():
+                    if "states" in d:
+                        got = _judged(d["pages"], d["states"], replace(lexicon, rare={x["key"]: x["n"] for x in d["rare"] or ()}))
+                    else:
+                        got = noisy_lines(d["pages"], d["title"], model, lexicon)
+                    rows += [(d["id"], *x) for x in make(got)]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=[f.split()[0] for f in schema.split(", ")])
 
     # reading takes far longer than moving the pages, so tasks are made by number of documents, not by bytes
     tasks = max(2 * docs.sparkSession.sparkContext.defaultParallelism, reader.documents // TASK)
-    return docs.repartition(tasks).mapInArrow(run, schema)
+    docs = docs.repartition(tasks)
+    if reader.rare is not None:
+        lines = written(docs.mapInArrow(label, "row string, id string, pages array<string>, states array<array<int>>, asked array<string>"), "lines")
+        asked = lines.select("row", F.explode("asked").alias("key")).join(reader.rare, "key").groupBy("row").agg(F.collect_list(F.struct("key", "n")).alias("rare"))
+        docs = lines.drop("asked").join(asked, "row", "left")
+    return docs.mapInArrow(run, schema)
 
 
 def noise(docs: DataFrame, reader: Reader) -> DataFrame:

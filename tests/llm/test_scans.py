@@ -115,3 +115,16 @@ def test_split_is_no_suspended_hyphen():
 def test_roman_and_like():
     assert [S._roman(x) for x in ("iv", "ix", "xliv")] == [4, 9, 44]
     assert S._like("review of kudako", "rcview of kudako") and not S._like("review of kudako", "review of mirola")
+
+
+def test_judgements_do_not_depend_on_how_many_words_are_held(spark, corpus, monkeypatch):
+    rows = [(f"d{i}", None, p, "x", 1) for i, (p, _, _) in enumerate(corpus[:60])]
+    rows += [(f"m{i}", None, ["a hovel and a bovel\n" * (4 if i < 8 else 0) + "we talk of a hovel\n" * 40], None, None) for i in range(10)]
+    docs = S.documents(spark.createDataFrame(rows, KIND))
+    got = []
+    for _ in range(2):
+        reader = S.fit(docs)
+        monkeypatch.setattr(S, "WORD_SHARE", 60 / reader.lexicon.total)  # from then on, words seen 60 times are held; "bovel" is seen 32 times
+        got.append((len(reader.lexicon.words), {tuple(x) for x in S.noise(docs, reader).collect()}, {tuple(x) for x in S.paragraphs(docs, reader).collect()}))
+    assert got[1][0] < 0.5 * got[0][0]
+    assert got[0][1:] == got[1][1:]
