@@ -127,6 +127,31 @@ def _like(a: str, b: str) -> bool:
     return max(len(a), len(b)) - head - tail <= max(1, 0.12 * n) or SequenceMatcher(None, a, b, autojunk=False).ratio() > 0.85
 
 
+def _ends(s: str) -> list[tuple[str, int, str]]:
+    """Two lines that are ``_like`` but not equal have one of these in common: a fifth of the shorter one, whose length is n, from the head or the tail."""
+    return [(end, n, s[: (n + 4) // 5] if end == "head" else s[-((n + 4) // 5) :]) for n in range(max(5, len(s) - 2), len(s) + 1) for end in ("head", "tail")]
+
+
+def _near(seen: dict[str, set[int]]) -> dict[str, set[int]]:
+    """Of each line the pages that have a like one; it ends at three pages, as more count the same."""
+    by: dict[tuple[str, int, str], list[str]] = {}
+    for s in seen:
+        for e in _ends(s):
+            by.setdefault(e, []).append(s)
+    near: dict[str, set[int]] = {}
+    for s, own in seen.items():
+        pages, tried = set(own), {s}
+        for o in (o for e in _ends(s) for o in by[e]):
+            if len(pages) >= 3:
+                break
+            if o not in tried:
+                tried.add(o)
+                if not seen[o] <= pages and _like(s, o):
+                    pages |= seen[o]
+        near[s] = pages
+    return near
+
+
 def _skeleton(line: str) -> str:
     return re.sub(r"\s+", " ", _page_number(line)[2]).strip().lower()
 
@@ -151,10 +176,7 @@ def features(pages: list[str | None], title: str | None) -> list[list[tuple | No
     for n, _, _, (kind, number, _) in at_edge:
         if kind:
             offsets.setdefault((kind, number - n), set()).add(n)
-    keys = list(seen)
-    near: dict[str, set[int]] = {}
-    for s in keys:
-        near[s] = set().union(*(seen[o] for o in keys if _like(s, o))) if len(keys) <= 400 else seen[s]
+    near = _near(seen)
     out = []
     forms = [{i: _form(lines[n][i], typical, title) for i in at} for n, at in enumerate(full)]
     tops = [bool(at) and (forms[n][at[0]] in ("title", "code", "capitals", "heading", "beside") and (n > 0 and bool(full[n - 1])) or len(near.get(_skeleton(lines[n][at[0]]), ())) > 1) for n, at in enumerate(full)]

@@ -128,3 +128,15 @@ def test_judgements_do_not_depend_on_how_many_words_are_held(spark, corpus, monk
         got.append((len(reader.lexicon.words), {tuple(x) for x in S.noise(docs, reader).collect()}, {tuple(x) for x in S.paragraphs(docs, reader).collect()}))
     assert got[1][0] < 0.5 * got[0][0]
     assert got[0][1:] == got[1][1:]
+
+
+def test_like_lines_are_found_in_long_documents():
+    r = random.Random(3)
+    pages = [f"{'Rcview' if n == 7 else 'Review'} of Kudako\n{name(r)} {name(r)} {n}\nsome words on a line\n{name(r)} {name(r)} {name(r)}\nend {name(r)}" for n in range(200)]
+    assert S.features(pages, None)[7][0][2] == "3"
+    lines = ["".join(r.choices("ab", k=r.randint(4, 12))) for _ in range(300)]
+    seen = {x: {i} for i, x in enumerate(lines)}
+    near = S._near(seen)
+    for x in seen:
+        want = set().union(*(seen[o] for o in seen if S._like(x, o)))
+        assert near[x] <= want and min(len(near[x]), 3) == min(len(want), 3)
