@@ -1,17 +1,19 @@
 """The most similar vectors of every vector.
 
 Unit vectors are projected with Gaussian, that is 2-stable, matrices into few dimensions, where the
-squared distance of two projections over that of the vectors is chi-square distributed. The index is
-a number of kd-trees over such projections, fitted on a bounded sample; every vector lies in one
-cell of each tree. Within a cell, a vector's neighbours are taken in the order of their projected
-distance until the chi-square test says that what is left can't belong: at the ``sure`` quantile it
-is further than the least similarity allows, or than the k-th neighbour found so far can be. What
-remains is verified on the vectors themselves.
-
-Equal vectors are one class. Cells that hold more than ``CELL`` vectors are cut into blocks, and
-every two blocks meet in a task of their own, so no cell is cut short and none is too large. There
-the vectors themselves are compared, and each keeps its ``k`` nearest of the other block: a test on
-projections would let most of a dense cell pass.
+squared distance of two projections over that of the vectors is chi-square distributed. Each tree is
+a kd-tree over projections of its own. Its upper levels are fitted on a bounded sample and place
+every vector in a cell; the task that holds a cell splits it on by the cell's own vectors until no
+leaf has more than ``LEAF``, so depth follows the data and the work per vector is the same at any size.
+
+In a leaf a vector's neighbours are taken in the order of their projected distance until the
+chi-square test holds: at the ``sure`` quantile, whatever is left is further than the least similarity
+allows, or than the vector's k-th neighbour. What comes before that is verified on the vectors
+themselves. Trees are searched in two rounds: in the first nothing is verified yet, and the k-th
+neighbour's distance is bounded by its projection; the second one stops at the verified distance of
+the k-th neighbour that the first has found, and verifies only what is new.
+
+Equal vectors are one class.
 """
 
 from __future__ import annotations
@@ -27,18 +29,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sedimark.operators.skew import join_unique
 from sedimark.storage_paths import written
 
-#: Vectors of a group on which its trees are fitted, at most (about, as they are drawn by their hash).
-SAMPLE = 16_384
-#: Vectors that a cell is meant to hold, how many it may before it is cut into blocks, and the size of these.
-LEAF, CELL, BLOCK = 256, 4096, 8192
-#: Vectors of a block that are compared at once.
-TILE = 1024
+#: Vectors on which the trees of all groups are fitted, at most (about, as they are drawn by their hash), and for each leaf.
+SAMPLE, PER_LEAF = 16_384, 16
+#: Vectors that a leaf holds at most.
+LEAF = 1024
+#: Trees that are searched before the k-th neighbours are known.
+FIRST = 4
+#: A group has upper levels of its own if it has this part of all vectors at least; smaller ones are split in one task.
+GROUP_SHARE = 1 / 4096
 #: Dimensions of the projections that the chi-square test uses.
 TEST_DIMS = 64
 #: Projected coordinates are kept as whole steps of this size.
 STEP = 1 / 24
+#: Coordinates of which a task may choose one to split a cell by.
+CHOICES = 8
 
 
 def chi_square(q: float, dims: int) -> float:
@@ -52,7 +59,7 @@ def chi_square(q: float, dims: int) -> float:
 
 @dataclass
 class Forest:
-    """Trees over the projections of vectors with one dimension; tree t splits at node n by axis[t, n] at cut[t, n]."""
+    """Upper levels of trees over the projections of vectors with one dimension; tree t splits at node n by axis[t, n] at cut[t, n]."""
 
     test: np.ndarray
     axes: np.ndarray
@@ -65,7 +72,7 @@ class Forest:
         dim = sample.shape[1]
         r = np.random.default_rng([seed, dim])
         depth = max(0, min(math.ceil(math.log2(max(1, rows / LEAF))), int(math.log2(max(1, len(sample) / 8)))))
-        width = max(1, depth + 2)
+        width = depth + 2
         test, axes = r.standard_normal((dim, TEST_DIMS)).astype(np.float32), r.standard_normal((dim, trees * width)).astype(np.float32)
         p = (sample @ axes).reshape(len(sample), trees, width)
         axis, cut = np.zeros((trees, 1 << depth), np.int32), np.zeros((trees, 1 << depth), np.float32)
@@ -94,6 +101,25 @@ class Forest:
         return node, np.clip(np.rint(unit @ self.test / STEP), -127, 127).astype(np.int8)
 
 
+def leaves(points: np.ndarray, tree: int, most: int) -> list[np.ndarray]:
+    """The lower levels of a tree over the coordinates of a cell: positions by leaf, of at most ``most`` each.
+
+    A node is halved at the median of the widest of a few coordinates, which differ from tree to
+    tree; vectors that lie on the median go to either side, so no number of equal values stops it.
+    """
+    out, stack = [], [(np.arange(len(points)), 1)]
+    while stack:
+        at, node = stack.pop()
+        if len(at) <= most:
+            out.append(at)
+            continue
+        some = np.random.default_rng([tree, node % (1 << 62)]).choice(points.shape[1], CHOICES, replace=False)
+        own = points[np.ix_(at, some)]
+        order = np.argpartition(own[:, int(np.argmax(own.std(0)))], len(at) // 2)
+        stack += [(at[order[: len(at) // 2]], 2 * node), (at[order[len(at) // 2 :]], 2 * node + 1)]
+    return out
+
+
 def _matrix(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All values of a list array one after the other, missing ones as NaN, and the lengths (-1 for null)."""
     lengths = np.where(np.asarray(lists.is_valid()), np.diff(lists.offsets.to_numpy()), -1)
@@ -126,7 +152,8 @@ def unit_vectors(rows: DataFrame, key: str, vector: str, model: str, dimension:
                 x /= size[:, None]
                 x = (x / np.sqrt((x * x).sum(1))[:, None]).astype(np.float32)
                 grp = [f"{d}:{'' if models[i] is None else models[i]}" if models[i] is not None else f"{d}" for i in at]
-                cls = np.frombuffer(b"".join(blake2b(v.tobytes(), digest_size=8, key=g.encode()[:64]).digest() for v, g in zip(x, grp)), np.int64)
+                names = {g: blake2b(g.encode("utf-8", "surrogatepass")).digest() for g in set(grp)}
+                cls = np.frombuffer(b"".join(blake2b(v.tobytes(), digest_size=8, key=names[g]).digest() for v, g in zip(x, grp)), np.int64)
                 values = pa.ListArray.from_arrays(pa.array(np.arange(0, len(at) * d + 1, d, dtype=np.int32)), pa.array(x.ravel()))
                 yield pa.RecordBatch.from_arrays([pa.array(cls), pa.array(grp, pa.string()), b.column(0).take(pa.array(at)), values], names=["cls", "grp", "id", "unit"])
 
@@ -135,141 +162,122 @@ def unit_vectors(rows: DataFrame, key: str, vector: str, model: str, dimension:
 
 
 def _forests(vectors: DataFrame, trees: int, seed: int) -> dict[str, Forest]:
-    sizes = {r[0]: r[1] for r in vectors.groupBy("grp").count().collect()}
-    limits = {g: int(min(1.0, SAMPLE / n) * 1_000_003) for g, n in sizes.items()}
-    share = F.create_map(*[x for g, n in limits.items() for x in (F.lit(g), F.lit(n))])
+    """The upper levels of each large group's trees."""
+    sizes = vectors.groupBy("grp").count()
+    total = sizes.agg(F.sum("count")).first()[0] or 0
+    large = {r[0]: r[1] for r in sizes.where(F.col("count") > max(LEAF, total * GROUP_SHARE)).collect()}
+    if not large:
+        return {}
+    share = min(PER_LEAF / LEAF, SAMPLE / sum(large.values()))
+    sample = vectors.where(F.col("grp").isin(list(large)) & (F.pmod(F.xxhash64("cls"), F.lit(1_000_003)) < int(share * 1_000_003))).select("grp", "unit").toArrow()
+    groups = np.array(sample.column("grp").to_pylist())
     forests = {}
-    sample = vectors.where(F.pmod(F.xxhash64("cls"), F.lit(1_000_003)) < share[F.col("grp")]).select("grp", "unit").toArrow() if sizes else None
-    groups = np.array(sample.column("grp").to_pylist()) if sizes else np.array([])
-    for g, n in sizes.items():
+    for g, n in large.items():
         own = sample.column("unit").take(np.flatnonzero(groups == g)).combine_chunks()
-        x = own.flatten().to_numpy(zero_copy_only=False).reshape(len(own), int(g.split(":")[0])) if len(own) else np.zeros((0, int(g.split(":")[0])), np.float32)
+        x = own.flatten().to_numpy(zero_copy_only=False).reshape(len(own), int(g.split(":")[0]))
         forests[g] = Forest.fit(x, n, trees, seed)
     return forests
 
 
-def _cells(vectors: DataFrame, forests: dict[str, Forest], with_points: bool) -> DataFrame:
-    """(cell, cls, point) of each vector in each tree; cell is a number for group, tree and cell."""
+def _placed(vectors: DataFrame, forests: dict[str, Forest], trees: int, seed: int) -> DataFrame:
+    """(cls, g, cells, point): each vector's cell in every tree, within its group g, and its coordinates for the test."""
     shared = vectors.sparkSession.sparkContext.broadcast(forests)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        small: dict[int, Forest] = {}
         for b in batches:
             groups = np.array(b.column(1).to_pylist())
-            for number, (g, forest) in enumerate(sorted(shared.value.items())):
+            for g in sorted(set(groups.tolist())):
+                dim = int(g.split(":")[0])
+                if (forest := shared.value.get(g)) is None:
+                    if dim not in small:
+                        small[dim] = Forest.fit(np.zeros((0, dim), np.float32), 0, trees, seed)
+                    forest = small[dim]
                 at = np.flatnonzero(groups == g)
-                if not len(at):
-                    continue
                 own = b.column(2).take(pa.array(at))
                 node, point = forest.place(own.flatten().to_numpy(zero_copy_only=False).reshape(len(own), -1))
-                trees = node.shape[1]
-                cell = (np.int64(number) << 40) | (np.arange(trees, dtype=np.int64)[None, :] << 32) | node
-                cls = b.column(0).take(pa.array(at))
-                for t in range(trees):
-                    columns = [pa.array(cell[:, t]), cls]
-                    if with_points:
-                        columns.append(pa.array([p.tobytes() for p in point], pa.binary()))
-                    yield pa.RecordBatch.from_arrays(columns, names=["cell", "cls", "point"][: len(columns)])
+                cell = (np.arange(trees, dtype=np.int64)[None, :] << 32) | node
+                name = int.from_bytes(blake2b(g.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(at) * trees + 1, trees, dtype=np.int32)), pa.array(cell.ravel()))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(np.full(len(at), name)), lists, pa.array([p.tobytes() for p in point], pa.binary())], names=["cls", "g", "cells", "point"])
 
-    return vectors.select("cls", "grp", "unit").mapInArrow(run, "cell long, cls long" + ", point binary" * with_points)
+    return vectors.select("cls", "grp", "unit").mapInArrow(run, "cls long, g long, cells array<long>, point binary")
 
 
-def _within(points: np.ndarray, k: int, limit: float, spread: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a cell that the test lets pass: within ``limit``, and within ``spread`` times the distance of either one's k-th neighbour."""
+def passed(points: np.ndarray, far: np.ndarray, k: int, limit: float, spread: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a leaf that come before either one's search stops: at ``far``, or if that is NaN at ``spread`` times the projected k-th neighbour's distance; at ``limit`` in any case."""
     n = len(points)
     square = (points * points).sum(1)
     d = square[:, None] + square[None, :] - 2 * (points @ points.T)
     np.fill_diagonal(d, np.inf)
-    far = np.full(n, limit)
-    if n > k:
-        far = np.minimum(far, spread * np.maximum(np.partition(d, k - 1, axis=1)[:, k - 1], 1e-3))
-    i, j = np.nonzero(d <= far[:, None])
+    stop = np.where(np.isnan(far), limit, np.minimum(far, limit)).astype(d.dtype)
+    many = np.flatnonzero(np.isnan(far) & ((d <= limit).sum(1) > k))
+    if len(many):
+        stop[many] = np.minimum(limit, spread * np.maximum(np.partition(d[many], k - 1, axis=1)[:, k - 1], 1e-3))
+    i, j = np.nonzero(d <= stop[:, None])
     flat = np.unique(np.minimum(i, j) * n + np.maximum(i, j))
     return flat // n, flat % n
 
 
-def _first_of(x: np.ndarray, y: np.ndarray, same: bool, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Of each row of ``x`` its up to ``k`` nearest of ``y`` with a cosine of ``least`` at least."""
-    rows, cols = [], []
-    for start in range(0, len(x), TILE):
-        s = x[start : start + TILE] @ y.T
-        if same:
-            s[np.arange(len(s)), np.arange(start, start + len(s))] = -2
-        if s.shape[1] > k:
-            s[s < np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k, None]] = -2
-        i, j = np.nonzero(s >= least - 1e-5)
-        rows.append(i + start)
-        cols.append(j)
-    return np.concatenate(rows), np.concatenate(cols)
-
-
-def _meetings(tasks: DataFrame, schema_of, meet) -> DataFrame:
-    """``meet(mine, cls, data)`` over the rows (cell, low, high, mine, cls, data) of each (cell, low, high); a task holds one of them at a time."""
+def _searched(rows: DataFrame, k: int, limit: float, spread: float) -> DataFrame:
+    """(cls_a, cls_b), each once: the pairs to verify of ``rows`` (g, cell, cls, point, far). A task holds one cell at a time."""
+    most = LEAF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
-        def joined() -> pa.RecordBatch | None:
-            mine, cls, data = (np.concatenate([h[n] for h in held]) for n in (1, 2, 3))
-            a, b = meet(held[0][0][1], held[0][0][2], mine, cls, data)
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["cls_a", "cls_b"]) if len(a) else None
+        def searched() -> Iterator[pa.RecordBatch]:
+            cls, far = (np.concatenate([h[n] for h in held]) for n in (1, 2))
+            points = np.concatenate([h[3] for h in held])
+            for at in leaves(points, int(held[0][0][1]) >> 32, most):
+                i, j = passed(points[at].astype(np.float32), far[at], k, limit, spread)
+                if len(i):
+                    a, b = cls[at[i]], cls[at[j]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["cls_a", "cls_b"])
 
         for b in batches:
             if not b.num_rows:
                 continue
-            cell, low, high, mine, cls = (b.column(n).to_numpy() for n in range(5))
-            data = schema_of(b.column(5))
-            edges = np.concatenate([[0], np.flatnonzero((np.diff(cell) != 0) | (np.diff(low) != 0) | (np.diff(high) != 0)) + 1, [len(cell)]])
+            g, cell, cls = (b.column(n).to_numpy() for n in range(3))
+            point = np.frombuffer(b"".join(b.column(3).to_pylist()), np.int8).reshape(-1, TEST_DIMS)
+            far = b.column(4).to_numpy(zero_copy_only=False).astype(np.float64)
+            edges = np.concatenate([[0], np.flatnonzero((np.diff(g) != 0) | (np.diff(cell) != 0)) + 1, [len(cell)]])
             for s, e in zip(edges[:-1], edges[1:]):
-                name = (cell[s], low[s], high[s])
+                name = (g[s], cell[s])
                 if held and held[0][0] != name:
-                    if (out := joined()) is not None:
-                        yield out
+                    yield from searched()
                     held = []
-                held.append((name, mine[s:e], cls[s:e], data[s:e]))
-        if held and (out := joined()) is not None:
-            yield out
+                held.append((name, cls[s:e], far[s:e], point[s:e]))
+        if held:
+            yield from searched()
+
+    together = rows.select("g", "cell", "cls", "point", "far").repartition(F.col("g"), F.col("cell")).sortWithinPartitions("g", "cell")
+    return together.mapInArrow(run, "cls_a long, cls_b long").where(F.col("cls_a") != F.col("cls_b")).distinct()
+
 
-    together = tasks.repartition(F.col("cell"), F.col("low"), F.col("high")).sortWithinPartitions("cell", "low", "high")
-    return together.mapInArrow(run, "cls_a long, cls_b long")
+def both_ways(pairs: DataFrame) -> DataFrame:
+    return pairs.unionByName(pairs.select(F.col("cls_b").alias("cls_a"), F.col("cls_a").alias("cls_b"), "similarity"))
 
 
-def candidates(vectors: DataFrame, k: int, min_similarity: float, trees: int = 16, sure: float = 0.995, seed: int = 11) -> DataFrame:
-    """(cls_a, cls_b): pairs of vectors that the test lets pass in some tree, each once. ``vectors``: (cls, grp, unit), each class once."""
-    forests = _forests(vectors, trees, seed)
-    if not forests:
-        return vectors.sparkSession.createDataFrame([], "cls_a long, cls_b long")
-    large = _cells(vectors, forests, False).groupBy("cell").count().where(F.col("count") > CELL)
-    blocks = written(large.select("cell", F.greatest(F.ceil(F.col("count") / BLOCK), F.lit(1)).cast("int").alias("blocks")), "large-cells")
+def close_pairs(vectors: DataFrame, k: int, min_similarity: float, trees: int = 12, sure: float = 0.995, seed: int = 11) -> DataFrame:
+    """(cls_a, cls_b, similarity): verified pairs, each once, that hold the ``k`` nearest of each vector. ``vectors``: (cls, grp, unit), each class once."""
+    placed = written(_placed(vectors, _forests(vectors, trees, seed), trees, seed), "placed")
     # rounding moves each coordinate's difference by a step at most, typically by 0.4
-    limit = chi_square(sure, TEST_DIMS) * (2 - 2 * min_similarity) * 1.02 / STEP**2
-    spread = chi_square(sure, TEST_DIMS) / chi_square(1 - sure, TEST_DIMS)
-
-    def by_test(low, high, mine, cls, point):
-        i, j = _within(point, k, limit, spread)
-        return cls[i], cls[j]
-
-    def exactly(low, high, mine, cls, unit):
-        if low == high:
-            i, j = _first_of(unit, unit, True, k, min_similarity)
-            return cls[i], cls[j]
-        x, y = mine == low, mine == high
-        if not x.any() or not y.any():
-            return cls[:0], cls[:0]
-        i, j = _first_of(unit[x], unit[y], False, k, min_similarity)
-        u, v = _first_of(unit[y], unit[x], False, k, min_similarity)
-        return np.concatenate([cls[x][i], cls[y][u]]), np.concatenate([cls[y][j], cls[x][v]])
-
-    zero = F.lit(0).alias
-    small = _cells(vectors, forests, True).join(F.broadcast(blocks), "cell", "left_anti").select("cell", zero("low"), zero("high"), zero("mine"), "cls", "point")
-    found = _meetings(small, lambda c: np.frombuffer(b"".join(c.to_pylist()), np.int8).reshape(-1, TEST_DIMS).astype(np.float32), by_test)
-    if not blocks.isEmpty():
-        placed = _cells(vectors, forests, False).join(F.broadcast(blocks), "cell").withColumn("mine", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-        met = placed.select("cell", "cls", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).join(vectors.select("cls", "grp", "unit"), "cls")
-        for g, forest in forests.items():  # one group's vectors have one length
-            tasks = met.where(F.col("grp") == g).select("cell", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "mine", "cls", "unit")
-            dim = len(forest.test)
-            found = found.unionByName(_meetings(tasks, lambda c, dim=dim: c.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, dim), exactly))
-    return found.where(F.col("cls_a") != F.col("cls_b")).distinct()
+    scale = chi_square(sure, TEST_DIMS) * 1.02 / STEP**2
+    limit, spread = scale * (2 - 2 * min_similarity), chi_square(sure, TEST_DIMS) / chi_square(1 - sure, TEST_DIMS)
+    first = min(FIRST, trees)
+    cells = lambda df, start, n: df.select("g", "cls", "point", "far", F.explode(F.slice("cells", start + 1, max(1, n))).alias("cell"))
+    tried = written(_searched(cells(placed.withColumn("far", F.lit(None).cast("double")), 0, first), k, limit, spread), "passed")
+    close = written(similarities(tried, vectors, min_similarity), "close")
+    if first == trees:
+        return close
+    ranked = both_ways(close).withColumn("n", F.row_number().over(W.partitionBy("cls_a").orderBy(F.desc("similarity"), F.asc("cls_b"))))
+    # the k-th neighbour's verified distance; a little more, as it is rounded, too
+    kth = ranked.where(F.col("n") <= k).groupBy("cls_a").agg(F.count("*").alias("n"), F.min("similarity").alias("s")).where(F.col("n") == k)
+    far = kth.select(F.col("cls_a").alias("cls"), (F.lit(scale) * (F.lit(2.0) - 2 * F.col("s") + 1e-6) + TEST_DIMS / 6).alias("far"))
+    more = _searched(cells(placed.join(far, "cls", "left"), first, trees - first), k, limit, spread)
+    new = written(more.join(tried, ["cls_a", "cls_b"], "left_anti"), "passed-later")
+    return close.unionByName(written(similarities(new, vectors, min_similarity), "close-later"))
 
 
 def similarities(pairs: DataFrame, vectors: DataFrame, min_similarity: float) -> DataFrame:
@@ -288,26 +296,26 @@ def similarities(pairs: DataFrame, vectors: DataFrame, min_similarity: float) ->
     return pairs.join(left, "cls_a").join(right, "cls_b").select("cls_a", "cls_b", "x", "y").mapInArrow(run, "cls_a long, cls_b long, similarity double")
 
 
-def nearest(rows: DataFrame, key: str = "chunk_id", vector: str = "embedding", model: str = "model", dimension: str = "dimension", k: int = 5, min_similarity: float = 0.8, trees: int = 16, sure: float = 0.995) -> DataFrame:
+def nearest(rows: DataFrame, key: str = "chunk_id", vector: str = "embedding", model: str = "model", dimension: str = "dimension", k: int = 5, min_similarity: float = 0.8, trees: int = 12, sure: float = 0.995) -> DataFrame:
     """(id, other, similarity): the up to ``k`` most similar other keys of each key with at least ``min_similarity``.
 
     Only vectors of the same model and dimension are compared; a null model is one of its own.
     Unusable vectors (see ``unit_vectors``) and null keys have no row and are nobody's neighbour.
     Repeated rows count once; of a key with several vectors each counts, its best similarity stands.
-    Of others that tie, the smaller keys come first. Empty input gives an empty result.
+    Of others that tie, the smaller keys come first. Empty input gives an empty result. The members
+    of a class with a large part of all rows stay where they are.
     """
     every = written(unit_vectors(rows, key, vector, model, dimension), "units")
     members = every.select("cls", "id").distinct()
     vectors = written(every.groupBy("cls").agg(F.first("grp").alias("grp"), F.first("unit").alias("unit")), "vectors")
-    pairs = written(candidates(vectors, k, min_similarity, trees, sure), "passed")
-    close = written(similarities(pairs, vectors, min_similarity), "close")
-    both = close.unionByName(close.select(F.col("cls_b").alias("cls_a"), F.col("cls_a").alias("cls_b"), "similarity"))
+    close = both_ways(close_pairs(vectors, k, min_similarity, trees, sure))
     # of each class only the k + 1 smallest keys can be among anyone's k first others
     first = members.withColumn("n", F.row_number().over(W.partitionBy("cls").orderBy("id"))).where(F.col("n") <= k + 1).select("cls", "id")
     own = first.select("cls", F.col("id").alias("other"), F.lit(1.0).alias("similarity"))
-    met = both.join(first.withColumnsRenamed({"cls": "cls_b", "id": "other"}), "cls_b").select(F.col("cls_a").alias("cls"), "other", "similarity")
+    met = close.join(first.withColumnsRenamed({"cls": "cls_b", "id": "other"}), "cls_b").select(F.col("cls_a").alias("cls"), "other", "similarity")
     lists = own.unionByName(met).groupBy("cls", "other").agg(F.max("similarity").alias("similarity"))
     order = [F.desc("similarity"), F.asc("other")]
-    lists = lists.withColumn("n", F.row_number().over(W.partitionBy("cls").orderBy(*order))).where(F.col("n") <= k + 1).drop("n")
-    found = members.join(lists, "cls").where(F.col("id") != F.col("other")).groupBy("id", "other").agg(F.max("similarity").alias("similarity"))
+    lists = lists.withColumn("n", F.row_number().over(W.partitionBy("cls").orderBy(*order))).where(F.col("n") <= k + 1)
+    lists = lists.groupBy("cls").agg(F.collect_list(F.struct("other", "similarity")).alias("others"))
+    found = join_unique(members, lists, "cls", "inner").select("id", F.inline("others")).where(F.col("id") != F.col("other")).groupBy("id", "other").agg(F.max("similarity").alias("similarity"))
     return found.withColumn("n", F.row_number().over(W.partitionBy("id").orderBy(*order))).where(F.col("n") <= k).drop("n")

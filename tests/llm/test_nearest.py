@@ -50,24 +50,56 @@ def test_recall_against_brute_force(spark, monkeypatch):
     assert len(got & want) >= 0.9 * len(want) and len(got - want) <= 0.02 * len(want)
 
 
-def test_blocks_of_large_cells_lose_nothing(spark, monkeypatch):
+def test_one_leaf_loses_nothing(spark):
     rows = cloud(3, 120, 16, "s") + cloud(4, 40, 8, "t")
-    monkeypatch.setattr(N, "LEAF", 10_000)  # one cell holds everything
-    whole = found(spark, rows)
-    monkeypatch.setattr(N, "CELL", 40)
-    monkeypatch.setattr(N, "BLOCK", 50)
-    monkeypatch.setattr(N, "TILE", 16)
-    assert found(spark, rows) == whole == brute(rows, 5, 0.8)
+    assert found(spark, rows) == brute(rows, 5, 0.8)
+
+
+def test_cells_are_split_by_their_own_vectors(spark, monkeypatch):
+    """Upper levels that no sample reaches: all the depth comes from the tasks."""
+    monkeypatch.setattr(N, "LEAF", 48)
+    monkeypatch.setattr(N, "GROUP_SHARE", 2.0)
+    rows = cloud(5, 200, 24, "s")
+    want, got = brute(rows, 3, 0.8), found(spark, rows, k=3)
+    assert len(got & want) >= 0.9 * len(want)
+
+
+def test_leaves_hold_every_vector_once_whatever_ties():
+    r = np.random.default_rng(2)
+    for points in (r.integers(-127, 127, (1000, N.TEST_DIMS)), np.zeros((1000, N.TEST_DIMS))):
+        got = N.leaves(points.astype(np.int8), 3, 40)
+        assert max(map(len, got)) <= 40 and sorted(np.concatenate(got).tolist()) == list(range(1000))
 
 
-def test_dense_cell(spark, monkeypatch):
+def test_search_stops_at_the_verified_neighbour():
+    r = np.random.default_rng(3)
+    points = r.standard_normal((60, N.TEST_DIMS)).astype(np.float32) * 20
+    d = ((points[:, None] - points[None]) ** 2).sum(2)
+    far = np.full(60, np.nan)
+    far[:30] = np.sort(d[:30], axis=1)[:, 2] * 1.0001  # two neighbours each
+    i, j = N.passed(points, far, 3, float(np.median(d)), 1.0)
+    got = set(zip(i.tolist(), j.tolist()))
+    for a in range(30):
+        for b in np.argsort(d[a])[1:3]:
+            assert (min(a, b), max(a, b)) in got or d[a, b] > np.median(d)
+    only = {(a, b) for a, b in got if a < 30 and b < 30}
+    assert all(d[a, b] <= max(far[a], far[b]) * 1.001 for a, b in only)
+
+
+def test_dense_cluster(spark, monkeypatch):
     r = np.random.default_rng(9)
     centre = r.standard_normal(24)
     rows = [(f"d{i:03d}", [float(x) for x in np.float32(centre + 0.2 * r.standard_normal(24))], "m", 24, None, None) for i in range(400)]
-    monkeypatch.setattr(N, "LEAF", 10_000)
-    monkeypatch.setattr(N, "CELL", 100)
-    monkeypatch.setattr(N, "BLOCK", 150)
-    assert found(spark, rows) == brute(rows, 5, 0.8)
+    want = brute(rows, 5, 0.8)
+    assert found(spark, rows) == want
+    monkeypatch.setattr(N, "LEAF", 100)
+    assert len(found(spark, rows) & want) >= 0.9 * len(want)
+
+
+def test_models_with_long_names_stay_apart(spark):
+    name = "m" * 100
+    rows = [("a", [1.0, 2.0], name + "1", 2, None, None), ("b", [1.0, 2.0], name + "2", 2, None, None), ("c", [1.0, 2.0], name + "2", 2, None, None)]
+    assert found(spark, rows) == {("b", "c"), ("c", "b")}
 
 
 def test_unusable_and_repeated(spark):
