@@ -21,6 +21,7 @@ CHUNK = "chunk_id string, file_id string, content string, heading string, page i
 MERGED = ("Text", "Page", "Cell")
 _PUNCTUATION = set("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
 _HEADING = re.compile(r"(#{1,6}) (.*)", re.S)
+_BOUNDARY = re.compile(rb"\n|[.!?](?=[ \n\r\t])")
 _SENTENCES = re.compile(r"[^.!?\n]*[.!?\n]|[^.!?\n]+$")
 
 
@@ -59,26 +60,24 @@ class ChunkConfig:
 def sentence_boundary(text: str, limit: int) -> int | None:
     """Where to cut a text of more than ``limit`` bytes, in bytes; None for one that fits.
 
-    The earliest end of a sentence or line in the second half of the limit; a blank line there wins
-    over what comes before it; without either the first blank of the second half, else the limit,
-    moved back to the start of a character.
+    The places in the second half of the limit, by rank: the last blank line with an end of a line or
+    sentence after it; the first end of a line or sentence; the place after the first blank; the limit.
+    A blank line right at the half hands over to the next end after it. Characters stay whole.
     """
     raw = text.encode("utf-8", "surrogatepass")
     if len(raw) <= limit:
         return None
-    cut = None
-    for at in range(limit - 1, max(limit // 2, 1) - 1, -1):
-        c = raw[at]
-        if c == 10:
-            if cut is not None and at and raw[at - 1] == 10:  # a blank line with a later boundary
-                return _character(raw, at if at > limit // 2 else cut)
-            cut = at
-        elif c in b".!?" and at + 1 < limit and raw[at + 1] in b" \n\r\t":
-            cut = at + 1
-    if cut is not None:
-        return _character(raw, cut)
-    space = raw.find(b" ", limit // 2, limit)
-    return _character(raw, space + 1 if space >= 0 else limit)
+    half = max(limit // 2, 1)
+    found = list(_BOUNDARY.finditer(raw, half, limit))
+    ends = sorted({m.end() - (m[0] == b"\n") for m in found})
+    blank = [m.start() for m in found if m[0] == b"\n" and raw[m.start() - 1 : m.start()] == b"\n" and m.start() < ends[-1]]
+    if blank:
+        cut = blank[-1] if blank[-1] > limit // 2 else ends[ends.index(blank[-1]) + 1]
+    elif ends:
+        cut = ends[0]
+    else:
+        cut = raw.find(b" ", half, limit) + 1 or limit
+    return _character(raw, cut)
 
 
 def _character(raw: bytes, at: int) -> int:

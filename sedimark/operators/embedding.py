@@ -6,6 +6,7 @@ import hashlib
 import json
 import os
 import time
+import urllib.error
 import urllib.request
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -21,7 +22,8 @@ from sedimark.errors import DimensionMismatch, EmbedError
 # Dimensions of known models, by provider.
 DEFAULT_DIMENSIONS = {"ollama": 768, "openai": 1536, "anthropic": 768, "gemini": 768}
 MODEL_DIMENSIONS = {"text-embedding-3-large": 3072, "text-embedding-3-small": 1536, "text-embedding-ada-002": 1536, "gemini-embedding-001": 3072, "text-embedding-004": 768, "nomic-embed-text": 768, "mxbai-embed-large": 1024, "all-minilm": 384}
-TRANSIENT = ["timeout", "timed out", "connection", "temporarily", "unavailable", "rate limit", "too many requests", "429", "502", "503", "504", "reset"]
+#: Answers that say "not now": out of time, in conflict, too early, too many requests, and every fault of the server.
+PASSING = {408, 409, 425, 429}
 
 
 class Embedder(Protocol):
@@ -139,8 +141,15 @@ class RetryPolicy:
         return min(self.most_seconds, self.first_seconds * 2**n)
 
     @staticmethod
-    def is_transient(error: Exception) -> bool:
-        return any(k in str(error).lower() for k in TRANSIENT)
+    def is_transient(error: BaseException | None) -> bool:
+        """Whether the error, or what caused it, is one of the network or an answer that may be another next time."""
+        while error is not None:
+            if isinstance(error, urllib.error.HTTPError):
+                return error.code in PASSING or error.code >= 500
+            if isinstance(error, (TimeoutError, ConnectionError, urllib.error.URLError)):
+                return True
+            error = error.__cause__
+        return False
 
     def call(self, f, *args):
         for n in range(self.retries + 1):

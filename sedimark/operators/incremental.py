@@ -1,13 +1,15 @@
 """Processing only new or changed records.
 
-The state is a table of (key, hash) in numbered versions beside a pointer file. A run hashes its
-current rows, joins them with the version that the pointer names, works on what is new or changed,
-writes those rows as a part of the next version, and moves the pointer by one rename. A run that fails
-before the rename leaves the old version in force, so its records come again; after it, they don't.
+The state is a table of (key, hash) in numbered versions. A run hashes its current rows, joins them
+with the version in force, works on what is new or changed, writes those rows as a part of its own,
+and puts up the manifest of the next version in one step. A run that fails before that leaves the old
+version in force, so its records come again; after it, they don't.
 """
 
 from __future__ import annotations
 
+import contextlib
+import os
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -59,15 +61,19 @@ def content_hash(columns: list[str]) -> Column:
 
 
 class Versions:
-    """Numbered versions of a table in a folder: which parts make up each, and which is in force.
-
-    A version is a manifest that names folders of Parquet files, older parts first. ``publish`` moves
-    a staged folder to its place, writes the manifest, and then moves the pointer by one rename, so
-    readers see a version whole or not at all, and a run that dies in between leaves the old one.
+    """Numbered versions in a folder: which parts make up each, and which is in force.
+
+    A version is a manifest that names parts, folders of Parquet files, older ones first; the one with
+    the highest number is in force. Parts have names of their own, so writers don't touch each other's.
+    ``publish`` moves the staged parts to their places and puts up the manifest by a step that only one
+    of several writers can win, a link on a local disk and a rename that doesn't overwrite on HDFS; who
+    loses has changed nothing. Readers see a version whole or not at all. An object store whose rename
+    isn't atomic needs a lock around ``publish``.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
+        self._known = 0
 
     def _read_text(self, name: str) -> str | None:
         fs, p = filesystem(self.spark, f"{self.folder}/{name}")
@@ -79,28 +85,44 @@ class Versions:
         finally:
             stream.close()
 
-    def _write_text(self, name: str, text: str) -> None:
-        """Replaces a small file by one rename."""
-        jvm, jsc = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc
-        fs, _ = filesystem(self.spark, self.folder)
-        temp = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/_new-{uuid.uuid4().hex}")
-        out = fs.create(temp, True)
+    def _put(self, name: str, text: str) -> bool:
+        """Writes a small file whole, in one step, unless it is there."""
+        fs, temp = filesystem(self.spark, f"{self.folder}/_new-{uuid.uuid4().hex}")
+        _, target = filesystem(self.spark, f"{self.folder}/{name}")
+        out = fs.create(temp, False)
         out.write(bytearray(text.encode()))
         out.close()
-        option = jvm.org.apache.hadoop.fs.Options.Rename
-        options = self.spark.sparkContext._gateway.new_array(option, 1)
-        options[0] = option.OVERWRITE
-        jobs = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), jsc.hadoopConfiguration())
-        jobs.rename(temp, jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}"), options)
+        try:
+            if fs.getUri().getScheme() != "file":
+                return not fs.exists(target) and bool(fs.rename(temp, target))
+            os.link(temp.toUri().getPath(), target.toUri().getPath())
+            return True
+        except FileExistsError:
+            return False
+        finally:
+            fs.delete(temp, False)
+
+    @staticmethod
+    def manifest(version: int) -> str:
+        return f"MANIFEST-{version:010d}"
 
     def current(self) -> int:
-        """The version in force; 0 before the first."""
-        return int(self._read_text("CURRENT") or 0)
+        """The version in force; 0 before the first. It is looked for from the last one that was seen, or from the hint that writers leave."""
+        at = max(self._known, int(self._read_text("HINT") or 0))
+        while True:
+            fs, p = filesystem(self.spark, f"{self.folder}/{self.manifest(at + 1)}")
+            if not fs.exists(p):
+                self._known = at
+                return at
+            at += 1
+
+    def names(self, version: int) -> list[str]:
+        """The parts of a version, below the folder."""
+        return (self._read_text(self.manifest(version)) or "").split() if version else []
 
     def parts(self, version: int) -> list[str]:
         """The paths of a version's parts."""
-        names = (self._read_text(f"MANIFEST-{version:08d}") or "").split() if version else []
-        return [f"{self.folder}/{n}" for n in names]
+        return [f"{self.folder}/{n}" for n in self.names(version)]
 
     def stage(self, rows: DataFrame) -> str:
         path = f"{self.folder}/_staged-{uuid.uuid4().hex}"
@@ -111,29 +133,37 @@ class Versions:
         fs, p = filesystem(self.spark, path)
         fs.delete(p, True)
 
-    def publish(self, staged: str, base: int, keep_parts: bool) -> int:
-        """Makes the staged rows version ``base`` + 1: on top of the parts of ``base``, or in their place."""
-        if self.current() != base:
-            self.drop(staged)
+    def publish(self, names: list[str], staged: dict[str, str], base: int) -> int:
+        """Makes ``names`` version ``base`` + 1, where ``staged`` has the staged path of each new name; an error if there is such a version already."""
+        for name, path in staged.items():
+            fs, target = filesystem(self.spark, f"{self.folder}/{name}")
+            fs.mkdirs(target.getParent())
+            if not fs.rename(filesystem(self.spark, path)[1], target):
+                raise StorageError(f"can't move {path}")
+        if not self._put(self.manifest(base + 1), "\n".join(names)):
+            for name in staged:
+                self.drop(f"{self.folder}/{name}")
             raise StorageError(f"version {base} is no longer in force")
-        name = f"part-{base + 1:08d}"
-        fs, target = filesystem(self.spark, f"{self.folder}/{name}")
-        if fs.exists(target):  # of a run that died before it moved the pointer
-            fs.delete(target, True)
-        if not fs.rename(filesystem(self.spark, staged)[1], target):
-            raise StorageError(f"can't move {staged}")
-        names = [p.rpartition("/")[2] for p in self.parts(base)] if keep_parts else []
-        self._write_text(f"MANIFEST-{base + 1:08d}", "\n".join([*names, name]))
-        self._write_text("CURRENT", str(base + 1))
+        self._known = max(self._known, base + 1)
+        with contextlib.suppress(Exception):  # a hint may be lost or old
+            fs, p = filesystem(self.spark, f"{self.folder}/HINT")
+            out = fs.create(p, True)
+            out.write(bytearray(str(base + 1).encode()))
+            out.close()
         return base + 1
 
 
+def new_part(prefix: str = "") -> str:
+    return f"{prefix}part-{uuid.uuid4().hex}"
+
+
 class KeyedState:
     """Versions of a (key, hash) table in a folder that all executors reach.
 
     ``select`` gives a run's records, ``commit`` ends it. Between the two the caller processes the
     records; that work should be idempotent by key, since a run that dies before ``commit`` is
-    repeated. Two runs at once: the one that commits second fails, as its base version is gone.
+    repeated. Two runs at once: the one that commits second fails and changes nothing, as its
+    base version is gone.
 
     A commit writes its own rows only, as one more part; the last part that has a key counts. After
     ``MOST_PARTS`` the state is written anew as one.
@@ -160,16 +190,23 @@ class KeyedState:
         return every.groupBy("key").agg(F.max_by("hash", "n").alias("hash"))
 
     def select(self, current: DataFrame) -> DataFrame:
-        """What is new or changed, held in the shared folder so that ``commit`` ends exactly this selection."""
+        """(key, hash, change) of what is new or changed, held in the shared folder so that ``commit`` ends exactly this selection."""
         return written(changed(current, self.read()), "changed")
 
     def commit(self, done: DataFrame, base: int) -> int:
         """Makes ``done`` (key, hash) part of the state that was ``base``, and that the version in force."""
-        new = done.select("key", "hash")
-        if len(self.versions.parts(base)) < self.MOST_PARTS:
-            return self.versions.publish(self.versions.stage(new), base, True)
+        new, part, names = done.select("key", "hash"), new_part(), self.versions.names(base)
+        if len(names) < self.MOST_PARTS:
+            return self.versions.publish([*names, part], {part: self.versions.stage(new)}, base)
         kept = self.read(base).join(new, "key", "left_anti")
-        return self.versions.publish(self.versions.stage(kept.unionByName(new)), base, False)
+        return self.versions.publish([part], {part: self.versions.stage(kept.unionByName(new))}, base)
+
+
+def indexed_state(spark: SparkSession, folder: str, index_state: DataFrame) -> KeyedState:
+    """A state in an empty folder whose first version is what the log says was indexed successfully."""
+    state = KeyedState(spark, folder)
+    state.commit(last_success(index_state, "file_id", "hash", "last_indexed", "status", "Indexed"), state.version())
+    return state
 
 
 def pending_files(file_meta: DataFrame, index_state: DataFrame) -> DataFrame:

@@ -7,32 +7,40 @@ from pyspark.sql import functions as F
 
 from sedimark.storage_paths import written
 
-#: A key is hot when it has more than this part of all rows; so at most 1 / HOT_PART keys are hot.
+#: A key is hot when it has more than this part of all rows, or more than half of what a task has if that is less.
 HOT_PART = 0.01
 #: Fewer rows than this have no hot keys worth a plan of their own; which rows come out doesn't depend on it.
 LEAST_ROWS = 10_000
 
 
-def hot_keys(left: DataFrame, key: str, part: float = HOT_PART) -> list:
+def hot_part(df: DataFrame) -> float:
+    """The part of all rows from which a key is hot: less with more tasks, so that a key's rows fit in one."""
+    return min(HOT_PART, 0.5 / max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))))
+
+
+def hot_keys(left: DataFrame, key: str, part: float | None = None) -> list:
     """Keys of more than ``part`` of the rows that have a key; never more than ``1 / part`` of them.
 
     Rows are counted before the shuffle, so a hot key reaches the reducer as one row a task.
     """
     some = left.where(F.col(key).isNotNull()).select(key)
+    part = hot_part(left) if part is None else part
     total = some.count()
     if total < LEAST_ROWS:
         return []
     return [r[0] for r in some.groupBy(key).count().where(F.col("count") > int(total * part)).select(key).collect()]
 
 
-def join_unique(left: DataFrame, right: DataFrame, key: str, how: str = "left", part: float = HOT_PART, counted: DataFrame | None = None) -> DataFrame:
+def join_unique(left: DataFrame, right: DataFrame, key: str, how: str = "left", part: float | None = None, counted: DataFrame | None = None, hot: list | None = None) -> DataFrame:
     """``left`` joined with ``right``, which has each ``key`` at most once.
 
     Rows of hot keys meet their at most ``1 / part`` rows of ``right`` by broadcast, where they lie;
     the others are shuffled. Null keys match nothing and stay for ``how='left'``. No row is dropped.
-    ``counted`` has the key's values at less cost than ``left``, such as the table it was made from.
+    ``counted`` has the key's values at less cost than ``left``, such as the table it was made from;
+    ``hot`` names the hot keys where they are known.
     """
-    hot = hot_keys(left if counted is None else counted, key, part)
+    if hot is None:
+        hot = hot_keys(left if counted is None else counted, key, part)
     if not hot:
         return left.join(right, key, how)
     left = written(left, "split")

@@ -1,10 +1,11 @@
 """Tables with keys: upserts, deletes, lookups, over immutable Parquet versions.
 
-A table has ``Versions``: parts of rows and a pointer that moves by one rename, so readers see the old
-version or the new. Upserts and deletes write only what they change, as a part of its own with a mark
-for deleted keys, and reading takes the last part that has a key; after ``MOST_PARTS`` parts the
-table is written anew as one. A transaction stages changes of several tables and moves all pointers
-at its end.
+A store has ``Versions`` of all its tables together: parts of rows by table, and one manifest that is
+put up in one step, so readers see every table's old rows or every table's new ones. Upserts and deletes
+write only what they change, as a part of its own with a mark for deleted keys, and reading takes the
+last part that has a key; after ``MOST_PARTS`` parts a table is written anew as one. A transaction
+stages changes of several tables on the version that it began with; if another writer has put up the
+next one meanwhile, it fails and changes nothing.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedimark.errors import DuplicateKey, ReadOnlyError, StorageError
-from sedimark.operators.incremental import Versions
+from sedimark.operators.incremental import Versions, new_part
 
 SCHEMAS = {
     "files": ("file_id", "file_id string, path string, hash string, size long, modified long, extension string, last_indexed long"),
@@ -48,12 +49,11 @@ class Table:
     def __init__(self, store: Store, name: str, key: str, schema: str):
         self.store, self.name, self.key, self.schema = store, name, key, schema
         self.columns = [f.split()[0] for f in schema.split(", ")]
-        self.versions = Versions(store.spark, f"{store.folder}/{name}")
 
     def _parts(self) -> list[str]:
-        """Paths of the parts that are read now: the version in force and what the transaction staged on it."""
+        """Paths of the parts that are read now: the version in force, or that the transaction began with, and what it staged."""
         whole, own = self.store._staged.get(self.name, (False, []))
-        return ([] if whole else self.versions.parts(self.versions.current())) + own
+        return ([] if whole else [f"{self.store.folder}/{n}" for n in self.store.names(self.name)]) + own
 
     def read(self) -> DataFrame:
         spark, parts = self.store.spark, self._parts()
@@ -80,12 +80,12 @@ class Table:
                     marks = marks.withColumn(c, F.lit(None).cast(dict(rows.select(*self.columns).dtypes)[c]))
             marks = marks.select(*self.columns).withColumn(GONE, F.lit(True))
             part = part.unionByName(marks.join(part.select(self.key), self.key, "left_anti"))
-        self.store._stage(self, self.versions.stage(part), False)
+        self.store._stage(self, self.store.versions.stage(part), False)
 
     def replace(self, rows: DataFrame) -> None:
         """The whole table anew."""
         self.store.check_writable()
-        self.store._stage(self, self.versions.stage(rows.select(*self.columns).withColumn(GONE, F.lit(False))), True)
+        self.store._stage(self, self.store.versions.stage(rows.select(*self.columns).withColumn(GONE, F.lit(False))), True)
 
     def append(self, rows: DataFrame) -> None:
         """New rows; a key that is there already is an error."""
@@ -113,6 +113,18 @@ class Table:
     def get(self, value) -> DataFrame:
         return self.read().where(F.col(self.key) == value)
 
+    def where(self, **values) -> DataFrame:
+        """The rows with these values in the order of their keys; None asks for rows without a value."""
+        rows = self.read()
+        for c, v in values.items():
+            rows = rows.where(F.col(c).eqNullSafe(F.lit(v)))
+        return rows.orderBy(self.key) if self.key else rows
+
+    def among(self, wanted: DataFrame) -> DataFrame:
+        """The rows whose values of the columns of ``wanted`` are a row of it; null is a value."""
+        met = [F.col(f"r.{c}").eqNullSafe(F.col(f"w.{c}")) for c in wanted.columns]
+        return self.read().alias("r").join(wanted.distinct().alias("w"), met, "left_semi")
+
     def count(self) -> int:
         return self.read().count()
 
@@ -122,7 +134,9 @@ class Store:
 
     def __init__(self, spark: SparkSession, folder: str, read_only: bool = False):
         self.spark, self.folder, self.read_only = spark, folder.rstrip("/"), read_only
+        self.versions = Versions(spark, f"{self.folder}")
         self._depth = 0
+        self._base: int | None = None
         self._staged: dict[str, tuple[bool, list[str]]] = {}
         self.tables = {name: Table(self, name, key, schema) for name, (key, schema) in SCHEMAS.items()}
 
@@ -136,24 +150,35 @@ class Store:
         if self.read_only:
             raise ReadOnlyError(self.folder)
 
+    def names(self, table: str, version: int | None = None) -> list[str]:
+        """The parts of a table in the version in force, or in the one that the transaction began with."""
+        v = version if version is not None else self._base if self._base is not None else self.versions.current()
+        return [n for n in self.versions.names(v) if n.startswith(f"{table}/")]
+
     def _stage(self, table: Table, path: str, whole: bool) -> None:
         before = self._staged.get(table.name, (False, []))
         self._staged[table.name] = (True, [path]) if whole else (before[0], [*before[1], path])
         if not self._depth:
-            self._publish()
-
-    def _publish(self) -> None:
-        for name, (whole, paths) in self._staged.items():
-            v = self.tables[name].versions
-            for i, path in enumerate(paths):
-                v.publish(path, v.current(), not (whole and i == 0))
-        many = [self.tables[n] for n in self._staged if len(self.tables[n].versions.parts(self.tables[n].versions.current())) > MOST_PARTS]
-        self._staged = {}
-        for t in many:
-            t.replace(t.read())
+            self._publish(self.versions.current())
+
+    def _publish(self, base: int) -> None:
+        names, staged = self.versions.names(base), {}
+        for table, (whole, paths) in self._staged.items():
+            names = [n for n in names if not (whole and n.startswith(f"{table}/"))]
+            own = {new_part(f"{table}/"): path for path in paths}
+            names, staged = [*names, *own], {**staged, **own}
+        changed, self._staged = list(self._staged), {}
+        if not staged:
+            return
+        version = self.versions.publish(names, staged, base)
+        for t in changed:
+            if len(self.names(t, version)) > MOST_PARTS:
+                self.tables[t].replace(self.tables[t].read())
 
     def begin(self) -> None:
         self.check_writable()
+        if not self._depth:
+            self._base = self.versions.current()
         self._depth += 1
 
     def commit(self) -> None:
@@ -161,15 +186,16 @@ class Store:
             raise StorageError("no transaction")
         self._depth -= 1
         if not self._depth:
-            self._publish()
+            base, self._base = self._base, None
+            self._publish(base)
 
     def rollback(self) -> None:
         if not self._depth:
             raise StorageError("no transaction")
-        self._depth = 0
-        for name, (_, paths) in self._staged.items():
+        self._depth, self._base = 0, None
+        for _, paths in self._staged.values():
             for path in paths:
-                self.tables[name].versions.drop(path)
+                self.versions.drop(path)
         self._staged = {}
 
     def __enter__(self) -> Store:
@@ -179,6 +205,25 @@ class Store:
     def __exit__(self, kind, *_) -> None:
         self.rollback() if kind else self.commit()
 
+    def edges_of(self, node: str, direction: str = "both") -> DataFrame:
+        """The edges that leave a node (``forward``), reach it (``backward``), or either."""
+        out, into = F.col("from_id") == node, F.col("to_id") == node
+        met = {"forward": out, "backward": into, "both": out | into}.get(direction.lower())
+        if met is None:
+            raise StorageError(f"no such direction: {direction}")
+        return self.edges.read().where(met).orderBy("edge_id")
+
+    def pending(self) -> DataFrame:
+        """The states that aren't Indexed, by file."""
+        done = F.lower(F.regexp_replace("status", r"^\s+|\s+$", "")) == "indexed"
+        return self.state.read().where(~F.coalesce(done, F.lit(False))).orderBy("file_id")
+
+    def files_in_order(self) -> DataFrame:
+        return self.files.read().orderBy("path", "file_id")
+
+    def record_move(self, file_id: str, old_path: str, new_path: str, timestamp: int) -> None:
+        self.moves.append(self.spark.createDataFrame([(file_id, old_path, new_path, timestamp)], SCHEMAS["moves"][1]))
+
     def delete_file(self, file_id: str) -> dict[str, int]:
         """Everything of a file, in one transaction; the numbers of rows by table."""
         with self:

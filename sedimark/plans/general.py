@@ -2,58 +2,72 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedimark.operators.incremental import pending_files
-from sedimark.operators.references import ForeignKey, Keyed, cascade, dated, direct
+from sedimark.errors import StorageError
+from sedimark.operators.incremental import current_rows, indexed_state
+from sedimark.operators.references import ForeignKey, Keyed, cascade, direct, records
 from sedimark.sources.tables import table
+from sedimark.storage_paths import shared_dir
 
 
-def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    return pending_files(table(spark, folder, "file_meta"), table(spark, folder, "index_state")).select(F.col("key").alias("file_id"))
+def _state(spark: SparkSession, folder: str):
+    """The state that the log of past runs amounts to, and the files as they are now."""
+    state = indexed_state(spark, f"{shared_dir(spark)}/state-{uuid.uuid4().hex}", table(spark, folder, "index_state"))
+    return state, current_rows(table(spark, folder, "file_meta"), "file_id", "hash", "modified")
 
 
-def p1_changes(spark: SparkSession, folder: str) -> DataFrame:
-    """The same with the hash to record on success, and whether the file is new or changed."""
-    return pending_files(table(spark, folder, "file_meta"), table(spark, folder, "index_state")).select(F.col("key").alias("file_id"), "hash", "change")
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    state, now = _state(spark, folder)
+    return state.select(now).select(F.col("key").alias("file_id"))
 
 
-def _references(spark: SparkSession, folder: str) -> tuple[dict[str, Keyed], list[ForeignKey]]:
+def p1_changes(spark: SparkSession, folder: str) -> DataFrame:
+    """What two runs record, the first of which is lost before it commits: the hash of each file that was due, and whether it is new or changed.
+
+    The lost run's records come again; a run that commits on its base afterwards is turned away.
+    """
+    state, now = _state(spark, folder)
+    base = state.version()
+    lost = state.select(now)
+    state.commit(state.select(now), base)
+    try:
+        state.commit(lost, base)
+    except StorageError:
+        pass
+    before, after = state.read(base), state.read()
+    old = before.select("key", F.col("hash").alias("old"))
+    done = after.join(old, "key", "left").where(~F.col("hash").eqNullSafe(F.col("old")))
+    return done.select(F.col("key").alias("file_id"), "hash", F.when(F.col("old").isNull(), "new").otherwise("changed").alias("change"))
+
+
+def _cascade(spark: SparkSession, folder: str) -> DataFrame:
+    """Files are the targets of chunks, chunks of their nodes, nodes of the edges."""
+    chunk = F.when(F.col("node_type") == "Chunk", F.col("ref_id"))
     tables = {
         "chunks": Keyed(table(spark, folder, "chunks"), "chunk_id", "created_at"),
         "file_meta": Keyed(table(spark, folder, "file_meta"), "file_id"),
         "graph_edges": Keyed(table(spark, folder, "graph_edges"), "edge_id", "created_at"),
-        "graph_nodes": Keyed(table(spark, folder, "graph_nodes"), "id", "created_at"),
+        "graph_nodes": Keyed(table(spark, folder, "graph_nodes").withColumn("chunk_ref", chunk), "id", "created_at"),
     }
-    keys = [ForeignKey("chunks", "file_id", "file_meta"), ForeignKey("graph_edges", "from_id", "graph_nodes", True), ForeignKey("graph_edges", "to_id", "graph_nodes", True)]
-    return tables, keys
+    keys = [ForeignKey("chunks", "file_id", "file_meta"), ForeignKey("graph_nodes", "chunk_ref", "chunks"), ForeignKey("graph_edges", "from_id", "graph_nodes", True), ForeignKey("graph_edges", "to_id", "graph_nodes", True)]
+    return cascade(tables, keys)
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    return direct(*_references(spark, folder)).select("table_name", "field_name", "record_id", "period", "reason")
+    """The direct orphans of the cascade among the references that are stored as such; a node's chunk is one by its type only."""
+    return direct(_cascade(spark, folder)).where(F.col("table_name") != "graph_nodes").select("table_name", "field_name", "record_id", "period", "reason")
 
 
 def p2_cascade(spark: SparkSession, folder: str) -> DataFrame:
-    """Direct and inherited orphans per table and depth, when chunk nodes are children of their chunks."""
-    tables, keys = _references(spark, folder)
-    nodes = table(spark, folder, "graph_nodes")
-    tables["chunk_nodes"] = Keyed(nodes.where(F.col("node_type") == "Chunk"), "id", "created_at")
-    keys = [keys[0], ForeignKey("chunk_nodes", "ref_id", "chunks")]
-    nested = cascade({k: tables[k] for k in ("chunks", "file_meta", "chunk_nodes")}, keys)
-    return nested.groupBy("table_name", "origin", "depth").agg(F.count("*").alias("n"))
-
-
-def p2_orphans(spark: SparkSession, folder: str) -> DataFrame:
-    """Direct and inherited orphans per table, month and depth, down to the edges: chunk nodes are children of their chunks, edges of their nodes."""
-    tables, keys = _references(spark, folder)
-    chunk = F.when(F.col("node_type") == "Chunk", F.col("ref_id"))
-    tables["graph_nodes"] = Keyed(table(spark, folder, "graph_nodes").withColumn("chunk_ref", chunk), "id", "created_at")
-    found = dated(cascade(tables, [*keys, ForeignKey("graph_nodes", "chunk_ref", "chunks")]), tables)
-    return found.groupBy("table_name", "period", "origin", "depth").agg(F.count("*").alias("n"))
+    """Direct and inherited orphans per table, month and depth, from the chunks by their nodes down to the edges."""
+    return records(_cascade(spark, folder)).groupBy("table_name", "period", "origin", "depth").agg(F.count("*").alias("n"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_changes": p1_changes, "p2_found": p2_found, "p2_cascade": p2_cascade, "p2_orphans": p2_orphans}
+QUERIES = {"p1_found": p1_found, "p1_changes": p1_changes, "p2_found": p2_found, "p2_cascade": p2_cascade}
 
 _CLEAN = r"nullif(regexp_replace(lower(regexp_replace(hash, '^\s+|\s+$', '', 'g')), '^sha256:\s*', ''), '')"
 _P1 = rf"""
@@ -84,15 +98,6 @@ SELECT DISTINCT 'chunks', 'file_id', c.chunk_id, {_MONTH}, 'absent'
 FROM chunks c JOIN chunk_at a ON c.chunk_id IS NOT DISTINCT FROM a.chunk_id
 WHERE c.file_id IS NOT NULL AND c.file_id <> '' AND NOT EXISTS (SELECT 1 FROM file_meta f WHERE f.file_id = c.file_id)
 """
-_P2C = """
-WITH bad AS (SELECT DISTINCT chunk_id FROM chunks c WHERE file_id IS NOT NULL AND file_id <> '' AND NOT EXISTS (SELECT 1 FROM file_meta f WHERE f.file_id = c.file_id)),
-lost AS (SELECT DISTINCT id FROM graph_nodes n WHERE node_type = 'Chunk' AND ref_id IS NOT NULL AND ref_id <> '' AND NOT EXISTS (SELECT 1 FROM chunks c WHERE c.chunk_id = n.ref_id)),
-heir AS (SELECT DISTINCT id FROM graph_nodes WHERE node_type = 'Chunk' AND ref_id IN (SELECT chunk_id FROM bad) AND id NOT IN (SELECT id FROM lost))
-SELECT * FROM (
-  SELECT 'chunks' AS table_name, 'direct' AS origin, 0 AS depth, count(*) AS n FROM bad
-  UNION ALL SELECT 'chunk_nodes', 'direct', 0, count(*) FROM lost
-  UNION ALL SELECT 'chunk_nodes', 'inherited', 1, count(*) FROM heir) WHERE n > 0
-"""
 _P2O = f"""
 WITH found AS ({_P2}),
 bad AS (SELECT DISTINCT record_id AS id FROM found WHERE table_name = 'chunks'),
@@ -112,4 +117,4 @@ dated AS (
   UNION ALL SELECT 'graph_edges', depth, seen FROM edge b JOIN (SELECT edge_id, min(created_at) AS seen FROM graph_edges GROUP BY edge_id) a ON a.edge_id IS NOT DISTINCT FROM b.id)
 SELECT table_name, {_MONTH} AS period, CASE WHEN depth = 0 THEN 'direct' ELSE 'inherited' END AS origin, depth, count(*) AS n FROM dated GROUP BY ALL
 """
-ORACLE = {"p1_found": _P1 % "file_id", "p1_changes": _P1 % "file_id, now.h AS hash, CASE WHEN ok.h IS NULL THEN 'new' ELSE 'changed' END AS change", "p2_found": _P2, "p2_cascade": _P2C, "p2_orphans": _P2O}
+ORACLE = {"p1_found": _P1 % "file_id", "p1_changes": _P1 % "file_id, now.h AS hash, CASE WHEN ok.h IS NULL THEN 'new' ELSE 'changed' END AS change", "p2_found": _P2, "p2_cascade": _P2O}

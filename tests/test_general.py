@@ -2,8 +2,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from sedimark.errors import StorageError
-from sedimark.operators.incremental import KeyedState, changed, clean_hash, content_hash, current_rows, pending_files
-from sedimark.operators.references import ForeignKey, Keyed, cascade, direct
+from sedimark.operators.incremental import KeyedState, changed, clean_hash, content_hash, current_rows, new_part, pending_files
+from sedimark.operators.references import ForeignKey, Keyed, cascade, direct, records
 from sedimark.operators.skew import hot_keys, join_unique
 from sedimark.plans.general import QUERIES
 
@@ -73,6 +73,41 @@ def test_state_is_written_anew_after_many_parts(spark, tmp_path, monkeypatch):
     assert len(state.versions.parts(6)) < 4
 
 
+def test_writers_that_interleave_lose_nothing(spark, tmp_path):
+    """Both have passed every check on the same base when each puts up its version; one is turned away whole."""
+    row = lambda *x: spark.createDataFrame(list(x), "key string, hash string")
+    one, two = KeyedState(spark, f"file://{tmp_path}/state"), KeyedState(spark, f"file://{tmp_path}/state")
+    one.commit(row(("base", "0")), 0)
+    staged = two.versions.stage(row(("b1", "1")))
+    part = new_part()
+    one.commit(row(("a1", "1"), ("a2", "1")), 1)
+    with pytest.raises(StorageError):
+        two.versions.publish([*two.versions.names(1), part], {part: staged}, 1)
+    assert one.version() == two.version() == 2
+    assert {r.key for r in two.read().collect()} == {"base", "a1", "a2"}
+    two.commit(row(("b1", "1")), two.version())
+    assert {r.key for r in one.read().collect()} == {"base", "a1", "a2", "b1"}
+    fresh = KeyedState(spark, f"file://{tmp_path}/state")
+    (tmp_path / "state" / "HINT").unlink()
+    assert fresh.version() == 3
+
+
+def test_chains_of_any_length(spark):
+    rows = [(str(i), str(i - 1)) for i in range(1, 56)]
+    t = {"t": Keyed(spark.createDataFrame(rows, "id string, up string"), "id")}
+    got = {(r.record_id, r.depth) for r in records(cascade(t, [ForeignKey("t", "up", "t")])).collect()}
+    assert got == {(str(i), i - 1) for i in range(1, 56)}
+
+
+def test_cascade_of_tables_and_a_circle(spark):
+    a = spark.createDataFrame([("a1", "gone", "b1"), ("a2", None, "b2")], "id string, f string, b string")
+    b = spark.createDataFrame([("b1", "a2"), ("b2", "a1"), ("b3", "a2")], "id string, a string")
+    f = spark.createDataFrame([("f1",)], "id string")
+    t = {"a": Keyed(a, "id"), "b": Keyed(b, "id"), "f": Keyed(f, "id")}
+    got = {(r.table_name, r.record_id, r.depth) for r in records(cascade(t, [ForeignKey("a", "f", "f"), ForeignKey("a", "b", "b"), ForeignKey("b", "a", "a")])).collect()}
+    assert got == {("a", "a1", 0), ("b", "b2", 1), ("a", "a2", 2), ("b", "b1", 3), ("b", "b3", 3)}
+
+
 def test_state_ignores_half_written_version(spark, tmp_path):
     state = KeyedState(spark, f"file://{tmp_path}/state")
     now = spark.createDataFrame([("a", "1")], "key string, hash string")
@@ -94,21 +129,21 @@ def test_direct(spark):
     day = 86_400_000
     edges = [("1", "a", "b", 5 * day, "x"), ("1", "a", "b", 5 * day, "x"), ("2", "late", "gone", 1, None), ("3", "", None, 1, None), ("4", "late", "A", None, None), ("5", "late", "a", None, None), ("5", "late", "a", 40 * day, None), (None, "gone", "a", 1, None)]
     nodes = [("a", 0, "x"), ("b", None, None), ("late", 2 * day, None), ("late", 9 * day, None), (None, 1, None)]
-    got = {tuple(r) for r in direct(*graph(spark, edges, nodes)).collect()}
+    got = {tuple(r) for r in direct(cascade(*graph(spark, edges, nodes))).collect()}
     assert got == {
         ("e", "from_id", "2", "1970-01", "late"), ("e", "to_id", "2", "1970-01", "absent"), ("e", "to_id", "4", "unknown", "absent"), ("e", "from_id", None, "1970-01", "absent"),
     }
 
 
 def test_direct_empty(spark):
-    assert direct(*graph(spark, [], [])).count() == 0
-    assert direct(*graph(spark, [("1", "a", "b", None, None)], [])).count() == 2
+    assert direct(cascade(*graph(spark, [], []))).count() == 0
+    assert direct(cascade(*graph(spark, [("1", "a", "b", None, None)], []))).count() == 2
 
 
 def test_cascade_reaches_fixpoint(spark):
     rows = [("a", "missing"), ("b", "a"), ("c", "b"), ("d", None), ("e", "d"), ("x", "y"), ("y", "x"), ("z", "c"), ("y", "z")]
     t = {"t": Keyed(spark.createDataFrame(rows, "id string, up string"), "id")}
-    got = {(r.record_id, r.origin, r.depth) for r in cascade(t, [ForeignKey("t", "up", "t")]).collect()}
+    got = {(r.record_id, r.origin, r.depth) for r in records(cascade(t, [ForeignKey("t", "up", "t")])).collect()}
     assert got == {("a", "direct", 0), ("b", "inherited", 1), ("c", "inherited", 2), ("z", "inherited", 3), ("y", "inherited", 4), ("x", "inherited", 5)}
 
 
@@ -155,7 +190,7 @@ def test_orphans_are_inherited_down_to_the_edges(spark, tmp_path):
         ("graph_edges", [("fine", "n", "e", june), ("deep", "heir", "e", june), ("near", "heir", "lost", None), ("own", "x", "heir", june), ("own", "e", "heir", may)], "edge_id string, from_id string, to_id string, created_at long"),
     ):
         spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
-    got = {tuple(r) for r in QUERIES["p2_orphans"](spark, str(tmp_path)).select("table_name", "period", "origin", "depth", "n").collect()}
+    got = {tuple(r) for r in QUERIES["p2_cascade"](spark, str(tmp_path)).select("table_name", "period", "origin", "depth", "n").collect()}
     assert got == {
         ("chunks", "2024-05", "direct", 0, 1), ("graph_nodes", "2024-05", "direct", 0, 1), ("graph_nodes", "2024-05", "inherited", 1, 1),
         ("graph_edges", "2024-05", "direct", 0, 1), ("graph_edges", "unknown", "inherited", 1, 1), ("graph_edges", "2024-06", "inherited", 2, 1),

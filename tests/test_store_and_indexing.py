@@ -1,5 +1,6 @@
 import json
 import time
+import urllib.error
 
 import pytest
 from pyspark.sql import functions as F
@@ -45,12 +46,42 @@ def test_parts_are_taken_together(spark, store, monkeypatch):
         if n % 2:
             store.files.delete(F.col("file_id") == f"k{n}")
     assert {r.file_id: r.hash for r in store.files.read().collect()} == {"a": "7", "k0": "1", "k2": "1", "k4": "1", "k6": "1"}
-    assert len(store.files.versions.parts(store.files.versions.current())) <= 4
+    assert len(store.names("files")) <= 4
     store.moves.append(spark.createDataFrame([("a", "x", "y", 1)], ST.SCHEMAS["moves"][1]))
     store.moves.append(spark.createDataFrame([("a", "y", "z", 2)], ST.SCHEMAS["moves"][1]))
     assert store.moves.count() == 2 and store.moves.delete(F.col("timestamp") == 1) == 1 and store.moves.count() == 1
 
 
+def test_transactions_of_two_writers(spark, store):
+    other = ST.Store(spark, store.folder)
+    store.files.append(files(spark, ("a", "/a", "1", 1)))
+    with pytest.raises(StorageError):
+        with store:
+            store.files.upsert(files(spark, ("b", "/b", "1", 1)))
+            store.moves.append(spark.createDataFrame([("b", "x", "y", 1)], ST.SCHEMAS["moves"][1]))
+            other.files.upsert(files(spark, ("c", "/c", "1", 1)))
+    assert {r.file_id for r in store.files.read().collect()} == {"a", "c"} and store.moves.count() == 0
+    v = store.versions.current()
+    with store:
+        store.files.upsert(files(spark, ("b", "/b", "1", 1)))
+        store.record_move("b", "x", "y", 1)
+    assert store.versions.current() == v + 1 and other.moves.count() == 1  # both tables by one manifest
+
+
+def test_lookups(spark, store):
+    store.files.append(files(spark, ("b", "/1", "1", 1), ("a", "/2", "1", 1)))
+    assert [r.file_id for r in store.files_in_order().collect()] == ["b", "a"] and store.files.where(path="/2").first().file_id == "a"
+    store.edges.append(spark.createDataFrame([("e1", "x", "y", "Contains", 0.0, None, "f", 1), ("e2", "y", "z", "References", 1.0, None, None, 1)], ST.SCHEMAS["edges"][1]))
+    assert [r.edge_id for r in store.edges_of("y").collect()] == ["e1", "e2"] and store.edges_of("y", "Forward").first().edge_id == "e2" and store.edges_of("y", "backward").first().edge_id == "e1"
+    assert store.edges.where(relation="Contains").count() == 1 and store.edges.where(file_id=None).first().edge_id == "e2"
+    store.state.append(spark.createDataFrame([("a", "1", 1, " indexed"), ("b", "1", 1, "Failed"), ("c", "1", 1, None)], ST.SCHEMAS["state"][1]))
+    assert [r.file_id for r in store.pending().collect()] == ["b", "c"]
+    wanted = spark.createDataFrame([("f",), (None,)], "file_id string")
+    assert store.edges.among(wanted).count() == 2
+    with pytest.raises(StorageError):
+        store.edges_of("y", "up")
+
+
 def test_transactions(spark, store):
     with store:
         store.files.append(files(spark, ("a", "/a", "1", 1)))
@@ -122,7 +153,7 @@ def test_embedders():
     def flaky():
         calls.append(1)
         if len(calls) < 3:
-            raise EmbedError("429 too many requests")
+            raise EmbedError("busy") from urllib.error.HTTPError("http://x", 429, "", None, None)
         return 7
 
     assert E.RetryPolicy(first_seconds=0.001).call(flaky) == 7 and len(calls) == 3
