@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Directories that a scan leaves out, and file kinds that it takes.
@@ -29,6 +29,11 @@ CATEGORIES = {"Document": ["pdf", "docx"], "Spreadsheet": ["xlsx"], "Presentatio
 _PUNCTUATION = "[!-/:-@\\[-`{-~]"
 
 
+def schema_of(df: DataFrame) -> str:
+    """The columns and types of a table, to declare what a mapped one has."""
+    return ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
+
+
 def words(c: Column) -> Column:
     """The parts between white space; none for null."""
     return F.filter(F.split(F.coalesce(c, F.lit("")), r"(?U)\s+"), lambda x: x != "")

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from sedimark.errors import DocumentError, InvalidSelector
 from sedimark.operators import chunking
 from sedimark.sources import formats
@@ -35,19 +41,22 @@ class Entry:
 
 
 class Document:
-    def __init__(self, path: str):
-        if not os.path.isfile(path):
+    def __init__(self, path: str, data: bytes | None = None, format: str | None = None):
+        """The document at a path, or of ``data`` in a ``format`` if these are given."""
+        if data is None and not os.path.isfile(path):
             raise DocumentError(f"no file: {path}")
-        self.path, self.format = path, os.path.splitext(path)[1][1:].lower()
-        with open(path, "rb") as f:
-            self.elements = formats.parse(f.read(), self.format)
+        self.path, self.format = path, (format or os.path.splitext(path)[1][1:]).lower()
+        if data is None:
+            with open(path, "rb") as f:
+                data = f.read()
+        self.size, self.elements = len(data), formats.parse(data, self.format)
 
     def of(self, kind: str) -> list[dict]:
         return [e for e in self.elements if e["kind"] == kind]
 
     def metadata(self) -> dict:
         meta = next((dict(e["rows"]) for e in self.of("meta")), {})
-        return {"path": self.path, "format": self.format, "size": os.path.getsize(self.path), "page_count": self.page_count(), **meta}
+        return {"path": self.path, "format": self.format, "size": self.size, "page_count": self.page_count(), **meta}
 
     def page_count(self) -> int | None:
         """Pages of PDF and of DOCX with several, slides of PPTX; else none."""
@@ -168,3 +177,81 @@ def _cell_name(row: int, column: int) -> str:
         n, r = divmod(n - 1, 26)
         name = chr(65 + r) + name
     return f"{name}{row + 1}"
+
+
+# --- many documents, each where it lies ---------------------------------------------------------
+
+
+def _each(files: DataFrame, schema: str, rows: Callable[[Document], Iterable[tuple]], failed: Callable[[Exception], Iterable[tuple]]) -> DataFrame:
+    """``rows`` of each document of ``files`` (file_id, extension, content), after its file_id; what ``failed`` makes of those that can't be read."""
+    names = [f.split()[0] for f in schema.split(", ")]
+    types = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "array<string>": pa.list_(pa.string())}
+    kinds = [types[f.split()[1]] for f in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                key, ext, data = (b.column(n)[i].as_py() for n in range(3))
+                try:
+                    if data is None:
+                        raise DocumentError("no content")
+                    found = [(key, *r) for r in rows(Document(key, data, ext or ""))]
+                except Exception as x:  # a document must not end the job
+                    found = [(key, *r) for r in failed(x)]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*found), kinds)], names=names)
+
+    return files.select(F.col("file_id").cast("string"), F.col("extension").cast("string"), F.col("content").cast("binary")).mapInArrow(run, schema)
+
+
+def _shown(part) -> str:
+    """A part as text: rows as lines of cells with tabs between, a picture by its name and the hash of its bytes."""
+    if isinstance(part, tuple):
+        return f"{part[0]}:{hashlib.sha256(part[1] or b'').hexdigest()}"
+    return part if isinstance(part, str) else "\n".join("\t".join(x or "" for x in r) for r in part)
+
+
+def read_parts(files: DataFrame, requests: dict[str, tuple]) -> DataFrame:
+    """(file_id, request, part, text, error): what each named request, a selector and its value or () for all, picks from each document; ``text`` is null and ``error`` says why where it picks nothing."""
+
+    def rows(d: Document) -> Iterator[tuple]:
+        for name, request in requests.items():
+            try:
+                yield from ((name, i, _shown(p), None) for i, p in enumerate(d.read(*request)))
+            except DocumentError as x:
+                yield name, 0, None, type(x).__name__
+
+    return _each(files, "file_id string, request string, part int, text string, error string", rows, lambda x: [(n, 0, None, type(x).__name__) for n in requests])
+
+
+def facts(files: DataFrame) -> DataFrame:
+    """(file_id, format, size, page_count, title, author, error) of each document."""
+    fields = "file_id string, format string, size long, page_count int, title string, author string, error string"
+
+    def rows(d: Document) -> Iterator[tuple]:
+        m = d.metadata()
+        yield d.format, m["size"], m["page_count"], m.get("title"), m.get("creator") or m.get("author"), None
+
+    return _each(files, fields, rows, lambda x: [(None, None, None, None, None, type(x).__name__)])
+
+
+def outlines(files: DataFrame) -> DataFrame:
+    """(file_id, pos, level, label, parent): the outline of each document; those that can't be read have none."""
+    return _each(files, "file_id string, pos int, level int, label string, parent int", lambda d: ((i, e.level, e.label, e.parent) for i, e in enumerate(d.outline())), lambda x: ())
+
+
+def searches(files: DataFrame, query: str, context: int = 2) -> DataFrame:
+    """(file_id, place, text, context): what matches in each document, by line, paragraph, slide, cell or page; documents that can't be read are skipped."""
+    return _each(files, "file_id string, place string, text string, context string", lambda d: ((str(m.place), m.text, m.context) for m in d.search(query, context)), lambda x: ())
+
+
+def whole_blocks(files: DataFrame) -> DataFrame:
+    """(file_id, block, kind, number, title, name, text): the blocks that the chunker takes, rows of sheets as text."""
+    fields = "file_id string, block int, kind string, number int, title string, name string, text string"
+    return _each(files, fields, lambda d: ((i, b["kind"], b["number"], b["title"], b["name"], _shown(b["text"] if b["text"] is not None else b["rows"])) for i, b in enumerate(d.blocks())), lambda x: ())
+
+
+def document_chunks(files: DataFrame, config: chunking.ChunkConfig = chunking.ChunkConfig()) -> DataFrame:
+    """(file_id, chunk, content, heading, page, slide, sheet, block_type): the chunks of each document, opened, cut into blocks and chunked."""
+    fields = "file_id string, chunk int, content string, heading string, page int, slide int, sheet string, block_type string"
+    return _each(files, fields, lambda d: ((i, c["content"], c["heading"], c["page"], c["slide"], c["sheet"], c["block_type"]) for i, c in enumerate(d.chunks(config))), lambda x: ())

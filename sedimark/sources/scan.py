@@ -87,6 +87,18 @@ def scan(spark: SparkSession, root: str, patterns: tuple[str, ...] = (), predica
     return spark.createDataFrame(paths, "path string").repartition(parts).mapInArrow(run, FILES)
 
 
+def verified(files: DataFrame) -> DataFrame:
+    """``files`` (path, hash, ...) with ``verified``: whether the file has that hash now. Null for a null path or hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = b.schema.get_field_index("path"), b.schema.get_field_index("hash")
+            ok = [None if p is None or h is None else verify_hash(p, h) for p, h in zip(b.column(at[0]).to_pylist(), b.column(at[1]).to_pylist())]
+            yield b.append_column("verified", pa.array(ok, pa.bool_()))
+
+    return files.mapInArrow(run, T.schema_of(files) + ", verified boolean")
+
+
 def binary_files(spark: SparkSession, root: str) -> DataFrame:
     """(path, modified, size, content) by Spark's own reader, for storage that only it reaches; names that begin with ``_`` or ``.`` are left out."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)

@@ -18,7 +18,7 @@ SEEN = "path string, modificationTime timestamp, length long, content binary"
 
 
 def watch(spark: SparkSession, root: str, files_per_batch: int = 100) -> DataFrame:
-    """New files under a directory as they come: (path, modified, size, hash, extension)."""
+    """New files under a directory as they come: (path, modified, size, hash, extension). Empty files don't come."""
     raw = spark.readStream.format("binaryFile").schema(SEEN).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_batch).load(root)
     path = F.regexp_replace("path", "^file:(//)?", "")
     found = raw.select(path.alias("path"), F.unix_millis("modificationTime").alias("modified"), F.col("length").alias("size"), F.sha2("content", 256).alias("hash"))
