@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sedimark.functions import text as T
 from sedimark.operators import chunking, reading
+from sedimark.plans.files import _O, contents
 from sedimark.sources import formats, scan
 from sedimark.sources.tables import table
 
@@ -129,7 +130,46 @@ def chunk_sheets(spark, folder):
     return chunking.sheet_groups(sheets, 20).select("file_id", "part", "content")
 
 
-QUERIES = {f.__name__: f for f in (scan_include, scan_normalise, scan_ids, text_hash, text_tokens, text_last_sentences, text_lines, text_slice, text_range, text_paragraph, text_headings, text_outline, text_section, text_search, text_grep, pdf_pages, pdf_headings, pdf_search, html_elements, chunk_documents, chunk_pages, chunk_sheets)}
+def _block(kind: str, **fields) -> F.Column:
+    """A block for the chunker; what isn't named is null."""
+    types = dict(x.split(" ", 1) for x in chunking.BLOCK.split(", "))
+    return F.struct(F.lit(kind).alias("kind"), *[fields.get(n, F.lit(None)).cast(t).alias(n) for n, t in types.items() if n != "kind"])
+
+
+def chunk_sections(spark, folder):
+    """Headings, lines, matches, cells and pictures of the orders of each customer, status by status."""
+    c = contents(spark, folder)
+
+    def of(p):
+        head = F.array(_block("Text", text=F.concat(F.lit("# "), p["label"])))
+        pictures = F.array(_block("Image", caption=p["label"]), _block("Image"))
+        return F.concat(head, F.transform(p["lines"], lambda x: _block("Text", text=x)), F.array(_block("Match", text=F.lit("found")), _block("Text", text=F.lit("  "))), pictures, F.array(_block("Cell", text=F.lit("42")), _block("Cell", text=F.lit("43")), _block("Metadata")))
+
+    files = c.select("file_id", F.flatten(F.transform("content.parts", of)).alias("blocks"))
+    return chunking.chunk(files, chunking.ChunkConfig(include_images=True)).select("chunk_id", "file_id", "content", "heading", "block_type")
+
+
+def chunk_tables(spark, folder):
+    """Tables of the orders of each customer; large ones come with a warning."""
+    table_of = _block("Table", headers=F.get("content.rows", F.lit(0)), rows=F.slice("content.rows", 2, 100_000))
+    files = contents(spark, folder).select("file_id", F.array(table_of, _block("Image")).alias("blocks"))
+    return chunking.chunk(files, chunking.ChunkConfig(min_tokens=10, max_tokens=40)).select("chunk_id", "content", "block_type")
+
+
+def chunk_page_headings(spark, folder):
+    """Pages that begin as headings are headings as a whole."""
+    pages = F.transform("content.parts", lambda p, i: _block("Page", number=i + 1, text=F.concat(F.lit("## "), p["label"], F.lit("\n"), F.array_join(p["lines"], "\n"))))
+    return chunking.chunk(contents(spark, folder).select("file_id", pages.alias("blocks"))).select("chunk_id", "content", "heading", "page", "block_type")
+
+
+def chunk_splits(spark, folder):
+    """The documents in plain ASCII as slides, cut at the ends of sentences with one sentence of overlap."""
+    plain = F.regexp_replace("text", "[^ -~]+", " ")
+    files = _docs(spark, folder).where(F.col("text").isNotNull()).select(F.col("doc_id").cast("string").alias("file_id"), F.array(_block("Slide", text=plain, number=F.lit(1))).alias("blocks"))
+    return chunking.chunk(files, chunking.ChunkConfig(min_tokens=10, max_tokens=50)).select("chunk_id", "content", "slide", "block_type")
+
+
+QUERIES = {f.__name__: f for f in (chunk_sections, chunk_tables, chunk_page_headings, chunk_splits, scan_include, scan_normalise, scan_ids, text_hash, text_tokens, text_last_sentences, text_lines, text_slice, text_range, text_paragraph, text_headings, text_outline, text_section, text_search, text_grep, pdf_pages, pdf_headings, pdf_search, html_elements, chunk_documents, chunk_pages, chunk_sheets)}
 
 _S = r"[\s\x{0B}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 _EXT = "'" + "', '".join(T.SUPPORTED_EXTENSIONS) + "'"
@@ -144,7 +184,26 @@ _HTML_LINES = "WITH" + _LINES % {"key": "file_id", "text": "content", "table": "
 _IS_HEAD = r"regexp_matches(text, '^\s*#{1,6} ')"
 _HEADS = r"SELECT %s, line, length(regexp_extract(text, '^\s*(#{1,6}) +(.*?)\s*$', 1))::INT AS level, regexp_extract(text, '^\s*(#{1,6}) +(.*?)\s*$', 2) AS label FROM line WHERE " + _IS_HEAD
 _PAGES = "(SELECT file_id, unnest(range(len(page_texts)))::INT + 1 AS page, unnest(page_texts) AS text FROM (SELECT DISTINCT file_id, title, page_texts FROM pdf_documents WHERE page_texts IS NOT NULL))"
+_ID = "file_id || ':' || lpad((%s)::VARCHAR, 6, '0') AS chunk_id"
 ORACLE = {
+    "chunk_sections": f"""WITH {_O}, x AS (
+  SELECT file_id, 5 * n - 5 AS i, label AS content, CASE WHEN n > 1 THEN (SELECT b.label FROM part b WHERE b.file_id = part.file_id AND b.n = part.n - 1) END AS heading, 'Heading' AS block_type FROM part
+  UNION ALL SELECT file_id, 5 * n - 4, flat || ' found', label, 'Text' FROM part UNION ALL SELECT file_id, 5 * n - 3, '[Image: ' || label || ']', label, 'Image' FROM part
+  UNION ALL SELECT file_id, 5 * n - 2, '[Image]', label, 'Image' FROM part UNION ALL SELECT file_id, 5 * n - 1, '42 43', label, 'Cell' FROM part)
+SELECT {_ID % "i"}, file_id, content, heading, block_type FROM x""",
+    "chunk_tables": f"""WITH {_O}, x AS (SELECT file_id, grid || chr(10) AS body, strlen(grid || chr(10)) // 4 AS est FROM t)
+SELECT {_ID % "0"}, CASE WHEN est > 40 THEN '[WARNING: table exceeds 40 tokens (est. ' || est || ')]' || chr(10) ELSE '' END || body AS content, 'Table' AS block_type FROM x""",
+    "chunk_page_headings": f"""WITH {_O}, x AS (SELECT *, label || chr(10) || body AS content FROM part)
+SELECT {_ID % "n - 1"}, content, CASE WHEN n > 1 THEN (SELECT b.content FROM x b WHERE b.file_id = x.file_id AND b.n = x.n - 1) END AS heading, n::INT AS page, 'Heading' AS block_type FROM x""",
+    "chunk_splits": rf"""
+WITH RECURSIVE d AS (SELECT doc_id AS file_id, regexp_replace(text, '[^ -~]+', ' ', 'g') AS t FROM documents WHERE text IS NOT NULL),
+s(file_id, i, before, part, rest) AS (
+  SELECT file_id, -1, '', '', t FROM d
+  UNION ALL
+  SELECT file_id, i + 1, part, substr(rest, 1, cut), substr(rest, cut + 1) FROM (
+    SELECT *, CASE WHEN length(rest) <= 200 THEN length(rest) WHEN regexp_matches(w, '[.!?] ') THEN 99 + length(regexp_extract(w, '^.*?[.!?] ')) WHEN contains(w, ' ') THEN 100 + instr(w, ' ') ELSE 200 END AS cut
+    FROM (SELECT *, substr(rest, 101, 100) AS w FROM s WHERE i = -1 OR rest <> '')))
+SELECT {_ID % "i"}, CASE WHEN i = 0 THEN part ELSE ltrim(coalesce(list_filter(regexp_extract_all(before, '[^.!?]*[.!?]|[^.!?]+'), lambda x: trim(x) <> '')[-1], '')) || part END AS content, 1::INT AS slide, 'Slide' AS block_type FROM s WHERE i >= 0""",
     "scan_include": rf"""
 WITH f AS (SELECT DISTINCT path, regexp_extract(path, '[^/]*$') AS name FROM file_meta)
 SELECT path, lower(regexp_extract(name, '^.+\.([^.]+)$', 1)) IN ({_EXT}) AND NOT starts_with(name, '.') AND NOT list_has_any(string_split(lower(path), '/')[:-2], [{_DIRS}]) AS included,

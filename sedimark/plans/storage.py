@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sedimark.errors import DuplicateKey, ReadOnlyError, StorageError
 from sedimark.operators import embedding, graph, indexing, store
 from sedimark.sources import scan
 from sedimark.sources.tables import table
+from sedimark.storage_paths import shared_dir
 from sedimark.streaming import watch
 
 
@@ -19,9 +25,117 @@ def _scans(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     return both.select("path", F.col("a.h").alias("hash"), F.col("a.m").alias("modified"), F.col("a.l").alias("last_indexed")), both.select("path", F.col("b.h").alias("hash"), F.col("b.m").alias("modified"))
 
 
+def _store(spark: SparkSession) -> store.Store:
+    """A new and empty store."""
+    return store.Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+
+
+def _in(spark: SparkSession, folder: str, *names: str) -> store.Store:
+    """A store with the latest rows of these tables."""
+    s, source = _store(spark), {"files": ("file_meta", "modified"), "chunks": ("chunks", "created_at"), "nodes": ("graph_nodes", "created_at"), "edges": ("graph_edges", "created_at"), "state": ("index_state", "last_indexed")}
+    with s:
+        for n in names:
+            s.tables[n].upsert(graph.latest(table(spark, folder, source[n][0]), s.tables[n].key, source[n][1]))
+    return s
+
+
 def store_latest_files(spark, folder):
-    """Upserts of all scans in order, that is each file's latest row."""
-    return graph.latest(table(spark, folder, "file_meta"), "file_id", "modified").select("file_id", "path", "size", "modified")
+    """The earliest and then the latest scans of all files, upserted into a store."""
+    s, f = _store(spark), table(spark, folder, "file_meta")
+    s.files.upsert(f.where(F.col("file_id").isNotNull()))
+    s.files.upsert(graph.latest(f, "file_id", "modified"))
+    return s.files.read().select("file_id", "path", "size", "modified")
+
+
+def store_lookups(spark, folder):
+    """What the store's lookups find, each for the least value that there is."""
+    s = _in(spark, folder, "files", "chunks", "nodes", "edges", "state")
+    first = {n: s.tables[t].read().agg(F.min(c)).first()[0] for n, t, c in (("path", "files", "path"), ("file", "files", "file_id"), ("chunk", "chunks", "chunk_id"), ("ref", "nodes", "ref_id"), ("from", "edges", "from_id"), ("node", "nodes", "id"), ("to", "edges", "to_id"))}
+    found = {
+        "file by path": s.files.where(path=first["path"]).select(F.col("file_id").alias("id")), "file": s.files.get(first["file"]).select(F.col("file_id").alias("id")),
+        "chunk": s.chunks.get(first["chunk"]).select(F.col("chunk_id").alias("id")), "chunks without heading": s.chunks.where(heading=None).select(F.col("chunk_id").alias("id")),
+        "node": s.nodes.get(first["node"]).select("id"), "node by ref": s.nodes.where(ref_id=first["ref"]).select("id"), "headings": s.nodes.where(node_type="Heading").select("id"),
+        "forward": s.edges_of(first["from"], "forward").select(F.col("edge_id").alias("id")), "backward": s.edges_of(first["to"], "backward").select(F.col("edge_id").alias("id")), "both": s.edges_of(first["from"]).select(F.col("edge_id").alias("id")),
+        "references": s.edges.where(relation="References").select(F.col("edge_id").alias("id")), "state": s.state.get(first["file"]).select(F.col("file_id").alias("id")),
+    }
+    parts = [df.select(F.lit(n).alias("lookup"), "id") for n, df in found.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def store_in_order(spark, folder):
+    """Files by path and pending states by file, with their places."""
+    s = _in(spark, folder, "files", "state")
+    numbered = lambda df, name, *by: df.select(F.lit(name).alias("list"), "file_id", F.row_number().over(W.partitionBy(F.lit(name)).orderBy(*by)).alias("place"))
+    return numbered(s.files_in_order(), "files", F.asc_nulls_first("path"), "file_id").unionByName(numbered(s.pending(), "pending", "file_id"))
+
+
+def store_delete_file(spark, folder):
+    """What each table has before and after everything of the file with the most edges is deleted, and what the deletion reports."""
+    s = _in(spark, folder, "files", "chunks", "nodes", "edges", "state")
+    f = s.edges.read().where(F.col("file_id").isNotNull()).groupBy("file_id").count().orderBy(F.desc("count"), "file_id").first()[0]
+    before = s.counts()
+    gone = s.delete_file(f)
+    after = s.counts()
+    return spark.createDataFrame([(n, before[n], gone[n], after[n]) for n in before], "name string, before long, gone long, after long")
+
+
+def store_transactions(spark, folder):
+    """Rows of files and states after each step: a rolled back transaction, one within another, a duplicate, a deletion, a conflict of two writers, a read-only store, and clearing."""
+    s = _in(spark, folder, "files")
+    files, seen = s.files.read(), []
+    note = lambda step, ok=True: seen.append((step, s.files.count(), s.state.count(), ok))
+    states = files.select("file_id", "hash", "last_indexed", F.lit("Indexed").alias("status"))
+    note("begin")
+    s.begin()
+    s.files.clear()
+    s.state.append(states)
+    note("within")
+    s.rollback()
+    note("rolled back")
+    with s, s:
+        s.state.append(states)
+    note("committed")
+
+    def refused(step: str, kind: type[Exception], f) -> None:
+        try:
+            f()
+            note(step, False)
+        except kind:
+            note(step)
+
+    refused("duplicate", DuplicateKey, lambda: s.state.append(states))
+    refused("read only", ReadOnlyError, lambda: store.Store(spark, s.folder, True).files.clear())
+
+    def conflict() -> None:
+        with s:
+            s.files.clear()
+            store.Store(spark, s.folder).state.delete(F.col("hash").isNull())
+
+    refused("conflict", StorageError, conflict)
+    s.state.clear()
+    note("cleared")
+    return spark.createDataFrame(seen, "step string, files long, states long, ok boolean")
+
+
+def store_vectors(spark, folder):
+    """Chunks whose vectors are stored again for one model, and those of the file with the most chunks deleted, by file and model."""
+    s = _in(spark, folder, "chunks")
+    c = s.chunks.read()
+    f = c.where(F.col("file_id").isNotNull()).groupBy("file_id").count().orderBy(F.desc("count"), "file_id").first()[0]
+    s.chunks.upsert(c.where(F.col("embedding").isNull()).withColumns({"embedding": F.array(F.lit(1.0), F.lit(0.0)).cast("array<float>"), "dimension": F.lit(2).cast("long"), "model": F.lit("flat")}))
+    s.chunks.delete(F.col("file_id") == f)
+    return s.chunks.read().groupBy("file_id", "model").agg(F.count("*").alias("chunks"), F.sum(F.col("dimension").cast("long")).alias("dimensions"))
+
+
+def moves_resolved(spark, folder):
+    """Where files that were scanned at several times are by the moves that a store has recorded, and how often each was moved."""
+    s, m = _store(spark), table(spark, folder, "file_meta").where(F.col("file_id").isNotNull() & F.col("modified").isNotNull()).select("file_id", F.concat(F.lit("/old"), "path").alias("old_path"), F.concat("path", F.lit("#"), F.col("modified").cast("string")).alias("new_path"), F.col("modified").alias("timestamp")).distinct()
+    s.moves.append(m)
+    s.record_move("new", "/a", "/b", 1)
+    one = s.moves.read().agg(F.min("file_id")).first()[0]
+    n = scan.move_history(s.moves.read(), one).count()
+    times = s.moves.read().groupBy("file_id").agg(F.count("*").alias("moves"))
+    return scan.resolved_paths(s.moves.read()).join(times, "file_id").withColumn("history", F.when(F.col("file_id") == one, n))
 
 
 def store_needs_update(spark, folder):
@@ -31,8 +145,8 @@ def store_needs_update(spark, folder):
 
 def store_pending(spark, folder):
     """Each file's latest state that isn't Indexed."""
-    s = graph.latest(table(spark, folder, "index_state"), "file_id", "last_indexed")
-    return s.select("file_id", F.lower(F.trim(F.regexp_replace("status", "\t", " "))).alias("status")).where(F.col("status") != "indexed")
+    s = _in(spark, folder, "state").pending().where(F.col("status").isNotNull())
+    return s.select("file_id", F.lower(F.trim(F.regexp_replace("status", "\t", " "))).alias("status"))
 
 
 def store_known_contents(spark, folder):
@@ -44,26 +158,30 @@ def store_known_contents(spark, folder):
 
 def store_by_heading(spark, folder):
     """Chunks by file and heading, null too, in the order of keys."""
-    c = graph.latest(table(spark, folder, "chunks"), "chunk_id")
-    return c.groupBy("file_id", "heading").agg(F.count("*").alias("chunks"), F.min("chunk_id").alias("first"))
+    s = _in(spark, folder, "chunks")
+    wanted = s.chunks.read().select("file_id", "heading").distinct()
+    return s.chunks.among(wanted).groupBy("file_id", "heading").agg(F.count("*").alias("chunks"), F.min("chunk_id").alias("first"))
 
 
 def store_delete(spark, folder):
     """What is left of the chunks when files that were never scanned are deleted."""
-    c, f = table(spark, folder, "chunks"), table(spark, folder, "file_meta").select("file_id").distinct()
-    return c.join(f, "file_id", "left_semi").groupBy("file_id").agg(F.countDistinct("chunk_id").alias("chunks"))
+    s, c = _store(spark), table(spark, folder, "chunks").where(F.col("chunk_id").isNotNull())
+    s.chunks.upsert(graph.latest(c, "chunk_id"))
+    known = table(spark, folder, "file_meta").select("file_id").where(F.col("file_id").isNotNull()).distinct()
+    s.chunks.replace(s.chunks.among(known))
+    return s.chunks.read().groupBy("file_id").agg(F.count("*").alias("chunks"))
 
 
 def store_edges(spark, folder):
     """Edges of each node by direction and relation."""
-    e = graph.latest(table(spark, folder, "graph_edges"), "edge_id")
+    e = _in(spark, folder, "edges").edges.read()
     ends = F.array(F.struct(F.col("from_id").alias("id"), F.lit("Forward").alias("direction")), F.struct(F.col("to_id").alias("id"), F.lit("Backward").alias("direction")))
     return e.select("relation", F.explode(ends).alias("x")).where(F.col("x.id").isNotNull()).groupBy("x.id", "x.direction", "relation").agg(F.count("*").alias("n"))
 
 
 def store_counts(spark, folder):
-    t = lambda name, key: table(spark, folder, name).select(key).where(F.col(key).isNotNull()).distinct()
-    return store.count_all(t("file_meta", "file_id"), t("chunks", "chunk_id"), t("graph_nodes", "id"), t("graph_edges", "edge_id"))
+    s = _in(spark, folder, "files", "chunks", "nodes", "edges")
+    return store.count_all(*(s.tables[n].read() for n in ("files", "chunks", "nodes", "edges")))
 
 
 def embed_missing(spark, folder):
@@ -112,12 +230,40 @@ def watch_rate(spark, folder):
     return watch.in_last_minute(e, "user_id", "ts", 86_400).select("event_id", "recent")
 
 
-QUERIES = {f.__name__: f for f in (store_latest_files, store_needs_update, store_pending, store_known_contents, store_by_heading, store_delete, store_edges, store_counts, embed_missing, embed_report, index_due, index_report, watch_changes, watch_batches, watch_rate)}
+QUERIES = {f.__name__: f for f in (store_lookups, store_in_order, store_delete_file, store_transactions, store_vectors, moves_resolved, store_latest_files, store_needs_update, store_pending, store_known_contents, store_by_heading, store_delete, store_edges, store_counts, embed_missing, embed_report, index_due, index_report, watch_changes, watch_batches, watch_rate)}
 
 _SCANS = "scans AS (SELECT path, min((coalesce(modified, -1), coalesce(last_indexed, -1), coalesce(hash, ''))) AS a, max((coalesce(modified, -1), coalesce(last_indexed, -1), coalesce(hash, ''))) AS b FROM file_meta WHERE path IS NOT NULL GROUP BY path)"
 _CHUNK = "chunk AS (SELECT DISTINCT ON (chunk_id) * FROM chunks WHERE chunk_id IS NOT NULL ORDER BY chunk_id, created_at DESC NULLS LAST)"
 _STATUS = r"lower(regexp_replace(status, '^\s+|\s+$', '', 'g'))"
+_LAST = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY %s ORDER BY %s DESC NULLS LAST, %s) AS _r FROM %s WHERE %s IS NOT NULL) WHERE _r = 1"
+_down = lambda *cols: ", ".join(f"{c} DESC NULLS LAST" for c in cols)
+_TABLES = f"""
+files AS ({_LAST % ("file_id", "modified", _down("path", "hash", "size"), "file_meta", "file_id")}),
+chunk AS ({_LAST % ("chunk_id", "created_at", _down("file_id", "content", "heading", "page", "slide", "sheet", "block_type", "content_hash"), "chunks", "chunk_id")}),
+node AS ({_LAST % ("id", "created_at", _down("node_type", "ref_id", "label", "file_id"), "graph_nodes", "id")}),
+edge AS ({_LAST % ("edge_id", "created_at", _down("from_id", "to_id", "relation", "weight"), "graph_edges", "edge_id")}),
+state AS ({_LAST % ("file_id", "last_indexed", _down("hash", "status"), "index_state", "file_id")})"""
+_HOT = "hot AS (SELECT file_id FROM %s WHERE file_id IS NOT NULL GROUP BY file_id ORDER BY count(*) DESC, file_id LIMIT 1)"
 ORACLE = {
+    "store_lookups": f"""WITH {_TABLES}
+SELECT 'file by path' AS lookup, file_id AS id FROM files WHERE path = (SELECT min(path) FROM files) UNION ALL SELECT 'file', min(file_id) FROM files UNION ALL SELECT 'chunk', min(chunk_id) FROM chunk
+UNION ALL SELECT 'chunks without heading', chunk_id FROM chunk WHERE heading IS NULL UNION ALL SELECT 'node', min(id) FROM node UNION ALL SELECT 'node by ref', id FROM node WHERE ref_id = (SELECT min(ref_id) FROM node)
+UNION ALL SELECT 'headings', id FROM node WHERE node_type = 'Heading' UNION ALL SELECT 'forward', edge_id FROM edge WHERE from_id = (SELECT min(from_id) FROM edge) UNION ALL SELECT 'backward', edge_id FROM edge WHERE to_id = (SELECT min(to_id) FROM edge)
+UNION ALL SELECT 'both', edge_id FROM edge WHERE from_id = (SELECT min(from_id) FROM edge) OR to_id = (SELECT min(from_id) FROM edge) UNION ALL SELECT 'references', edge_id FROM edge WHERE relation = 'References'
+UNION ALL SELECT 'state', file_id FROM state WHERE file_id = (SELECT min(file_id) FROM files)""",
+    "store_in_order": f"""WITH {_TABLES}
+SELECT 'files' AS list, file_id, row_number() OVER (ORDER BY path NULLS FIRST, file_id)::INT AS place FROM files
+UNION ALL SELECT 'pending', file_id, row_number() OVER (ORDER BY file_id)::INT FROM state WHERE coalesce({_STATUS}, '') <> 'indexed'""",
+    "store_delete_file": f"""WITH {_TABLES}, {_HOT % "edge"}
+SELECT name, count(*) AS before, count(*) FILTER (hit) AS gone, count(*) FILTER (NOT hit) AS after FROM (
+  SELECT unnest(['files', 'chunks', 'nodes', 'edges']) AS name, NULL AS hit UNION ALL SELECT 'files', file_id = (FROM hot) FROM files UNION ALL SELECT 'chunks', coalesce(file_id = (FROM hot), false) FROM chunk
+  UNION ALL SELECT 'nodes', coalesce(file_id = (FROM hot), false) FROM node UNION ALL SELECT 'edges', coalesce(file_id = (FROM hot), false) FROM edge) WHERE hit IS NOT NULL GROUP BY name""",
+    "store_transactions": f"""WITH {_TABLES}, n AS (SELECT count(*) AS n FROM files), h AS (SELECT count(*) AS h FROM files WHERE hash IS NOT NULL)
+SELECT s.*, true AS ok FROM n, h, LATERAL (VALUES ('begin', n, 0), ('within', 0, n), ('rolled back', n, 0), ('committed', n, n), ('duplicate', n, n), ('read only', n, n), ('conflict', n, h), ('cleared', n, 0)) s(step, files, states)""",
+    "store_vectors": f"""WITH {_TABLES}, {_HOT % "chunk"}
+SELECT file_id, CASE WHEN embedding IS NULL THEN 'flat' ELSE model END AS model, count(*) AS chunks, sum(CASE WHEN embedding IS NULL THEN 2 ELSE dimension END)::BIGINT AS dimensions FROM chunk WHERE file_id IS DISTINCT FROM (FROM hot) GROUP BY ALL""",
+    "moves_resolved": """WITH m AS (SELECT DISTINCT file_id, path || '#' || modified AS new_path, '/old' || path AS old_path, modified AS t FROM file_meta WHERE file_id IS NOT NULL AND modified IS NOT NULL UNION ALL SELECT 'new', '/b', '/a', 1)
+SELECT file_id, max((t, new_path))[2] AS path, count(*) AS moves, CASE WHEN file_id = (SELECT min(file_id) FROM m) THEN count(*)::INT END AS history FROM m GROUP BY file_id""",
     "store_latest_files": "SELECT file_id, path, size, modified FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY modified DESC NULLS LAST, path DESC NULLS LAST, hash DESC NULLS LAST, size DESC NULLS LAST) AS r FROM file_meta WHERE file_id IS NOT NULL) WHERE r = 1",
     "store_needs_update": f"WITH {_SCANS} SELECT path, b[3] AS hash FROM scans WHERE a[3] <> b[3] OR a[1] <> b[1]",
     "store_pending": f"SELECT file_id, {_STATUS} AS status FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY last_indexed DESC NULLS LAST, hash DESC NULLS LAST, status DESC NULLS LAST) AS r FROM index_state WHERE file_id IS NOT NULL) WHERE r = 1 AND {_STATUS} <> 'indexed'",
