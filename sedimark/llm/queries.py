@@ -46,13 +46,13 @@ def p5_order(spark: SparkSession, folder: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     docs = scans.documents(table(spark, folder, "pdf_documents"))
-    return scans.noise(docs, scans.fit(docs)).select(F.col("id").alias("file_id"), "page_no", "line_no", "kind")
+    return scans.noise(scans.fit(docs)).select(F.col("id").alias("file_id"), "page_no", "line_no", "kind")
 
 
 def p6_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
     """The continuous text of every document."""
     docs = scans.documents(table(spark, folder, "pdf_documents"))
-    return scans.paragraphs(docs, scans.fit(docs)).withColumnRenamed("id", "file_id")
+    return scans.paragraphs(scans.fit(docs)).withColumnRenamed("id", "file_id")
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
