@@ -73,7 +73,6 @@ _LEADING = re.compile(r"(\d{1,5}|[ivxlcdm]{1,7})(?:\s{3,}|\s*[|·•–—]\s*)(
 _CODE = re.compile(r"\S+(?:\s+\S+){0,3}\s+[A-Z0-9|!]{2,4}-[\dOlI|!SB]{3,6}")
 _END = re.compile(r"[.!?:;»”\")\]]\s*$")
 _FIGURES = re.compile(r"[\d\s.,]+|\S+\s{2,}[\d.,]+(?:\s{2,}[\d.,]+)*")
-_LOWER = re.compile("[a-zß-öø-ÿа-яё]")
 
 
 def _roman(s: str) -> int:
@@ -121,7 +120,7 @@ def _form(line: str, typical: float, title: str | None) -> str:
         return "title"
     if "-" in s[-7:] and s[-1] != "." and _CODE.fullmatch(s):
         return "code"
-    if len(s) < 0.9 * typical + 12 and len(_LOWER.findall(s)) <= 0.2 * len(s):
+    if len(s) < 0.9 * typical + 12 and (s[:8].isupper() or s[-8:].isupper()):
         letters = [c for c in s if c.isalpha()]
         if len(letters) > 4 and sum(c.isupper() for c in letters) >= 0.8 * len(letters):
             return "capitals"
@@ -565,6 +564,12 @@ def verdicts(words: DataFrame, shapes: DataFrame, total: int) -> DataFrame:
     met = words.join(forms, "word").where(F.col("of") >= RATIO * F.col("n")).select("word")
     looked = met.unionByName(sent.where(F.col("of").isNull()).select("word")).distinct()
 
+    return _judged_words(looked, words, shapes, total)
+
+
+def _judged_words(looked: DataFrame, words: DataFrame, shapes: DataFrame, total: int) -> DataFrame:
+    """(word, at, meant) of the misread ones of ``looked`` (word)."""
+
     def asking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon({}, {}, total)
         for b in batches:
@@ -606,6 +611,7 @@ class Known:
     def of(cls, pages: list[str | None], lexicon: Lexicon) -> Known:
         """From counts of all words; ``fit`` finds the verdicts once for every document."""
         words = {_core(t) for p in pages for t in (p or "").split()}
+        words |= {w for a, b in _joins([x for p in pages for x in (p or "").split("\n")], set()) for w in (a + b, a + "-" + b)}
         return cls(lexicon, {w: v for w in words if w and (v := lexicon.verdict(w))})
 
 
@@ -654,18 +660,22 @@ def _joins(lines: list[str], edges: set[int]) -> Iterator[tuple[str, str]]:
                 break
 
 
-def _asked(pages: list[str | None], codes: list[list[int]], frequent: dict[str, int]) -> list[str]:
-    """Keys of what judging the document may need: its rarer words, and all about words that lines may join to."""
+_AT_EDGE = np.array([f[0] != "inner" for f in CODES] + [False])
+
+
+def _asked(pages: list[str | None], codes: list[list[int]], sound: dict[str, int]) -> tuple[list[str], list[str]]:
+    """The words of which the document must know whether they are misread, and the keys of what it must know about words that lines may join to."""
     text = "\n".join(p or "" for p in pages)
-    keys = {"w" + c for t in set(text.split()) if (c := _core(t)) not in frequent and len(c) > 1}
+    words = {c for t in set(text.split()) if (c := _core(t)) not in sound and len(c) > 1}
+    keys: set[str] = set()
     if _BROKEN.search(text):
-        flat = [c for page in codes for c in page]
-        lexicon = Lexicon({}, {}, 0)
-        for bare, rest in _joins([x for p in pages for x in (p or "").split("\n")], {i for i, c in enumerate(flat) if c >= 0 and CODES[c][0] != "inner"}):
-            for w in {bare + rest, bare + "-" + rest}:
-                keys.update(lexicon.asks(w))
-                keys.add("s" + shape(w))
-    return [k for k in keys if k[0] == "s" or k[1:] not in frequent]
+        edges = set(np.flatnonzero(_AT_EDGE[[c for page in codes for c in page]]).tolist())
+        for bare, rest in _joins(text.split("\n"), edges):
+            for w in (bare + rest, bare + "-" + rest):
+                keys.update("w" + x for x in spellings(w))
+            if rest[0].isdigit():
+                keys.add("s" + shape(bare + "-" + rest))
+    return list(words), list(keys)
 
 
 def _judged(pages: list[str | None], states: list, known: Known) -> tuple[list[tuple[int, int, str]], list, dict, set[int]]:
@@ -701,8 +711,8 @@ def _judged(pages: list[str | None], states: list, known: Known) -> tuple[list[t
         if any(_core(t) in some for t in tokens):
             wrong.add(k)
     for k, (word, cut, after) in joined.items():
-        if (at := lexicon.misread_at(word)) is not None:
-            wrong.add(k if at < cut else after)
+        if word in some:
+            wrong.add(k if known.wrong[word][0] < cut else after)
     found += [(text[k][0], text[k][1], "misread") for k in wrong]
     return sorted(set(found)), text, joined, wrong
 
@@ -734,7 +744,7 @@ def _paragraphs(text: list[tuple[int, int, str, bool]], joined: dict, known: Kno
         if skip:
             first = tokens.pop(0)
             core = _core(first)
-            v = known.lexicon.verdict(held)
+            v = known.wrong.get(held)
             tokens.insert(0, (v[1] if v else held) + (first[first.find(core) + len(core) :] if core and core in first else ""))
             held, skip = "", False
         if k in joined:
@@ -766,10 +776,6 @@ def fit(docs: DataFrame) -> Reader:
     """The line model, and what the documents' words are judged by, of (id, title, pages)."""
     spark = docs.sparkSession
     docs = written(docs, "documents")
-    n = docs.count()
-    # reading takes far longer than moving the pages, so tasks are made by number of documents, not by bytes
-    tasks = max(2 * spark.sparkContext.defaultParallelism, n // TASK)
-    docs = docs.repartition(tasks)
     words = written(word_counts(docs), "words")
     total = words.agg(F.sum("n")).first()[0] or 0
     shapes = written(_shapes(words), "shapes")
@@ -786,9 +792,10 @@ def fit(docs: DataFrame) -> Reader:
                 pages = part.column("pages").to_pylist()
                 codes = [features(p, t) for p, t in zip(pages, part.column("title").to_pylist())]
                 asked = [_asked(p, c, sound.value) for p, c in zip(pages, codes)]
-                yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex for _ in pages], pa.string()), part.column("id"), part.column("pages"), pa.array(codes, pa.list_(pa.list_(pa.int16()))), pa.array(asked, pa.list_(pa.string()))], names=["row", "id", "pages", "codes", "asked"])
+                lists = pa.list_(pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex for _ in pages], pa.string()), part.column("id"), part.column("pages"), pa.array(codes, pa.list_(pa.list_(pa.int16()))), pa.array([w for w, _ in asked], lists), pa.array([k for _, k in asked], lists)], names=["row", "id", "pages", "codes", "words", "joins"])
 
-    lines = written(docs.mapInArrow(label, "row string, id string, pages array<string>, codes array<array<short>>, asked array<string>"), "lines")
+    lines = written(docs.mapInArrow(label, "row string, id string, pages array<string>, codes array<array<short>>, words array<string>, joins array<string>"), "lines")
 
     def tallied(model: LineModel | None):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -805,9 +812,15 @@ def fit(docs: DataFrame) -> Reader:
         # of fixed size, whatever the number of documents
         parts = lines.select("codes").mapInArrow(tallied(model), "t binary").repartition(1).mapInArrow(_summed, "t binary").collect()
         model = _model(np.frombuffer(parts[0][0])) if parts else _model(_tally([], []))
-    info = _keyed(words, shapes).join(judged.select(F.concat(F.lit("w"), "word").alias("key"), "at", "meant"), "key", "left")
-    found = lines.select("row", F.explode("asked").alias("key")).join(info, "key").groupBy("row").agg(F.collect_list(F.struct("key", "n", "at", "meant")).alias("found"))
-    return Reader(model, frequent, total, written(lines.drop("asked").join(found, "row", "left").drop("row"), "known"))
+    joins = lines.select("row", F.explode("joins").alias("key"))
+    # words that stand nowhere in one piece are judged, too
+    new = joins.where(F.col("key").startswith("w")).select(F.substring("key", 2, 1_000_000).alias("word")).distinct().join(words, "word", "left_anti")
+    unseen = _judged_words(new, words, shapes, total)
+    bad = judged.unionByName(unseen)
+    wrong = lines.select("row", F.explode("words").alias("word")).join(bad, "word").select("row", F.concat(F.lit("w"), "word").alias("key"), F.lit(None).cast("long").alias("n"), "at", "meant")
+    info = joins.join(_keyed(words, shapes), "key", "left").join(bad.select(F.concat(F.lit("w"), "word").alias("key"), "at", "meant"), "key", "left").where(F.col("n").isNotNull() | F.col("at").isNotNull())
+    found = info.select("row", "key", "n", "at", "meant").unionByName(wrong).groupBy("row").agg(F.collect_list(F.struct("key", "n", "at", "meant")).alias("found"))
+    return Reader(model, frequent, total, lines.select("row", "id", "pages", "codes").join(found, "row", "left").drop("row"))
 
 
 def _codes(column: pa.Array) -> list[np.ndarray]:
@@ -826,9 +839,14 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def documents(rows: DataFrame, key: str = "file_id", pages: str = "page_texts", title: str | None = "title") -> DataFrame:
-    """(id, title, pages): the distinct documents that have pages."""
+    """(id, title, pages): the distinct documents that have pages.
+
+    Reading them takes far longer than moving them, so tasks are made by number of documents, not by bytes.
+    """
     t = (F.col(title) if title else F.lit(None)).cast("string").alias("title")
-    return rows.select(F.col(key).cast("string").alias("id"), t, F.col(pages).alias("pages")).where(F.col("id").isNotNull() & F.col("pages").isNotNull()).distinct()
+    picked = rows.select(F.col(key).cast("string").alias("id"), t, F.col(pages).alias("pages")).where(F.col("id").isNotNull() & F.col("pages").isNotNull())
+    tasks = max(2 * rows.sparkSession.sparkContext.defaultParallelism, rows.count() // TASK)
+    return picked.repartition(tasks, "id", "title", "pages").distinct()
 
 
 def _over(reader: Reader, schema: str, make) -> DataFrame:
@@ -847,7 +865,8 @@ def _over(reader: Reader, schema: str, make) -> DataFrame:
                     bad: dict[str, tuple[int, str]] = {}
                     for x in found or ():
                         k = x["key"]
-                        (rare if k[0] == "w" else shapes)[k[1:]] = x["n"]
+                        if x["n"] is not None:
+                            (rare if k[0] == "w" else shapes)[k[1:]] = x["n"]
                         if x["at"] is not None:
                             bad[k[1:]] = (x["at"], x["meant"])
                     known = Known(Lexicon(ChainMap(rare, frequent), shapes, total), bad)
