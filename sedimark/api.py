@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import time
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -16,6 +17,7 @@ from sedimark.operators.store import Store
 from sedimark.session import ship
 from sedimark.sources import formats, scan
 from sedimark.sources.documents import Document
+from sedimark.storage_paths import filesystem, written
 from sedimark.streaming import watch
 
 
@@ -52,6 +54,20 @@ def grep_docs(spark: SparkSession, root: str, text: str) -> DataFrame:
     return e.where(F.col("kind") == unit).groupBy(F.col("file_id").alias("path")).agg(F.sum(hits).alias("matches")).where(F.col("matches") > 0)
 
 
+def watch_directory(spark: SparkSession, root: str, once: bool = False, seconds: float = 1.0, before: DataFrame | None = None) -> Iterator[dict]:
+    """Events of a directory, Created, Modified, Deleted or Renamed, from one scan to the next; what is there at first is Created. With ``once`` it ends after the first scan. It doesn't index."""
+    ship(spark)
+    seen = before if before is not None else spark.createDataFrame([], scan.FILES)
+    while True:
+        now = written(scan.scan(spark, root), "watched")
+        for r in scan.changes(seen.select("path", "hash"), now.select("path", "hash")).orderBy("path").toLocalIterator():
+            yield r.asDict()
+        if once:
+            return
+        seen = now
+        time.sleep(seconds)
+
+
 class Index:
     """A store, an embedder and what they answer."""
 
@@ -68,12 +84,29 @@ class Index:
         self.caches.invalidate()
         return report
 
-    def watch(self, root: str, checkpoint: str, once: bool = False):
-        return watch.index_changes(self.store, root, self.embedder, checkpoint, done=lambda r: self.caches.invalidate(), once=once)
+    def watch(self, root: str, checkpoint: str, once: bool = False, done: Callable[[indexing.IndexReport], None] = lambda r: None):
+        """A stream that indexes new files; its ``stop()`` ends the watch."""
+
+        def after(report: indexing.IndexReport) -> None:
+            self.caches.invalidate()
+            done(report)
+
+        return watch.index_changes(self.store, root, self.embedder, checkpoint, done=after, once=once)
+
+    def _chunks(self) -> DataFrame:
+        return self.store.chunks.read().where(F.col("embedding").isNotNull())
+
+    def text_index(self) -> search.TextIndex:
+        """The index of the chunks' texts in the store's version, written when it is first asked for."""
+        folder = f"{self.store.folder}/terms-{self.store.versions.current()}"
+        fs, done = filesystem(self.spark, f"{folder}/lengths/_SUCCESS")
+        if not fs.exists(done):
+            fs.delete(filesystem(self.spark, folder)[1], True)  # of a run that died
+            return search.TextIndex.build(self._chunks(), folder)
+        return search.TextIndex.open(self.spark, folder)
 
     def engine(self) -> query.QueryEngine:
-        chunks = self.store.chunks.read().where(F.col("embedding").isNotNull())
-        return query.QueryEngine(chunks, self.embedder, self.store.nodes.read(), self.store.edges.read(), self.caches.queries)
+        return query.QueryEngine(self._chunks(), self.embedder, self.store.nodes.read(), self.store.edges.read(), self.caches.queries, self.text_index())
 
     def query(self, text: str, **options) -> DataFrame:
         """``options`` are those of ``query.Query``."""
@@ -82,9 +115,17 @@ class Index:
     def stream(self, text: str, **options) -> Iterator[Row]:
         return self.query(text, **options).toLocalIterator()
 
-    def vector_search(self, text: str, k: int = 10, where: search.SearchFilter | None = None) -> DataFrame:
-        chunks = self.store.chunks.read().where(F.col("embedding").isNotNull())
-        return search.vector_search(chunks, self.embedder.embed_batch([text])[0], k, where)
+    def vector_search(self, text: str, k: int = 10, where: search.SearchFilter | None = None, hybrid: bool = False, expand: int = 0) -> DataFrame:
+        """The best chunks by vector, or with ``hybrid`` by vector and text, and with ``expand`` those that they reach in so many steps; all of them meet the filter."""
+        chunks, vector = self._chunks(), self.embedder.embed_batch([text])[0]
+        if hybrid:
+            found = search.hybrid_search(chunks, text, vector, k, where, any_term=True, index=self.text_index())
+        else:
+            found = search.vector_search(chunks, vector, k, where).select("chunk_id", F.col("vector_score").alias("score"), "vector_score")
+        if expand:
+            found = graph.expand_results(found, self.store.nodes.read(), self.store.edges.read(), expand)
+        rows = (where.apply(chunks) if where else chunks).drop("embedding")
+        return rows.join(found, "chunk_id").orderBy(F.desc("score"), "chunk_id")
 
     def vector_searches(self, texts: list[str], k: int = 10) -> DataFrame:
         """Many queries in one pass over the vectors."""

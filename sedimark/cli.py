@@ -9,7 +9,7 @@ import sys
 
 from pyspark.sql import SparkSession
 
-from sedimark import api
+from sedimark import api, tools
 from sedimark import config as C
 from sedimark.errors import SedimarkError
 from sedimark.operators import chunking, query
@@ -46,15 +46,18 @@ def parser() -> argparse.ArgumentParser:
     add("read", "path", **{k: {} for k in ("page", "slide", "note", "sheet", "cell", "table", "image", "heading", "paragraph", "range", "slice")})
     add("scan", "root", no_hash=flag)
     add("chunk", "path", max_tokens={"type": int, "default": 800}, min_tokens={"type": int, "default": 100})
-    add("index", "root", full=flag)
+    add("index", "root", full=flag, watch=flag, once=flag)
     add("query", "text", mode={"default": "Auto"}, top_k={"type": int, "default": 10}, depth={"type": int, "default": 0}, file=dict(), context=flag)
-    add("vector-search", "text", top_k={"type": int, "default": 10})
+    add("vector-search", "text", top_k={"type": int, "default": 10}, hybrid=flag, expand={"type": int, "default": 0}, file=dict(), heading=dict(), block_type=dict(), after={"type": int}, before={"type": int})
     add("graph-expand", "node", depth={"type": int, "default": 1}, direction={"default": "both"})
     add("graph-path", "start", "goal")
     add("graph-info", "file_id")
     add("graph-stats")
     add("vector-status")
     add("config")
+    add("watch", "root", once=flag)
+    add("init", "folder", store_path={"default": ".sedimark"})
+    add("tools", "root")
     return p
 
 
@@ -89,17 +92,30 @@ def run(argv: list[str], spark: SparkSession | None = None, out=print) -> int:
         if a.command == "config":
             out(C.shown(conf))
             return 0
+        if a.command == "init":
+            show(tools.set_up(a.folder, a.store_path))
+            return 0
+        if a.command == "tools":
+            tools.Tools(a.root, a.store or conf.storage.path, lambda: spark or session()).serve()
+            return 0
         spark = spark or session()
         if a.command == "scan":
             for r in scan.scan(spark, a.root, hashed=not a.no_hash).orderBy("path").toLocalIterator():
                 show(r.asDict())
             return 0
+        if a.command == "watch":
+            for e in api.watch_directory(spark, a.root, once=a.once):
+                show(e)
+            return 0
         if a.command == "grep":
             for r in api.grep_docs(spark, a.root, a.query).orderBy("path").toLocalIterator():
                 show(r.asDict())
             return 0
         index = api.Index(spark, a.store or conf.storage.path, conf)
-        if a.command == "index":
+        if a.command == "index" and a.watch:
+            stream = index.watch(a.root, os.path.join(a.store or conf.storage.path, "watched"), a.once, done=lambda r: show(r.__dict__))
+            stream.awaitTermination()
+        elif a.command == "index":
             show(index.add(a.root, "Full" if a.full else "Incremental").__dict__)
         elif a.command == "query":
             options = {"mode": a.mode, "top_k": a.top_k, "depth": a.depth, "where": SearchFilter(file_id=a.file) if a.file else None, "any_term": True}
@@ -108,7 +124,9 @@ def run(argv: list[str], spark: SparkSession | None = None, out=print) -> int:
                 for r in index.engine().windows(query.Query(a.text, **options)).orderBy("anchor_id", "distance").toLocalIterator():
                     show(r.asDict())
         elif a.command == "vector-search":
-            out(query.preview(index.query(a.text, mode="Vector", top_k=a.top_k).collect()))
+            where = SearchFilter(a.file, a.heading, a.block_type, a.after, a.before)
+            found = index.vector_search(a.text, a.top_k, where if where != SearchFilter() else None, a.hybrid, a.expand)
+            out(query.preview(found.collect()))
         elif a.command == "graph-expand":
             nodes, edges = index.expand(a.node, a.depth, a.direction)
             show({"nodes": [r.id for r in nodes.orderBy("id").collect()], "edges": [r.edge_id for r in edges.orderBy("edge_id").collect()]})

@@ -9,6 +9,7 @@ import time
 import urllib.error
 import urllib.request
 from collections.abc import Iterator
+from contextlib import nullcontext
 from dataclasses import dataclass
 from typing import Protocol
 
@@ -18,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sedimark.errors import DimensionMismatch, EmbedError
+from sedimark.operators.queueing import RateLimiter
 
 # Dimensions of known models, by provider.
 DEFAULT_DIMENSIONS = {"ollama": 768, "openai": 1536, "anthropic": 768, "gemini": 768}
@@ -167,16 +169,21 @@ def missing(chunks: DataFrame, stored: DataFrame, model: str) -> DataFrame:
     return chunks.withColumn("content_hash", F.sha2("content", 256)).join(known, "content_hash", "left_anti")
 
 
-def embed_texts(chunks: DataFrame, embedder: Embedder, batch: int = 10, retry: RetryPolicy = RetryPolicy()) -> DataFrame:
-    """(content_hash, embedding, model, dimension, error): each distinct content once, in batches; a failed batch has errors and the rest goes on."""
+def embed_texts(chunks: DataFrame, embedder: Embedder, batch: int = 10, retry: RetryPolicy = RetryPolicy(), per_minute: int | None = None) -> DataFrame:
+    """(content_hash, embedding, model, dimension, error): each distinct content once, in batches; a failed batch has errors and the rest goes on.
+
+    ``per_minute`` is the number of batches that a task may send in a minute.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        limiter = RateLimiter(per_minute) if per_minute else nullcontext()
         for b in batches:
             for i in range(0, b.num_rows, batch):
                 part = b.slice(i, batch)
                 vectors, error = [None] * part.num_rows, None
                 try:
-                    vectors = checked(retry.call(embedder.embed_batch, part.column(1).to_pylist()), part.num_rows, embedder.dimension)
+                    with limiter:
+                        vectors = checked(retry.call(embedder.embed_batch, part.column(1).to_pylist()), part.num_rows, embedder.dimension)
                 except Exception as e:
                     error = f"{type(e).__name__}: {e}"
                 n = part.num_rows

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from sedimark.errors import GraphError, InvalidDepth
 from sedimark.operators.containment import containing
+from sedimark.operators.skew import hot_keys, join_spread
 from sedimark.storage_paths import written
 
 # Node and relation names, weights, and the patterns of references.
@@ -115,6 +116,13 @@ def repeated_words(chunks: DataFrame, least: int = 3) -> DataFrame:
     return each.groupBy("file_id", "word").agg(F.count("*").alias("chunks")).where(F.col("chunks") >= least)
 
 
+def entities_of_text(text: Column, least: int = 3) -> Column:
+    """The entities of one text: its capitalised runs, and its words of more than three bytes that occur at least ``least`` times in it; lower case, sorted, each once. Null has none."""
+    words = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"(?U)\s+"), lambda w: F.lower(F.regexp_replace(w, r"[^\p{L}]", ""))), lambda w: F.octet_length(w) > 3)
+    often = F.filter(F.array_distinct(words), lambda w: F.size(F.filter(words, lambda x: x == w)) >= least)
+    return F.array_sort(F.array_union(often, F.transform(capitalised_runs(text), lambda r: F.lower(r))))
+
+
 def entities(chunks: DataFrame, least: int = 3) -> DataFrame:
     """(file_id, name): repeated words and capitalised runs in lower case, each once a file."""
     runs = _usable(chunks).select("file_id", F.explode(capitalised_runs(F.col("content"))).alias("r")).select("file_id", F.lower("r").alias("name"))
@@ -182,13 +190,16 @@ def reach(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int, dire
     """
     if not 1 <= depth <= MAX_DEPTH:
         raise InvalidDepth(f"depth must be 1 to {MAX_DEPTH}")
-    there = nodes.select("id").where(F.col("id").isNotNull()).distinct()
+    there = written(nodes.select("id").where(F.col("id").isNotNull()).distinct(), "there")
     front = written(seeds.select("seed", F.col("seed").alias("id")).distinct().join(there, "id", "left_semi").select("seed", "id", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("edge_id")), "reach")
     known = front
-    steps = arcs(edges, direction)
+    # steps to nodes that exist, each once
+    steps = arcs(edges, direction).groupBy("src", "dst").agg(F.min("edge_id").alias("edge_id"))
+    steps = written(steps.join(there.withColumnRenamed("id", "dst"), "dst", "left_semi"), "steps")
+    hubs = hot_keys(steps, "src")
     for d in range(1, depth + 1):
-        met = front.select("seed", F.col("id").alias("src")).join(steps, "src").groupBy("seed", F.col("dst").alias("id")).agg(F.min("edge_id").alias("edge_id"))
-        new = met.join(known.select("seed", "id"), ["seed", "id"], "left_anti").join(there, "id", "left_semi")
+        met = join_spread(front.select("seed", F.col("id").alias("src")), steps, "src", "dst", hubs).groupBy("seed", F.col("dst").alias("id")).agg(F.min("edge_id").alias("edge_id"))
+        new = met.join(known.select("seed", "id"), ["seed", "id"], "left_anti")
         front = written(new.select("seed", "id", F.lit(d).alias("depth"), "edge_id"), "reach")
         if front.isEmpty():
             break

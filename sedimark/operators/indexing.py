@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sedimark.errors import IndexingError
 from sedimark.operators import chunking, embedding, graph
+from sedimark.operators.incremental import clean_hash, last_success
 from sedimark.operators.store import Store
 from sedimark.sources import formats, scan
 from sedimark.storage_paths import written
@@ -18,6 +19,8 @@ from sedimark.storage_paths import written
 
 @dataclass(frozen=True)
 class IndexConfig:
+    """``mode``: Incremental leaves indexed files alone, Full takes all, Watch is Incremental over what a stream has seen."""
+
     mode: str = "Incremental"
     chunking: chunking.ChunkConfig = chunking.ChunkConfig()
     batch: int = 10
@@ -47,28 +50,35 @@ def report(states: DataFrame) -> DataFrame:
 
 
 def to_process(files: DataFrame, state: DataFrame, mode: str = "Incremental") -> DataFrame:
-    """Files that aren't indexed successfully with their present hash; all of them in mode Full."""
+    """Files whose present hash isn't that of their last success; all of them in mode Full.
+
+    Hashes and statuses are compared as ``pending_files`` does, so a file that went back to an older content is due again.
+    """
     if mode == "Full":
         return files
-    done = state.where(F.lower(F.trim("status")) == "indexed").select("file_id", "hash").distinct()
-    return files.join(done, ["file_id", "hash"], "left_anti")
+    done = last_success(state, "file_id", "hash", "last_indexed", "status", "Indexed")
+    met = files.join(done.withColumnsRenamed({"key": "file_id", "hash": "_done"}), "file_id", "left")
+    return met.where(~clean_hash(F.col("hash")).eqNullSafe(F.col("_done"))).drop("_done")
 
 
-def index(store: Store, root: str, embedder: embedding.Embedder, config: IndexConfig = IndexConfig(), progress: Callable[[str, int], None] = lambda *_: None) -> IndexReport:
-    """Indexes a directory into the store. Rows of a file that is indexed again are replaced.
+def index(store: Store, root: str, embedder: embedding.Embedder, config: IndexConfig = IndexConfig(), progress: Callable[[str, int], None] = lambda *_: None, files: DataFrame | None = None) -> IndexReport:
+    """Indexes a directory into the store, or only ``files`` of it as a scan has them. Rows of a file that is indexed again are replaced.
 
     All tables change in one transaction at the end, so a run that fails leaves the store as it was
     and its files are due again.
     """
     store.check_writable()
     began, spark = time.time(), store.spark
-    if config.mode not in ("Full", "Incremental"):
+    if config.mode not in ("Full", "Incremental", "Watch"):
         raise IndexingError(f"no such mode: {config.mode}")
-    files = written(scan.scan(spark, root), "scan")
+    progress("started", 0)
+    files = written(scan.scan(spark, root) if files is None else files, "scan")
     due = written(to_process(files, store.state.read(), config.mode), "due")
     total, n = files.count(), due.count()
     progress("scanned", total)
+    progress("skipped", total - n)
     if not n:
+        progress("done", 0)
         return IndexReport(total=total, skipped=total, seconds=time.time() - began)
 
     def load(batches):
@@ -88,11 +98,14 @@ def index(store: Store, root: str, embedder: embedding.Embedder, config: IndexCo
     progress("parsed", n)
     chunks = chunking.chunk(formats.blocks(parsed), config.chunking)
     now = int(time.time() * 1000)
+    progress("chunking", n)
     indexed = written(embedding.index_chunks(chunks, store.chunks.read(), embedder, batch=config.batch).withColumn("created_at", F.lit(now)), "indexed")
     progress("embedded", indexed.count())
+    progress("graph", 0)
     nodes, edges = graph.build(indexed, config.references, config.entities, config.entity_least)
     counts = indexed.groupBy("file_id").agg(F.count("*").alias("chunks"), F.count_if(F.col("status") == "failed").alias("bad"))
     outcome = written(due.join(parsed.select("file_id", "error"), "file_id", "left").join(counts, "file_id", "left").select("file_id", "path", "hash", "size", "modified", "extension", F.coalesce("chunks", F.lit(0)).alias("chunks"), "error", F.when(F.col("error").isNotNull() | (F.coalesce("bad", F.lit(0)) > 0), "Failed").otherwise("Indexed").alias("status")), "outcome")
+    progress("storing", n)
     with store:
         gone = due.select("file_id")
         for name, rows in (("chunks", indexed), ("nodes", nodes.withColumn("created_at", F.lit(now))), ("edges", edges.withColumn("created_at", F.lit(now)))):
@@ -102,5 +115,7 @@ def index(store: Store, root: str, embedder: embedding.Embedder, config: IndexCo
         store.state.upsert(outcome.select("file_id", "hash", F.lit(now).alias("last_indexed"), "status"))
     r = report(outcome).first()
     errors = [x.error for x in outcome.where(F.col("error").isNotNull()).select("error").limit(100).collect()]
+    if r.failed:
+        progress("failed", r.failed)
     progress("done", n)
     return IndexReport(total, r.indexed, total - n, r.failed, r.chunks, time.time() - began, errors)

@@ -19,6 +19,8 @@ from sedimark.operators.search import SearchFilter
 # Phrases that ask for related records.
 RELATED = ["related to", "connected to", "reference", "associated with"]
 MODES = ("Auto", "Vector", "Hybrid", "Expand")
+#: Rows of a result that the cache keeps.
+KEPT = 1000
 
 
 def select_mode(text: str, depth: int = 0) -> str:
@@ -140,8 +142,8 @@ class QueryCache:
 class QueryEngine:
     """Queries over ``chunks`` (with embeddings) and, for expansion, the graph's nodes and edges."""
 
-    def __init__(self, chunks: DataFrame, embed, nodes: DataFrame | None = None, edges: DataFrame | None = None, cache: QueryCache | None = None):
-        self.chunks, self.embed, self.nodes, self.edges = chunks, embed, nodes, edges
+    def __init__(self, chunks: DataFrame, embed, nodes: DataFrame | None = None, edges: DataFrame | None = None, cache: QueryCache | None = None, index: search.TextIndex | None = None):
+        self.chunks, self.embed, self.nodes, self.edges, self.index = chunks, embed, nodes, edges, index
         self.cache = cache or QueryCache()
         self._vectors: dict[str, Sequence[float]] = {}
 
@@ -151,28 +153,36 @@ class QueryEngine:
         return self._vectors[text]
 
     def results(self, q: Query) -> DataFrame:
-        """(chunk_id, file_id, heading, content, block_type, score, ...), best first; lazy but for text statistics."""
+        """(chunk_id, file_id, heading, content, block_type, score, ...), best first.
+
+        The rows are kept for as long as the cache holds the request: the searches' at most 100 and those
+        that expansion reaches, if they are no more than ``KEPT``; larger results are searched again.
+        """
         if not q.text.strip():
             raise InvalidQuery("blank query")
         if q.mode not in MODES:
             raise InvalidQuery(f"no such mode: {q.mode}")
         q = replace(q, mode=select_mode(q.text, q.depth)) if q.mode == "Auto" else q
         if (held := self.cache.get(q)) is not None:
-            return held
+            return self.chunks.sparkSession.createDataFrame(*held)
         vector = self.vector_of(q.text)
         if q.mode == "Vector":
             found = search.vector_search(self.chunks, vector, q.top_k, q.where).select("chunk_id", F.col("vector_score").alias("score"), "vector_score", F.lit(None).cast("double").alias("fts_score"))
         else:
-            found = search.hybrid_search(self.chunks, q.text, vector, q.top_k, q.where, any_term=q.any_term)
+            found = search.hybrid_search(self.chunks, q.text, vector, q.top_k, q.where, any_term=q.any_term, index=self.index)
         if q.mode == "Expand" and q.depth > 0 and self.edges is not None and self.nodes is not None:
             found = graph.expand_results(found, self.nodes, self.edges, q.depth)
-        # at most a few hundred rows are looked up
-        full = self.chunks.select("chunk_id", "file_id", "heading", "content", "block_type").join(F.broadcast(found), "chunk_id")
+        # what expansion has reached must meet the filter, too
+        rows = (q.where.apply(self.chunks) if q.where else self.chunks).select("chunk_id", "file_id", "heading", "content", "block_type")
+        full = rows.join(found, "chunk_id")
         if q.diversify:
             full = rerank_by_file(rerank_by_heading(full))
         full = full.orderBy(F.desc("score"), F.asc("chunk_id"))
-        self.cache.put(q, full)
-        return full
+        first = full.limit(KEPT + 1).collect()
+        if len(first) > KEPT:
+            return full
+        self.cache.put(q, (first, full.schema))
+        return full.sparkSession.createDataFrame(first, full.schema)
 
     def stream(self, q: Query) -> Iterator[Row]:
         return self.results(q).toLocalIterator()

@@ -9,7 +9,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -135,6 +135,53 @@ def fts_search(chunks: DataFrame, query: str, k: int = 10, where: SearchFilter |
     return counted.where(met).withColumn("fts_score", score).drop("_n", *[f"_f{i}" for i in range(len(wanted))]).orderBy(F.desc("fts_score"), F.asc(key)).limit(clamp(k))
 
 
+@dataclass(frozen=True)
+class TextIndex:
+    """A table of texts by term, for searches that read no text: (term, key, f, n) with how often a term is in a text of n terms, and the number and mean length of all texts.
+
+    The table is sorted by term, so that files and row groups without a wanted term aren't read.
+    """
+
+    postings: DataFrame
+    key: str
+    texts: int
+    mean: float
+
+    @classmethod
+    def build(cls, rows: DataFrame, folder: str, key: str = "chunk_id", content: str = "content") -> TextIndex:
+        """Writes the index of ``rows`` to a folder. Null and empty texts count as texts of no terms; of a key in several rows each counts."""
+        own = rows.select(F.col(key).alias("key"), T.terms(F.col(content)).alias("t")).select("key", F.size("t").alias("n"), "t")
+        each = own.select("key", "n", F.explode("t").alias("term")).groupBy("term", "key", "n").agg(F.count("*").cast("int").alias("f"))
+        each.repartitionByRange(F.col("term")).sortWithinPartitions("term").write.mode("errorifexists").parquet(f"{folder}/postings")
+        own.agg(F.count("*").alias("texts"), F.coalesce(F.avg("n"), F.lit(0.0)).alias("mean")).write.mode("errorifexists").parquet(f"{folder}/lengths")
+        return cls.open(rows.sparkSession, folder, key)
+
+    @classmethod
+    def open(cls, spark: SparkSession, folder: str, key: str = "chunk_id") -> TextIndex:
+        r = spark.read.parquet(f"{folder}/lengths").first()
+        return cls(spark.read.parquet(f"{folder}/postings"), key, r.texts, r.mean)
+
+    def search(self, query: str, k: int = 10, any_term: bool = False, among: DataFrame | None = None) -> DataFrame:
+        """(key, fts_score): the ``k`` best texts by BM25, ties by key; all terms are required unless ``any_term``. ``among`` has the keys that may come out."""
+        wanted = list(dict.fromkeys(_query_terms(query)))
+        if not wanted:
+            raise InvalidQuery("no search terms")
+        rows = self.postings.where(F.col("term").isin(wanted))
+        found = {r[0]: r[1] for r in rows.groupBy("term").count().collect()}
+        if not found or not any_term and len(found) < len(wanted):
+            return rows.select(F.col("key").alias(self.key), F.lit(0.0).alias("fts_score")).limit(0)
+        if among is not None:
+            rows = rows.join(among.select(F.col(self.key).alias("key")).distinct(), "key", "left_semi")
+        idf = F.create_map(*[x for w, d in found.items() for x in (F.lit(w), F.lit(float(np.log(1 + (self.texts - d + 0.5) / (d + 0.5)))))])
+        f = F.col("f").cast("double")
+        gain = idf[F.col("term")] * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("n") / F.lit(self.mean)))
+        # added up in the order of the query's terms
+        parts = [F.coalesce(F.max(F.when(F.col("term") == w, gain)), F.lit(0.0)) for w in wanted]
+        scored = rows.groupBy("key", "n").agg(reduce(lambda a, b: a + b, parts).alias("fts_score"), F.count("*").alias("met"))
+        kept = scored if any_term else scored.where(F.col("met") == len(wanted))
+        return kept.select(F.col("key").alias(self.key), "fts_score").orderBy(F.desc("fts_score"), F.asc(self.key)).limit(clamp(k))
+
+
 def _is(word: str):
     return lambda x: x == F.lit(word)
 
@@ -172,10 +219,16 @@ def fuse_rrf_by(rows: DataFrame, group: str, key: str, scores: list[str], k: int
     return placed.where(F.col("place") <= clamp(k)).select(group, key, "score", "place")
 
 
-def hybrid_search(chunks: DataFrame, query: str, vector: Sequence[float], k: int = 10, where: SearchFilter | None = None, key: str = "chunk_id", content: str = "content", any_term: bool = False) -> DataFrame:
-    """Both searches with the same filter, fused: (key, score, vector_score, fts_score)."""
+def hybrid_search(chunks: DataFrame, query: str, vector: Sequence[float], k: int = 10, where: SearchFilter | None = None, key: str = "chunk_id", content: str = "content", any_term: bool = False, index: TextIndex | None = None) -> DataFrame:
+    """Both searches with the same filter, fused: (key, score, vector_score, fts_score). With an ``index`` of the texts these aren't read.
+
+    Statistics of terms are those of all indexed texts, and without an index those of the texts that pass the filter.
+    """
     by_vector = vector_search(chunks, vector, k, where, key).select(key, "vector_score")
-    by_text = fts_search(chunks, query, k, where, key, content, any_term).select(key, "fts_score")
+    if index is not None:
+        by_text = index.search(query, k, any_term, where.apply(chunks) if where else None)
+    else:
+        by_text = fts_search(chunks, query, k, where, key, content, any_term).select(key, "fts_score")
     return fuse_rrf({"vector_score": by_vector, "fts_score": by_text}, k, key=key)
 
 

@@ -31,6 +31,21 @@ def hot_keys(left: DataFrame, key: str, part: float | None = None) -> list:
     return [r[0] for r in some.groupBy(key).count().where(F.col("count") > int(total * part)).select(key).collect()]
 
 
+#: Tasks that the rows of a hot key are spread over.
+SPREAD = 32
+
+
+def join_spread(few: DataFrame, many: DataFrame, key: str, by: str, hot: list) -> DataFrame:
+    """``few`` joined with ``many`` by ``key``, where ``many`` has a large part of its rows at the ``hot`` keys: these are cut by a hash of ``by``, and the rows of ``few`` meet all parts."""
+    if not hot:
+        return few.join(many, key)
+    is_hot = F.col(key).isin(hot)
+    parts = F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0)))).alias("_part")
+    left = few.select("*", parts)
+    right = many.withColumn("_part", F.when(is_hot, F.pmod(F.xxhash64(by), F.lit(SPREAD)).cast("int")).otherwise(F.lit(0)))
+    return left.join(right, [key, "_part"]).drop("_part")
+
+
 def join_unique(left: DataFrame, right: DataFrame, key: str, how: str = "left", part: float | None = None, counted: DataFrame | None = None, hot: list | None = None) -> DataFrame:
     """``left`` joined with ``right``, which has each ``key`` at most once.
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedimark.operators import graph
+from sedimark import api
+from sedimark.operators import graph, store
 from sedimark.sources.tables import table
+from sedimark.storage_paths import shared_dir
 
 
 def _chunks(spark: SparkSession, folder: str) -> DataFrame:
@@ -56,6 +60,33 @@ def graph_neighbours(spark, folder):
     return graph.neighbours(_edges(spark, folder), _nodes(spark, folder))
 
 
+def graph_entities_of_texts(spark, folder):
+    """The entities of each chunk's text by itself."""
+    return _chunks(spark, folder).select("chunk_id", F.explode(graph.entities_of_text(F.col("content"), 2)).alias("name"))
+
+
+def graph_of_file(spark, folder):
+    """The nodes and edges of the file with the most edges."""
+    n, e = _nodes(spark, folder), _edges(spark, folder)
+    f = e.where(F.col("file_id").isNotNull()).groupBy("file_id").count().orderBy(F.desc("count"), "file_id").first()[0]
+    nodes, edges = graph.file_graph(n, e, f)
+    return nodes.select(F.lit("node").alias("what"), "id").unionByName(edges.select(F.lit("edge").alias("what"), F.col("edge_id").alias("id")))
+
+
+def graph_expanded(spark, folder):
+    """The subgraph two steps around the smallest file node that has edges, by the index's interface."""
+    s = store.Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    with s:
+        s.nodes.upsert(_nodes(spark, folder))
+        s.edges.upsert(_edges(spark, folder))
+    index = api.Index(spark, s.folder)
+    seed = index.store.edges.read().where("weight > 0").join(index.store.nodes.read().where("node_type = 'File'").select(F.col("id").alias("from_id")), "from_id").agg(F.min("from_id")).first()[0]
+    nodes, edges = index.expand(seed or "", 1)
+    info = index.graph_info(nodes.agg(F.min("file_id")).first()[0] or "")
+    total = spark.createDataFrame([("nodes of file", str(info["nodes"])), ("edges of file", str(info["edges"]))], "what string, id string")
+    return nodes.select(F.lit("node").alias("what"), "id").unionByName(edges.select(F.lit("edge").alias("what"), F.col("edge_id").alias("id"))).unionByName(total)
+
+
 def _seeds(spark: SparkSession, folder: str) -> DataFrame:
     """The first file node of every extension's files."""
     n = _nodes(spark, folder).where(F.col("node_type") == "File").select(F.col("ref_id").alias("file_id"), "id")
@@ -105,7 +136,7 @@ def graph_by_file(spark, folder):
     return n.unionByName(_edges(spark, folder).groupBy("file_id", F.col("relation").alias("kind")).agg(F.count("*").alias("n")))
 
 
-QUERIES = {f.__name__: f for f in (graph_nodes_built, graph_edges_built, graph_references, graph_reference_edges, graph_repeated_words, graph_capitalised, graph_mentions, graph_neighbours, graph_reach, graph_forward, graph_path, graph_expand_results, graph_type_counts, graph_stats, graph_by_file)}
+QUERIES = {f.__name__: f for f in (graph_entities_of_texts, graph_of_file, graph_expanded, graph_nodes_built, graph_edges_built, graph_references, graph_reference_edges, graph_repeated_words, graph_capitalised, graph_mentions, graph_neighbours, graph_reach, graph_forward, graph_path, graph_expand_results, graph_type_counts, graph_stats, graph_by_file)}
 
 _S = r"[\s\x{0B}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 _CHUNK = "chunk AS (SELECT DISTINCT ON (chunk_id) chunk_id, file_id, heading, content FROM chunks WHERE chunk_id IS NOT NULL ORDER BY chunk_id, created_at DESC NULLS LAST)"
@@ -131,6 +162,15 @@ _REACH = """d0 AS (SELECT seed, seed AS id, NULL::VARCHAR AS edge_id FROM seed W
 d1 AS (SELECT seed, dst AS id, min(step.edge_id) AS edge_id FROM d0 JOIN step ON src = id WHERE (seed, dst) NOT IN (SELECT (seed, id) FROM d0) GROUP BY ALL),
 d2 AS (SELECT seed, dst AS id, min(step.edge_id) AS edge_id FROM d1 JOIN step ON src = id WHERE (seed, dst) NOT IN (SELECT (seed, id) FROM d0 UNION ALL SELECT (seed, id) FROM d1) GROUP BY ALL)"""
 ORACLE = {
+    "graph_entities_of_texts": rf"""WITH {_CHUNK}, {_RUNS % 'chunk'},
+w AS (SELECT chunk_id, unnest(list_transform(regexp_split_to_array(content, '{_S}+'), lambda w: lower(regexp_replace(w, '[^\p{{L}}]', '', 'g')))) AS word FROM chunk WHERE content IS NOT NULL)
+SELECT chunk_id, word AS name FROM w WHERE strlen(word) > 3 GROUP BY ALL HAVING count(*) >= 2 UNION SELECT chunk_id, lower(run) FROM run""",
+    "graph_of_file": f"""WITH {_NODE}, {_EDGE}, hot AS (SELECT file_id FROM edge WHERE file_id IS NOT NULL GROUP BY file_id ORDER BY count(*) DESC, file_id LIMIT 1)
+SELECT 'node' AS what, id FROM node WHERE file_id = (FROM hot) UNION ALL SELECT 'edge', edge_id FROM edge WHERE file_id = (FROM hot)""",
+    "graph_expanded": f"""WITH {_NODE}, {_EDGE}, {_BOTH}, s AS (SELECT min(from_id) AS seed FROM edge WHERE weight > 0 AND from_id IN (SELECT id FROM node WHERE node_type = 'File')),
+near AS (SELECT dst, edge_id FROM step WHERE src = (FROM s)), n AS (SELECT id, file_id FROM node WHERE id = (FROM s) OR id IN (SELECT dst FROM near)), f AS (SELECT min(file_id) AS f FROM n)
+SELECT 'node' AS what, id FROM n UNION ALL SELECT DISTINCT 'edge', edge_id FROM near
+UNION ALL SELECT 'nodes of file', count(*)::VARCHAR FROM node WHERE file_id = (FROM f) UNION ALL SELECT 'edges of file', count(*)::VARCHAR FROM edge WHERE file_id = (FROM f)""",
     "graph_nodes_built": f"{_OWN}, {_STRUCT} SELECT id, node_type, ref_id, file_id FROM snode",
     "graph_edges_built": f"""{_OWN} SELECT a || '_' || b || '_' || r AS edge_id, a AS from_id, b AS to_id, r AS relation, 1.0::DOUBLE AS weight, file_id FROM (
   SELECT 'file:' || file_id AS a, 'chunk:' || chunk_id AS b, 'Contains' AS r, file_id FROM own UNION ALL SELECT 'chunk:' || chunk_id, 'file:' || file_id, 'BelongsTo', file_id FROM own

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sedimark.errors import DuplicateKey, ReadOnlyError, StorageError
 from sedimark.operators import embedding, graph, indexing, store
+from sedimark.plans.general import _CLEAN
 from sedimark.sources import scan
 from sedimark.sources.tables import table
 from sedimark.storage_paths import shared_dir
@@ -201,7 +202,7 @@ def embed_report(spark, folder):
 
 
 def index_due(spark, folder):
-    """Scans whose file and hash have no success on record, as they are spelt."""
+    """Scans whose hash isn't that of the file's last success."""
     s = table(spark, folder, "index_state")
     return indexing.to_process(table(spark, folder, "file_meta").select("file_id", "hash").distinct(), s).select("file_id", "hash")
 
@@ -212,7 +213,7 @@ def index_report(spark, folder):
 
 
 def watch_changes(spark, folder):
-    """Events between the first and the last scan, when the files of the first tenth of folders are new and those of 2023 gone."""
+    """Events between the first and the last scan of every file, when boards' files weren't there at first and those of 2023 outside ops are gone at last."""
     a, b = _scans(spark, folder)
     before = a.where(~F.col("path").contains("/board/"))
     after = b.where(~F.col("path").contains("/2023/") | F.col("path").contains("/ops/"))
@@ -274,7 +275,8 @@ SELECT file_id, max((t, new_path))[2] AS path, count(*) AS moves, CASE WHEN file
     "store_counts": "SELECT (SELECT count(DISTINCT file_id) FROM file_meta) AS files, (SELECT count(DISTINCT chunk_id) FROM chunks) AS chunks, (SELECT count(DISTINCT id) FROM graph_nodes) AS nodes, (SELECT count(DISTINCT edge_id) FROM graph_edges) AS edges",
     "embed_missing": f"WITH {_CHUNK} SELECT chunk_id FROM chunk WHERE embedding IS NULL AND NOT EXISTS (SELECT 1 FROM chunk o WHERE o.embedding IS NOT NULL AND o.model = 'tide-embed-l' AND sha256(o.content) = sha256(chunk.content))",
     "embed_report": "SELECT count(*) AS total, count(*) FILTER (n = 1) AS embedded, count(*) FILTER (n > 1) AS skipped, 0::BIGINT AS failed FROM (SELECT count(*) OVER (PARTITION BY text) AS n FROM documents WHERE text IS NOT NULL)",
-    "index_due": "SELECT DISTINCT file_id, hash FROM file_meta f WHERE NOT EXISTS (SELECT 1 FROM index_state s WHERE s.file_id = f.file_id AND s.hash = f.hash AND lower(trim(status, ' ')) = 'indexed')",
+    "index_due": f"""WITH ok AS (SELECT file_id, {_CLEAN} AS h, row_number() OVER (PARTITION BY file_id ORDER BY last_indexed DESC NULLS LAST, {_CLEAN} DESC) AS r FROM index_state WHERE file_id IS NOT NULL AND {_STATUS} = 'indexed' AND {_CLEAN} IS NOT NULL)
+SELECT file_id, hash FROM (SELECT DISTINCT file_id, hash FROM file_meta) f LEFT JOIN (SELECT file_id, h FROM ok WHERE r = 1) USING (file_id) WHERE {_CLEAN} IS DISTINCT FROM h""",
     "index_report": f"SELECT count(*) AS total, count(*) FILTER ({_STATUS} = 'indexed') AS indexed, count(*) FILTER ({_STATUS} = 'skipped') AS skipped, count(*) FILTER ({_STATUS} = 'failed') AS failed, count(*)::BIGINT AS chunks FROM index_state",
     "watch_changes": f"""
 WITH {_SCANS}, a AS (SELECT path, nullif(a[3], '') AS h FROM scans WHERE NOT contains(path, '/board/')), b AS (SELECT path, nullif(b[3], '') AS h FROM scans WHERE NOT contains(path, '/2023/') OR contains(path, '/ops/')),

@@ -1,7 +1,7 @@
 """Places that all executors share, and tables written there to cut lineage.
 
-The folder is the session's ``spark.checkpoint.dir``. Only where that is unset, as in local tests,
-a folder of this process is used instead.
+The folder is the session's ``spark.checkpoint.dir``. Only where that is unset and executors are
+threads of this process, as in local tests, a folder of this process is used instead.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sedimark.errors import StorageError
+
 _LOCAL: list[str] = []
 _WRITTEN: list[str] = []
 
@@ -20,17 +22,13 @@ def shared_dir(spark: SparkSession) -> str:
     place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if place:
         return place.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise StorageError("spark.checkpoint.dir must name a folder that all executors share")
     if not _LOCAL:
         _LOCAL.append(tempfile.mkdtemp(prefix="sedimark-"))
     return "file://" + _LOCAL[0]
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(shared_dir(spark))
-
-
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a table written to the shared folder and read again.
 

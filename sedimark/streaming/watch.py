@@ -32,11 +32,15 @@ def start(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoin
 
 
 def index_changes(store: Store, root: str, embedder: Embedder, checkpoint: str, config: IndexConfig = IndexConfig(), done: Callable[[IndexReport], None] = lambda r: None, interval: str = "5 seconds", once: bool = False) -> StreamingQuery:
-    """Indexes the directory whenever the stream sees new files; what is indexed already with its present hash is left alone, so a batch that comes again does nothing."""
+    """Indexes the files of each batch of the stream; what is indexed already with its present hash is left alone, so a batch that comes again does nothing."""
 
     def handle(batch: DataFrame, _: int) -> None:
-        if not batch.isEmpty():
-            done(index(store, root, embedder, config))
+        files = batch.select(F.sha2("path", 256).alias("file_id"), "path", "hash", "size", "modified", "extension")
+        # of a file that changed twice within a batch the last
+        last = files.groupBy("file_id").agg(F.max(F.struct("modified", "path", "hash", "size", "extension")).alias("m")).select("file_id", "m.path", "m.hash", "m.size", "m.modified", "m.extension")
+        report = index(store, root, embedder, config, files=last)
+        if report.total:
+            done(report)
 
     return start(watch(store.spark, root), handle, checkpoint, interval, once)
 
