@@ -74,6 +74,18 @@ def p9_items(spark: SparkSession, folder: str) -> DataFrame:
     return found.groupBy("item_id").agg(F.count("*").alias("documents"), F.max("words").alias("longest"))
 
 
+def p9_kept(spark: SparkSession, folder: str) -> DataFrame:
+    """What is left of each source when the documents with a leak are removed."""
+    docs = table(spark, folder, "documents")
+    found = leak.find_leaks(docs, table(spark, folder, "eval_items"))
+    return leak.without_leaks(docs, found).groupBy("source").agg(F.count("*").alias("documents"))
+
+
+def p9_places(spark: SparkSession, folder: str) -> DataFrame:
+    """The longest passage of every pair: how many words, and at which word of the document the first such begins."""
+    return leak.find_leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+
+
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     model, occurrences = subjects.fit(table(spark, folder, "documents"), table(spark, folder, "subject_labels"), table(spark, folder, "subjects"))
     return subjects.assign(model, occurrences).select("doc_id", "subject").distinct()
@@ -84,7 +96,7 @@ def p10_composition(spark: SparkSession, folder: str) -> DataFrame:
     return p10_found(spark, folder).groupBy("subject").agg(F.count("*").alias("documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_text, p4_found, p5_found, p5_order, p6_found, p6_paragraphs, p7_found, p8_ids, p9_found, p9_items, p10_found, p10_composition)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_text, p4_found, p5_found, p5_order, p6_found, p6_paragraphs, p7_found, p8_ids, p9_found, p9_items, p9_kept, p9_places, p10_found, p10_composition)}
 
 _P5 = """
 WITH c AS (
@@ -120,7 +132,19 @@ x AS (SELECT DISTINCT doc_id, array_to_string(w[k : k + 11], ' ') AS s FROM (SEL
 y AS (SELECT DISTINCT item_id, array_to_string(w[k : k + 11], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - 10)) AS k FROM i WHERE len(w) >= 12))
 SELECT DISTINCT doc_id, item_id FROM x JOIN y USING (s)
 """
+_P9P = f"""
+WITH d AS (SELECT doc_id, {_WORDS % 'text'} AS w FROM documents WHERE text IS NOT NULL), i AS (SELECT item_id, {_WORDS % 'text'} AS w FROM eval_items WHERE text IS NOT NULL),
+x AS (SELECT doc_id, k, array_to_string(w[k : k + 11], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - 10)) AS k FROM d WHERE len(w) >= 12)),
+y AS (SELECT item_id, k, array_to_string(w[k : k + 11], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - 10)) AS k FROM i WHERE len(w) >= 12)),
+m AS (SELECT DISTINCT doc_id, item_id, x.k AS a, y.k AS b FROM x JOIN y USING (s)),
+g AS (SELECT doc_id, item_id, a, a - row_number() OVER (PARTITION BY doc_id, item_id, a - b ORDER BY a) AS run, a - b AS diagonal FROM m),
+r AS (SELECT doc_id, item_id, min(a) AS a, count(*) + 11 AS words FROM g GROUP BY doc_id, item_id, diagonal, run),
+best AS (SELECT doc_id, item_id, words, a - 1 AS place, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY words DESC, a) AS n FROM r)
+"""
 ORACLE = {
+    "p9_items": _P9P + "SELECT item_id, count(*) AS documents, max(words) AS longest FROM best WHERE n = 1 GROUP BY item_id",
+    "p9_places": _P9P + "SELECT doc_id, item_id, words, place FROM best WHERE n = 1",
+    "p9_kept": f"SELECT source, count(*) AS documents FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM ({_P9})) GROUP BY source",
     "p4_found": _P4,
     "p7_found": _P7,
     "p9_found": _P9,

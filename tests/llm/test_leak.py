@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from sedimark.llm.leak import find_leaks, suffix_array, without_leaks, words_of
+from sedimark.llm.leak import TestSuffixes, find_leaks, suffix_array, without_leaks, words_of
 
 
 def test_suffix_array():
@@ -48,7 +48,19 @@ def test_blocks_of_tests(spark, monkeypatch):
     passage = " ".join(f"w{i}" for i in range(12))
     docs = spark.createDataFrame([(1, "so " + passage + " end"), (2, passage[:-4])], "doc_id long, text string")
     items = spark.createDataFrame([(i, f"q{i} {passage} {i}") for i in range(9)], "item_id long, text string")
-    assert {tuple(x) for x in find_leaks(docs, items).collect()} == {(1, i, 12) for i in range(9)}
+    assert {tuple(x) for x in find_leaks(docs, items).collect()} == {(1, i, 12, 1) for i in range(9)}
+
+
+def test_passage_in_every_document_is_laid_out_in_pieces(monkeypatch):
+    passage = " ".join(f"w{i}" for i in range(20))
+    texts = [f"{'x ' * (n % 5)}{passage} {n} {passage}" for n in range(50)]
+    tests = TestSuffixes([(i, f"{passage} {i}") for i in range(30)], 12)
+    whole = [x.tolist() for x in tests.matches(texts)]
+    monkeypatch.setattr("sedimark.llm.leak.PIECE", 64)
+    assert [x.tolist() for x in tests.matches(texts)] == whole and len(whole[0]) == 50 * 30
+    # item n goes on with its number, so document n has one word more
+    assert {(d, i, n) for d, i, n in zip(*whole[:3]) if n > 20} == {(i, i, 21) for i in range(30)}
+    assert all(p == d % 5 for d, p in zip(whole[0], whole[3]))
 
 
 def test_empty(spark):
