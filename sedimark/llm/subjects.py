@@ -40,6 +40,8 @@ HELD_TERMS = 1_000_000
 #: How much more often than in other subjects' documents an anchor must be in a subject's; labelled documents that it takes to rule a term out.
 LIFT, ENOUGH = 2.0, 4
 ALTERNATIONS, INNER = 4, 8
+#: Ranges of terms that are summed up apart.
+RANGES = 8
 
 _BREAKS = "[.!?](?=\\s)|[。！？\r\n\u0085\u2028\u2029]"
 _ASCII, _ANY = "[a-z]{3,}", "[一-鿿々]+|[ァ-ヿ]+|[ぁ-ゟ]+|[^\\W\\d_ぁ-ヿ一-鿿々]{3,}"
@@ -114,7 +116,7 @@ def _term_counts(docs: DataFrame, labelled: dict, names: list[str]) -> tuple[lis
             for key, text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
                 words = set(terms_of(text.lower())) if text else set()
                 words.add("")  # counts the documents
-                for g in (f"l{(lang or '').strip().lower()[:8]}", *(f"s{s}" for s in get(key, ()))):
+                for g in (f"l{(lang or '').strip().lower()}", *(f"s{s}" for s in get(key, ()))):
                     if g not in by:
                         by[g] = Counter()
                     by[g].update(words)
@@ -124,17 +126,19 @@ def _term_counts(docs: DataFrame, labelled: dict, names: list[str]) -> tuple[lis
         yield from counted(by)
 
     counts = written(docs.select("k", "t", "l").mapInArrow(run, "term string, g string, n long").groupBy("term", "g").agg(F.sum("n").alias("n")), "terms")
-    sizes = {r.g: r.n for r in counts.where(F.col("term") == "").orderBy(F.desc("n")).limit(10_000).collect()}
-    total = sum(n for g, n in sizes.items() if g[0] == "l")
+    sizes = counts.where(F.col("term") == "")
+    total = sizes.where(F.col("g").startswith("l")).agg(F.sum("n")).first()[0]
     if not total:
         return [0] * len(names), []
-    large = [x for g, n in sizes.items() if g[0] == "l" and n >= total * LANGUAGE_SHARE for x in (F.lit(g), F.lit(n))]
+    # one row a subject, and at most 1 / LANGUAGE_SHARE languages
+    labelled_documents = {r.g: r.n for r in sizes.where(F.col("g").startswith("s")).collect()}
+    large = [x for r in sizes.where(F.col("g").startswith("l") & (F.col("n") >= total * LANGUAGE_SHARE)).collect() for x in (F.lit(r.g), F.lit(r.n))]
     part = F.max(F.col("n") / F.create_map(*large)[F.col("g")]) if large else F.lit(0.0)
     is_language = F.col("g").startswith("l")
     sums = [F.sum(F.when(is_language, F.col("n"))).alias("df"), *[F.coalesce(F.sum(F.when(F.col("g") == f"s{i}", F.col("n"))), F.lit(0)).alias(f"n{i}") for i in range(len(names))]]
     terms = counts.where(F.col("term") != "").groupBy("term").agg(*sums, part.alias("part"))
     frequent = terms.where((F.col("df") >= max(TERM_LEAST, total * TERM_SHARE)) & (F.coalesce("part", F.lit(0.0)) < min(0.9, COMMON_SHARE / max(1, len(names))))).drop("part").orderBy("term").collect()
-    return [sizes.get(f"s{i}", 0) for i in range(len(names))], frequent
+    return [labelled_documents.get(f"s{i}", 0) for i in range(len(names))], frequent
 
 
 def anchors(names: list[str], hints: dict[str, str], documents: list[int], counts: list) -> tuple[dict[str, int], np.ndarray]:
@@ -171,8 +175,6 @@ def _scaled(h: np.ndarray) -> np.ndarray:
     return h / np.maximum(h.sum(1, keepdims=True), 1e-300) * np.append(np.ones(len(h) - 1), FREE)[:, None]
 
 
-
-
 def _occurrences(docs: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
     """(k, sentence, term): of each document the known terms in order and their sentences' numbers; whole texts."""
     shared = docs.sparkSession.sparkContext.broadcast({**vocabulary, **dict.fromkeys(BREAKS, -1)})
@@ -205,12 +207,11 @@ def _flat(b: pa.RecordBatch, column: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _alternate(occurrences: DataFrame, model: SubjectModel) -> np.ndarray:
-    """The next weights. Tasks sum up their documents; their tables of fixed size are added as they stream by."""
+    """The next weights. Tasks sum up their documents and hand on the terms that they have; ranges of terms are added up apart."""
     shared = occurrences.sparkSession.sparkContext.broadcast(model)
     shape = model.weights.shape
 
-    def packed(total: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["table"])
+    width = max(1, -(-shape[1] // RANGES))
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(shape)
@@ -220,18 +221,26 @@ def _alternate(occurrences: DataFrame, model: SubjectModel) -> np.ndarray:
                 part = _divided(shared.value, row, term, INNER)
                 for c in range(shape[0]):
                     total[c] += np.bincount(term, part[:, c], minlength=shape[1])
-        yield packed(total)
+        seen = np.flatnonzero(total.any(0))
+        cut = np.searchsorted(seen, np.arange(RANGES + 1) * width)
+        parts = [(r, seen[s:e]) for r, (s, e) in enumerate(zip(cut[:-1], cut[1:])) if e > s]
+        yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in parts], pa.int32()), pa.array([t.astype(np.int32).tobytes() for _, t in parts], pa.binary()), pa.array([np.ascontiguousarray(total[:, t]).tobytes() for _, t in parts], pa.binary())], names=["range", "terms", "sums"])
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(shape)
+        tables: dict[int, np.ndarray] = {}
         for b in batches:
-            for t in b.column(0):
-                total += np.frombuffer(t.as_buffer()).reshape(shape)
-        yield packed(total)
-
-    parts = occurrences.select("term").mapInArrow(own, "table binary").repartition(16).mapInArrow(added, "table binary").repartition(1).mapInArrow(added, "table binary").collect()
-    total = np.frombuffer(parts[0][0]).reshape(shape)
-    return _scaled(total)
+            for r, terms, sums in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
+                if r not in tables:
+                    tables[r] = np.zeros((shape[0], width))
+                tables[r][:, np.frombuffer(terms.as_buffer(), np.int32) - r * width] += np.frombuffer(sums.as_buffer()).reshape(shape[0], -1)
+        for r, t in tables.items():
+            yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([t.tobytes()], pa.binary())], names=["range", "table"])
+
+    parts = occurrences.select("term").mapInArrow(own, "range int, terms binary, sums binary").repartition(RANGES, "range").mapInArrow(added, "range int, table binary").collect()
+    total = np.zeros((shape[0], RANGES * width))
+    for r in parts:
+        total[:, r[0] * width : (r[0] + 1) * width] = np.frombuffer(r[1]).reshape(shape[0], width)
+    return _scaled(total[:, : shape[1]])
 
 
 def fit(docs: DataFrame, labels: DataFrame, subjects: DataFrame, key: str = "doc_id", text: str = "text", lang: str | None = "lang") -> tuple[SubjectModel, DataFrame]:

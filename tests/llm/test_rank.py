@@ -32,7 +32,17 @@ def test_against_brute_force(spark):
     assert sorted((tuple(x) for x in got.collect()), key=repr) == brute(rows, 4)
 
 
-def test_large_group_and_ties(spark):
+def test_large_groups_are_ranked_apart_alike(spark, monkeypatch):
+    r = random.Random(6)
+    rows = [(r.choice([1, 1, 1, 2, None, None]), f"i{i}", r.choice([None, 1.0, float(r.randint(0, 30))]), float("nan") if r.random() < 0.3 else r.random(), 5.0, None) for i in range(300)]
+    df = spark.createDataFrame(rows, KIND)
+    whole = sorted((tuple(x) for x in leximin_top(df, "q", "x", S, 9).collect()), key=repr)
+    monkeypatch.setattr("sedimark.llm.rank.LARGE", 60)
+    assert sorted((tuple(x) for x in leximin_top(df, "q", "x", S, 9).collect()), key=repr) == whole == brute(rows, 9)
+
+
+def test_large_group_and_ties(spark, monkeypatch):
+    monkeypatch.setattr("sedimark.llm.rank.LARGE", 1000)
     rows = [(1, f"i{i:04d}", float(i % 7), float(i), 5.0, None) for i in range(3000)]
     got = {(x.x): x.supports for x in supports(spark.createDataFrame(rows, KIND), "q", "x", S).collect()}
     assert got["i2999"] == [sum(i % 7 <= 2999 % 7 for i in range(3000)), 3000, 3000]
