@@ -1,8 +1,8 @@
 """Which texts of a group contain which needles of the same group, as substrings.
 
 A join on the group with a test of every pair is quadratic in the size of a group. Here a group's
-needles become one automaton that finds all of them in one pass over a text. Texts of a large group
-are spread over several tasks, each of which gets the group's needles; texts stream by.
+needles become an automaton that finds all of them in one pass over a text. Texts and needles of a
+large group are cut into parts, and every two parts meet in a task of their own; texts stream by.
 """
 
 from __future__ import annotations
@@ -14,26 +14,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Texts of a group that one task takes.
-TEXTS = 5_000
+from sedimark.operators.skew import join_unique
+
+#: Texts and needles of a group that one task takes.
+TEXTS, NEEDLES = 5_000, 50_000
 
 
 def containing(texts: DataFrame, needles: DataFrame) -> DataFrame:
     """(grp, id, needle): each once. ``texts`` (grp, id, text), ``needles`` (grp, needle); null and empty ones are never found."""
     t = texts.select(F.col("grp").cast("string").alias("grp"), F.col("id").cast("string").alias("id"), F.col("text").alias("s")).where(F.col("grp").isNotNull() & F.col("s").isNotNull())
     n = needles.select(F.col("grp").cast("string").alias("grp"), F.col("needle").alias("s")).where(F.col("grp").isNotNull() & (F.col("s") != "")).distinct()
-    parts = t.groupBy("grp").agg(F.ceil(F.count("*") / TEXTS).cast("int").alias("parts")).where(F.col("parts") > 1)
-    some = F.coalesce("parts", F.lit(1))
-    left = t.join(n.select("grp").distinct(), "grp", "left_semi").join(parts, "grp", "left").select("grp", F.pmod(F.xxhash64("id"), some).cast("int").alias("part"), F.lit(1).alias("kind"), "id", "s")
-    right = n.join(parts, "grp", "left").select("grp", F.explode(F.sequence(F.lit(0), some - 1)).alias("part"), F.lit(0).alias("kind"), F.lit(None).cast("string").alias("id"), "s")
+    count = lambda df, most: df.groupBy("grp").agg(F.ceil(F.count("*") / most).cast("int").alias("parts"))
+    parts = count(n, NEEDLES).withColumnRenamed("parts", "ns").join(count(t, TEXTS).withColumnRenamed("parts", "ts"), "grp")
+    mine = lambda c, k: F.pmod(F.xxhash64(c), F.col(k)).cast("int")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
+    left = join_unique(t, parts, "grp", "inner").select("grp", mine("id", "ts").alias("part"), every("ns").alias("own"), F.lit(1).alias("kind"), "id", "s")
+    right = join_unique(n, parts, "grp", "inner").select("grp", "s", mine("s", "ns").alias("own"), every("ts").alias("part")).select("grp", "part", "own", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("id"), "s")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, words, finder = None, set(), None
         for b in batches:
             found: list[tuple[str, str, str]] = []
-            for grp, part, kind, id_, s in zip(*(b.column(i).to_pylist() for i in range(5))):
-                if (grp, part) != key:
-                    key, words, finder = (grp, part), set(), None
+            for grp, part, own, kind, id_, s in zip(*(b.column(i).to_pylist() for i in range(6))):
+                if (grp, part, own) != key:
+                    key, words, finder = (grp, part, own), set(), None
                 if kind == 0:
                     words.add(s)
                     continue
@@ -47,5 +51,5 @@ def containing(texts: DataFrame, needles: DataFrame) -> DataFrame:
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*found)], names=["grp", "id", "needle"])
 
-    both = left.unionByName(right).repartition("grp", "part").sortWithinPartitions("grp", "part", "kind")
+    both = left.unionByName(right).repartition("grp", "part", "own").sortWithinPartitions("grp", "part", "own", "kind")
     return both.mapInArrow(run, "grp string, id string, needle string").distinct()

@@ -122,6 +122,7 @@ def test_neighbours_and_counts(small, spark):
 
 def test_containment_of_a_large_group(spark, monkeypatch):
     monkeypatch.setattr("sedimark.operators.containment.TEXTS", 7)
+    monkeypatch.setattr("sedimark.operators.containment.NEEDLES", 2)
     texts = [("g", str(i), f"text {i} ab{'c' * (i % 3)}") for i in range(50)] + [("h", "x", "abc"), ("h", "y", None), (None, "z", "abc")]
     needles = [("g", "abc"), ("g", "abcc"), ("g", "zz"), ("h", "b"), ("h", ""), ("h", None), ("i", "a"), ("g", "abc")]
     got = {tuple(r) for r in containing(spark.createDataFrame(texts, "grp string, id string, text string"), spark.createDataFrame(needles, "grp string, needle string")).collect()}
