@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from sedimark.errors import DimensionMismatch, InvalidQuery
 from sedimark.functions import text as T
 from sedimark.functions import vectors as V
+from sedimark.storage_paths import written
 
 MOST = 100
 K1, B = 1.2, 0.75
@@ -67,47 +68,95 @@ def vector_search(chunks: DataFrame, query: Sequence[float], k: int = 10, where:
     return rows.where(F.col("vector_score").isNotNull()).drop(vector).orderBy(F.desc("vector_score"), F.asc(key)).limit(clamp(k))
 
 
-def batch_vector_search(chunks: DataFrame, queries: dict, k: int = 10, key: str = "chunk_id", vector: str = "embedding") -> DataFrame:
-    """(query_id, key, vector_score, rank): the ``k`` best rows of each query. Each task sends on only its own ``k`` rows a query."""
-    k = clamp(k)
-    names = list(queries)
-    matrix = np.array([queries[n] for n in names], np.float64)
+#: Queries that meet all rows in one pass.
+QUERY_BLOCK = 4096
+
+
+def batch_vector_search(chunks: DataFrame, queries: dict | DataFrame, k: int = 10, key: str = "chunk_id", vector: str = "embedding", query_key: str = "query_id") -> DataFrame:
+    """(query_id, key, vector_score, rank): the ``k`` best rows of each query, ties by key.
+
+    ``queries`` is a short dict of vectors, or a table (query_key, vector) of any size, of which the
+    driver holds one block at a time; each block meets all rows in a pass of its own, whose result is
+    written. Each task sends on only its own ``k`` rows a query. Null vectors, and those of another
+    length, are not among the queries of a block.
+    """
+    k, spark = clamp(k), chunks.sparkSession
+    kind = dict(chunks.dtypes)[key]
+    rows = chunks.select(key, F.col(vector).cast("array<float>"))
+    if isinstance(queries, dict):
+        found = _pass(rows, list(queries), [list(v) for v in queries.values()], k, kind) if queries else None
+        names = {i: n for i, n in enumerate(queries)}
+        if found is None:
+            return spark.createDataFrame([], f"query_id string, {key} {kind}, vector_score double, rank int")
+        ids = F.create_map(*[x for i, n in names.items() for x in (F.lit(i).cast("long"), F.lit(n))])
+        return _ranked(found, k).select(ids[F.col("q")].alias("query_id"), F.col("key").alias(key), "vector_score", "rank")
+    asked = queries.select(F.col(query_key).alias("id"), F.col(vector).cast("array<float>").alias("v")).where(F.size("v") > 0)
+    id_kind, every, block = dict(asked.dtypes)["id"], None, []
+
+    def passed(block: list) -> DataFrame:
+        out = None
+        for size in {len(v) for _, v in block}:  # vectors of one length at a time
+            own = [(n, v) for n, v in block if len(v) == size]
+            names = spark.createDataFrame([(i, n) for i, (n, _) in enumerate(own)], f"q long, id {id_kind}")
+            part = written(_ranked(_pass(rows, [n for n, _ in own], [v for _, v in own], k, kind), k), "best").join(F.broadcast(names), "q")
+            out = part if out is None else out.unionByName(part)
+        return out
+
+    for r in asked.toLocalIterator():
+        block.append((r.id, list(r.v)))
+        if len(block) == QUERY_BLOCK:
+            part, block = passed(block), []
+            every = part if every is None else every.unionByName(part)
+    if block:
+        part = passed(block)
+        every = part if every is None else every.unionByName(part)
+    if every is None:
+        return spark.createDataFrame([], f"query_id {id_kind}, {key} {kind}, vector_score double, rank int")
+    return every.select(F.col("id").alias("query_id"), F.col("key").alias(key), "vector_score", "rank")
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    return found.withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy(F.desc("vector_score"), F.asc("key")))).where(F.col("rank") <= k)
+
+
+def _pass(rows: DataFrame, names: list, vectors: list, k: int, kind: str) -> DataFrame:
+    """(q, key, vector_score): of each task's rows the ``k`` best of each query."""
+    matrix = np.array(vectors, np.float64)
     matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
-    shared = chunks.sparkSession.sparkContext.broadcast(matrix)
+    shared = rows.sparkSession.sparkContext.broadcast(matrix)
+
+    def best(q: np.ndarray, keys: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of (query, key, score) the first ``k`` of each query."""
+        place = np.argsort(np.argsort(keys, kind="stable"), kind="stable")
+        order = np.lexsort((place, -score, q))
+        q, keys, score = q[order], keys[order], score[order]
+        start = np.searchsorted(q, q)
+        kept = np.arange(len(q)) - start < k
+        return q[kept], keys[kept], score[kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q = shared.value
-        best: list[tuple[np.ndarray, list]] = [(np.zeros(0), []) for _ in q]
+        m = shared.value
+        held = np.zeros(0, np.int64), np.zeros(0, object), np.zeros(0)
         for b in batches:
             lists = b.column(1)
             lengths = np.diff(lists.offsets.to_numpy())
-            ok = np.flatnonzero(np.asarray(lists.is_valid()) & (lengths == q.shape[1]))
+            ok = np.flatnonzero(np.asarray(lists.is_valid()) & (lengths == m.shape[1]))
             if not len(ok):
                 continue
             x = lists.take(pa.array(ok)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ok), -1)
             n = np.linalg.norm(x, axis=1)
-            keys = np.array(b.column(0).take(pa.array(ok)).to_pylist(), dtype=object)
             good = n > 0
-            s, keys = (x[good] / n[good, None]) @ q.T, keys[good]
-            for i in range(len(q)):
-                score, own = np.concatenate([best[i][0], s[:, i]]), best[i][1] + list(keys)
-                order = sorted(range(len(own)), key=lambda j: (-score[j], own[j]))[:k] if len(own) <= 4 * k else _first(score, own, k)
-                best[i] = (score[order], [own[j] for j in order])
-        for i, (score, own) in enumerate(best):
-            if own:
-                yield pa.RecordBatch.from_arrays([pa.array([i] * len(own), pa.int64()), pa.array(own), pa.array(score)], names=["q", "key", "vector_score"])
-
-    kind = dict(chunks.dtypes)[key]
-    found = chunks.select(key, F.col(vector).cast("array<float>")).mapInArrow(run, f"q long, key {kind}, vector_score double")
-    ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy(F.desc("vector_score"), F.asc("key")))).where(F.col("rank") <= k)
-    ids = F.array(*[F.lit(n) for n in names])
-    return ranked.select(ids[F.col("q").cast("int")].alias("query_id"), F.col("key").alias(key), "vector_score", "rank")
-
+            keys = np.array(b.column(0).take(pa.array(ok)).to_pylist(), dtype=object)[good]
+            s = m @ (x[good] / n[good, None]).T
+            if not s.shape[1]:
+                continue
+            least = np.partition(s, max(0, s.shape[1] - k), axis=1)[:, max(0, s.shape[1] - k)]
+            q, at = np.nonzero(s >= least[:, None])
+            held = best(*(np.concatenate(z) for z in zip(held, (q, keys[at], s[q, at]))))
+        if len(held[0]):
+            yield pa.RecordBatch.from_arrays([pa.array(held[0]), pa.array(held[1].tolist()), pa.array(held[2])], names=["q", "key", "vector_score"])
 
-def _first(score: np.ndarray, keys: list, k: int) -> list[int]:
-    cut = np.partition(-score, k - 1)[k - 1]
-    at = np.flatnonzero(-score <= cut)
-    return sorted(at.tolist(), key=lambda j: (-score[j], keys[j]))[:k]
+    return rows.mapInArrow(run, f"q long, key {kind}, vector_score double")
 
 
 def fts_search(chunks: DataFrame, query: str, k: int = 10, where: SearchFilter | None = None, key: str = "chunk_id", content: str = "content", any_term: bool = False) -> DataFrame:
