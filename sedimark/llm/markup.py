@@ -10,6 +10,7 @@ the host's pages are template, those whose text varies are slots, that is conten
 
 from __future__ import annotations
 
+import functools
 import html
 import math
 import re
@@ -553,9 +554,13 @@ def match_trees(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
     return size, pairs
 
 
+#: The trees of the last reference pages; pages of one host mostly come one after the other.
+_reference = functools.lru_cache(maxsize=16)(parse_html)
+
+
 def same_nodes(page: str, reference: str) -> list[tuple[int, int]]:
     """(number in the reference, number in the page) of aligned nodes that hold the same text, and any."""
-    _, pairs = match_trees(parse_html(reference), parse_html(page))
+    _, pairs = match_trees(_reference(reference), parse_html(page))
     return [(a.number, b.number) for a, b in pairs if a.tag not in ("#root", "html", "body") and (t := _flat(text_of(a))) and t == _flat(text_of(b))]
 
 

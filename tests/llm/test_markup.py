@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from sedimark.llm.markup import clean, convert, host_of, match_trees, parse_html, text_of
@@ -98,3 +100,24 @@ def test_rows_without_html_are_no_pages(spark):
 def test_host(spark):
     got = spark.createDataFrame([("/v/a/2024/x",), ("https://h.org/a/b",), ("x",), (None,)], "p string").select(host_of("p")).collect()
     assert [r[0] for r in got] == ["/v/a", "h.org", "", None]
+
+
+def test_clean_text_of_pages_gives_back_what_was_planted(spark):
+    """Pages of one host: the same menu and foot, headings, items, tables, code and paragraphs that differ."""
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("bdgklmnrst") + r.choice("aeiou") for _ in range(3))
+    line = lambda n: " ".join(word() for _ in range(n))
+    menu = "".join(f"<li><a href='/{i}'>{m}</a></li>" for i, m in enumerate(("Home", "News", "About us")))
+    rows, want = [], {}
+    for i in range(12):
+        head, items, para, cells, code = line(3), [line(2) for _ in range(r.randint(2, 5))], [line(9) for _ in range(r.randint(1, 4))], [[word(), word()] for _ in range(r.randint(1, 3))], f"x = {i}\ny = {word()}"
+        body = f"<h1>{head}</h1>" + "".join(f"<p>{p}</p>" for p in para) + "<ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul><table>" + "".join(f"<tr><td>{a}</td><td>{b}</td></tr>" for a, b in cells) + f"</table><pre>{code}</pre>"
+        rows.append((f"p{i}", f"/site/host/{i}.html", f"<html><body><div><ul>{menu}</ul></div><div>{body}</div><div><p>All rights reserved.</p></div></body></html>"))
+        want[f"p{i}"] = "\n\n".join([f"# {head}", *para, "\n".join(f"- {x}" for x in items), "\n".join(f"| {a} | {b} |" for a, b in cells), f"```\n{code}\n```"])
+    pages = spark.createDataFrame(rows, "file_id string, path string, content string")
+    got = {x.id: (x.text, x.kinds) for x in clean(pages, "file_id", "content", host_of("path")).collect()}
+    assert {k: t for k, (t, _) in got.items()} == want
+    assert all(k == ["heading", "list", "code", "table"] for _, k in got.values())
+    # without a host nothing is taken for template
+    alone = {x.id: x.text for x in clean(pages, "file_id", "content").collect()}
+    assert all(t.startswith("- Home\n- News") and t.endswith("All rights reserved.") for t in alone.values())
