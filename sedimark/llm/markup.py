@@ -5,7 +5,8 @@ Blocks are written out in one notation: ``# `` headings, ``- `` list items, fenc
 formulas, and rows of cells between bars. Pages of one host go through wrapper induction: each
 page's tree is aligned with the host's reference page by simple tree matching (the largest order-
 preserving mapping between equal tags); nodes of the reference that meet the same text on most of
-the host's pages are template, those whose text varies are slots, that is content.
+the host's pages are template, those whose text varies are slots, that is content. A page's tree is
+then taken apart into the two: the slots give its text, and each of them its kinds of structure.
 """
 
 from __future__ import annotations
@@ -406,23 +407,38 @@ def render(blocks: list[_Block]) -> str:
     return "".join(out)
 
 
+def _apart(root: Node, template: frozenset[int]) -> Node:
+    """Marks the template's nodes in the tree, which leaves the slots, and gives a tree of the template alone."""
+    fixed, stack = Node("#root"), [root]
+    while stack:
+        n = stack.pop()
+        if n.number in template:
+            n.template = True
+            # its copy stands by itself, with all that is below it
+            copy = Node(n.tag, n.text)
+            copy.children = n.children
+            fixed.children.append(copy)
+        else:
+            stack.extend(reversed(n.children))
+    return fixed
+
+
 def convert(text: str | None, template: frozenset[int] = frozenset()) -> tuple[str | None, list[str]]:
     """Clean text and the kinds of structure that the text marks up, ``['other']`` if only inline or hidden marks, [] if none.
 
+    With a ``template``, the numbers of a page's nodes as induction has found them, the text is that of
+    the slots; the kinds are those of the slots and of the template, as both are marked up.
+
     Null stays null; text without markup stays as it is.
     """
     if not text or not _MAYBE.search(text):
         return text, []
     if is_html(text):
         root = parse_html(text)
-        kinds = {k for k, _ in html_blocks(root)} & set(KINDS)
-        if template:
-            stack = [root]
-            while stack:
-                n = stack.pop()
-                n.template = n.number in template
-                stack.extend(n.children)
-        return render(html_blocks(root)), [k for k in KINDS if k in kinds] or ["other"]
+        fixed = _apart(root, template)
+        slots = html_blocks(root)
+        kinds = {k for k, _ in [*slots, *html_blocks(fixed)]} & set(KINDS)
+        return render(slots), [k for k in KINDS if k in kinds] or ["other"]
     blocks, marked = light_blocks(text)
     kinds = {k for k, _ in blocks} & set(KINDS)
     if not marked and not kinds:
