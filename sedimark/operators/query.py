@@ -15,6 +15,7 @@ from sedimark.errors import InvalidQuery
 from sedimark.functions import text as T
 from sedimark.operators import graph, search
 from sedimark.operators.search import SearchFilter
+from sedimark.storage_paths import written
 
 # Phrases that ask for related records.
 RELATED = ["related to", "connected to", "reference", "associated with"]
@@ -77,17 +78,30 @@ def context_windows(chunks: DataFrame, anchors: DataFrame, n: int = 3, key: str
 
     Neighbours are of the same file and heading (null matches null), in the order of keys, up to half
     of ``n`` (1 to 10) on each side. Positions are numbered only among chunks that share file and
-    heading with an anchor; an anchor that isn't among ``chunks`` has no row.
+    heading with an anchor; an anchor that isn't among ``chunks`` has no row. Chunks are sorted by
+    ranges of (file, heading, key), so one file and heading may lie in any number of tasks, and
+    neighbours are found by their numbers in the whole order.
     """
     half = max(1, min(n, 10)) // 2
     same = anchors.select(key).distinct()
     groups = chunks.join(same, key, "left_semi").select(F.col("file_id").alias("_f"), F.col("heading").alias("_h")).distinct()
-    own = chunks.join(groups, F.col("file_id").eqNullSafe(F.col("_f")) & F.col("heading").eqNullSafe(F.col("_h")), "left_semi")
-    near = W.partitionBy("file_id", "heading").orderBy(key)
-    shifts = [F.struct(F.lit(d).alias("distance"), (F.lag(key, d).over(near) if d > 0 else F.lead(key, -d).over(near) if d < 0 else F.col(key)).alias("anchor_id")) for d in range(-half, half + 1)]
-    placed = own.withColumns({f"_s{i}": s for i, s in enumerate(shifts)})
-    rows = placed.select(key, "content", "heading", F.explode(F.array(*[F.col(f"_s{i}") for i in range(len(shifts))])).alias("s")).select(F.col("s.anchor_id").alias("anchor_id"), key, "content", "heading", "s.distance")
-    return rows.join(same.withColumnRenamed(key, "anchor_id"), "anchor_id", "left_semi").withColumn("tokens", T.byte_tokens(F.col("content")))
+    own = chunks.join(groups, F.col("file_id").eqNullSafe(F.col("_f")) & F.col("heading").eqNullSafe(F.col("_h")), "left_semi").select(key, "file_id", "heading", "content")
+    order = ["file_id", "heading", key]
+    # the number within the task and the task's own
+    placed = written(own.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "placed")
+    part, within = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = {r[0]: r[1] for r in placed.groupBy(part).count().collect()}  # one row a task
+    starts, total = {}, 0
+    for p in sorted(sizes):
+        starts[p], total = total, total + sizes[p]
+    if not starts:
+        return placed.select(F.col(key).alias("anchor_id"), key, "content", "heading", F.lit(0).alias("distance"), T.byte_tokens(F.col("content")).alias("tokens"))
+    start = F.create_map(*[x for p, s in starts.items() for x in (F.lit(p).cast("long"), F.lit(s).cast("long"))])
+    rows = placed.withColumn("_pos", start[part] + within)
+    mine = rows.join(same, key, "left_semi").select(F.col(key).alias("anchor_id"), F.col("file_id").alias("_f"), F.col("heading").alias("_h"), "_pos")
+    near = mine.select("anchor_id", "_f", "_h", "_pos", F.explode(F.sequence(F.lit(-half), F.lit(half))).alias("distance")).withColumn("_pos", F.col("_pos") + F.col("distance"))
+    met = near.join(rows, "_pos").where(F.col("file_id").eqNullSafe(F.col("_f")) & F.col("heading").eqNullSafe(F.col("_h")))
+    return met.select("anchor_id", key, "content", "heading", "distance", T.byte_tokens(F.col("content")).alias("tokens"))
 
 
 @dataclass(frozen=True)
