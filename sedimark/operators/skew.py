@@ -9,8 +9,8 @@ from sedimark.storage_paths import written
 
 #: A key is hot when it has more than this part of all rows, or more than half of what a task has if that is less.
 HOT_PART = 0.01
-#: Fewer rows than this have no hot keys worth a plan of their own; which rows come out doesn't depend on it.
-LEAST_ROWS = 10_000
+#: Fewer rows than this fit in one task, so no key is hot; which rows come out doesn't depend on it.
+LEAST_ROWS = 200_000
 
 
 def hot_part(df: DataFrame) -> float:
@@ -24,11 +24,11 @@ def hot_keys(left: DataFrame, key: str, part: float | None = None) -> list:
     Rows are counted before the shuffle, so a hot key reaches the reducer as one row a task.
     """
     some = left.where(F.col(key).isNotNull()).select(key)
-    part = hot_part(left) if part is None else part
     total = some.count()
     if total < LEAST_ROWS:
         return []
-    return [r[0] for r in some.groupBy(key).count().where(F.col("count") > int(total * part)).select(key).collect()]
+    least = int(total * (hot_part(left) if part is None else part))
+    return [r[0] for r in some.groupBy(key).count().where(F.col("count") > least).select(key).collect()]
 
 
 #: Tasks that the rows of a hot key are spread over.

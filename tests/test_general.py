@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from sedimark.errors import StorageError
 from sedimark.operators.incremental import KeyedState, changed, clean_hash, content_hash, current_rows, new_part, pending_files
 from sedimark.operators.references import ForeignKey, Keyed, cascade, direct, records
-from sedimark.operators.skew import hot_keys, join_unique
+from sedimark.operators.skew import hot_keys, join_spread, join_unique
 from sedimark.plans.general import QUERIES
 
 META = "file_id string, hash string, modified long, extra string"
@@ -147,7 +147,8 @@ def test_cascade_reaches_fixpoint(spark):
     assert got == {("a", "direct", 0), ("b", "inherited", 1), ("c", "inherited", 2), ("z", "inherited", 3), ("y", "inherited", 4), ("x", "inherited", 5)}
 
 
-def test_join_unique_with_hot_key(spark):
+def test_join_unique_with_hot_key(spark, monkeypatch):
+    monkeypatch.setattr("sedimark.operators.skew.LEAST_ROWS", 10_000)
     left = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") == 1, None).otherwise(F.col("id").cast("string")).alias("k"))
     assert hot_keys(left, "k") == ["hot"]
     right = spark.createDataFrame([("hot", 1), ("2", 2)], "k string, v int")
@@ -158,6 +159,13 @@ def test_join_unique_with_hot_key(spark):
     assert changed(current_rows(left.withColumns({"h": F.lit("A"), "m": F.lit(1)}), "k", "h", "m"), spark.createDataFrame([("hot", "a")], "key string, hash string")).count() == 19_999
 
 
+def test_join_spread_over_a_hub(spark):
+    few = spark.createDataFrame([("hub", 1), ("hub", 2), ("leaf", 3), (None, 4)], "k string, seed int")
+    many = spark.range(500).select(F.when(F.col("id") < 400, "hub").otherwise(F.concat(F.lit("leaf"), F.when(F.col("id") > 400, F.col("id").cast("string")).otherwise(""))).alias("k"), F.col("id").cast("string").alias("dst"))
+    plain = {tuple(r) for r in join_spread(few, many, "k", "dst", []).select("k", "seed", "dst").collect()}
+    assert {tuple(r) for r in join_spread(few, many, "k", "dst", ["hub"]).select("k", "seed", "dst").collect()} == plain and len(plain) == 801
+
+
 def test_written_tables_can_be_forgotten(spark):
     from sedimark.storage_paths import forget, shared_dir, written
 
