@@ -213,17 +213,17 @@ _SEARCHED = {
     "txt": "SELECT file_id, place, text, context FROM (SELECT file_id, (i - 1)::VARCHAR AS place, line AS text, string_agg(line, chr(10)) OVER (PARTITION BY file_id ORDER BY i ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS context FROM o) WHERE " + _HIT % "text",
     "md": "SELECT file_id, (pos - 1)::VARCHAR AS place, x AS text, context FROM (SELECT *, string_agg(x, chr(10)) OVER (PARTITION BY file_id ORDER BY pos ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS context FROM (SELECT file_id, x, row_number() OVER (PARTITION BY file_id ORDER BY n, g) AS pos FROM (SELECT file_id, unnest(['# ' || title, '']) AS x, 0 AS n, unnest([0, 1]) AS g FROM f UNION ALL SELECT file_id, unnest(['## ' || label, '']), n, unnest([-2, -1]) FROM part UNION ALL SELECT file_id, line, n, j FROM o UNION ALL SELECT file_id, '', n, 1000000 FROM part JOIN f USING (file_id) WHERE n < parts))) WHERE " + _HIT % "x",
 }
-_BLOCK = "SELECT file_id, %s::INT AS block, '%s' AS kind, %s::INT AS number, %s AS title, %s AS name, %s AS text FROM %s"
+_BLOCK = "SELECT file_id, (%s)::INT AS block, '%s' AS kind, (%s)::INT AS number, (%s)::VARCHAR AS title, (%s)::VARCHAR AS name, %s AS text FROM %s"
 _BLOCKS = {
     "docx": _BLOCK % ("0", "Text", "NULL", "NULL", "NULL", "title || chr(10) || labelled", "f"),
     "html": _BLOCK % ("0", "Text", "NULL", "NULL", "NULL", "title || chr(10) || labelled", "f"),
     "xlsx": _BLOCK % ("0", "Sheet", "0", "NULL", "'Table'", "grid", "ff") + " UNION ALL " + _BLOCK % ("n", "Sheet", "n", "NULL", "label", "body", "part"),
     "pptx": _BLOCK % ("n - 1", "Slide", "n", "label", "NULL", "label || ' ' || flat", "part"),
     "pdf": _BLOCK % ("n - 1", "Page", "n", "NULL", "NULL", "label || chr(10) || body", "part"),
-    "md": "SELECT file_id, 0::INT AS block, 'Text' AS kind, NULL::INT AS number, NULL AS title, NULL AS name, '# ' || title || chr(10) || chr(10) || string_agg('## ' || label || chr(10) || chr(10) || body || chr(10), chr(10) ORDER BY n) AS text FROM part GROUP BY file_id, part.title",
+    "md": "SELECT file_id, 0::INT AS block, 'Text' AS kind, NULL::INT AS number, NULL::VARCHAR AS title, NULL::VARCHAR AS name, '# ' || title || chr(10) || chr(10) || string_agg('## ' || label || chr(10) || chr(10) || body || chr(10), chr(10) ORDER BY n) AS text FROM part GROUP BY file_id, part.title",
     "txt": _BLOCK % ("0", "Text", "NULL", "NULL", "NULL", "bodies", "f"),
 }
-_CHUNK = "SELECT file_id, %s::INT AS chunk, %s AS content, %s AS heading, %s::INT AS page, %s::INT AS slide, %s AS sheet, '%s' AS block_type FROM %s"
+_CHUNK = "SELECT file_id, (%s)::INT AS chunk, %s AS content, (%s)::VARCHAR AS heading, (%s)::INT AS page, (%s)::INT AS slide, (%s)::VARCHAR AS sheet, '%s' AS block_type FROM %s"
 _FLAT = "replace(%s, chr(10), ' ')"
 _GROUPS = "(SELECT file_id, sheet, n, g, string_agg(x || chr(10), '' ORDER BY pos) AS body FROM (SELECT file_id, 'Table' AS sheet, 0 AS n, r // 5 AS g, k || chr(9) || p AS x, r AS pos FROM o UNION ALL SELECT file_id, 'Table', 0, 0, 'key' || chr(9) || 'priority', 0 FROM f UNION ALL SELECT file_id, label, n, (j - 1) // 5, line, j FROM o) GROUP BY ALL)"
 _CHUNKS = {
@@ -255,7 +255,7 @@ SELECT unnest([0, 1, 2, 3])::INT AS run, unnest([n, n, 2 * n, n]) AS total, unne
 }
 for _e in _LAYOUT:
     ORACLE[f"{_e}_read"] = _Q % " UNION ALL ".join(_READ[_e])
-    ORACLE[f"{_e}_facts"] = f"WITH {_O} SELECT file_id, '{_e}' AS format, ({_COUNT.get(_e, 'NULL')})::INT AS page_count, {'title' if _e in _AUTHOR else 'NULL'} AS title, {'author' if _e in _AUTHOR else 'NULL'} AS author, NULL AS error FROM f"
+    ORACLE[f"{_e}_facts"] = f"WITH {_O} SELECT file_id, '{_e}' AS format, ({_COUNT.get(_e, 'NULL')})::INT AS page_count, {'title' if _e in _AUTHOR else 'NULL'}::VARCHAR AS title, {'author' if _e in _AUTHOR else 'NULL'}::VARCHAR AS author, NULL::VARCHAR AS error FROM f"
     ORACLE[f"{_e}_searched"] = f"WITH {_O} {_SEARCHED[_e]}"
     ORACLE[f"{_e}_blocks"] = f"WITH {_O} {_BLOCKS[_e]}"
     ORACLE[f"{_e}_chunks"] = f"WITH {_O} {_CHUNKS[_e]}"
