@@ -63,6 +63,20 @@ class HashingEmbedder:
         return self.embed_batch([text])[0]
 
 
+@dataclass(frozen=True)
+class FixedEmbedder:
+    """One direction for every text and nothing for blank ones: for tests of what surrounds an embedder."""
+
+    dimension: int = 4
+    model: str = "fixed"
+
+    def embed_batch(self, texts: list[str]) -> list[list[float]]:
+        return [[2.0] + [0.0] * (self.dimension - 1) if t.strip() else [0.0] * self.dimension for t in texts]
+
+    def __call__(self, text: str) -> list[float]:
+        return self.embed_batch([text])[0]
+
+
 @dataclass(frozen=True)
 class HttpEmbedder:
     """A provider with an HTTP interface; ``kind`` names its wire format."""

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sedimark.errors import DuplicateKey, ReadOnlyError, StorageError
-from sedimark.operators import embedding, graph, indexing, store
+from sedimark.operators import caching, embedding, graph, indexing, queueing, store
 from sedimark.plans.general import _CLEAN
 from sedimark.sources import scan
 from sedimark.sources.tables import table
@@ -231,7 +231,61 @@ def watch_rate(spark, folder):
     return watch.in_last_minute(e, "user_id", "ts", 86_400).select("event_id", "recent")
 
 
-QUERIES = {f.__name__: f for f in (store_lookups, store_in_order, store_delete_file, store_transactions, store_vectors, moves_resolved, store_latest_files, store_needs_update, store_pending, store_known_contents, store_by_heading, store_delete, store_edges, store_counts, embed_missing, embed_report, index_due, index_report, watch_changes, watch_batches, watch_rate)}
+def embed_fixed(spark, folder):
+    """Each distinct text of the documents, embedded one by one; the vectors come out at unit length."""
+    d = table(spark, folder, "documents").select(F.col("text").alias("content"))
+    e = embedding.embed_texts(d, embedding.FixedEmbedder(), 1)
+    return e.select("content_hash", F.get("embedding", F.lit(0)).cast("double").alias("first"), F.size("embedding").alias("size"), "model", "dimension", "error")
+
+
+class _Short(embedding.FixedEmbedder):
+    """An embedder that forgets a dimension for long texts."""
+
+    def embed_batch(self, texts: list[str]) -> list[list[float]]:
+        return [v[1:] if len(t) > 500 else v for t, v in zip(texts, super().embed_batch(texts))]
+
+
+def embed_checked(spark, folder):
+    """How many distinct texts fail the check of dimensions, and how many don't."""
+    d = table(spark, folder, "documents").select(F.col("text").alias("content"))
+    return embedding.embed_texts(d, _Short(), 1).groupBy(F.regexp_extract("error", "^[A-Za-z]+", 0).alias("error"), F.col("embedding").isNotNull().alias("ok")).agg(F.count("*").alias("texts"))
+
+
+def embed_dimensions(spark, folder):
+    """Dimensions by what is asked for, configured, known of the model, or usual with the provider."""
+    cases = [("ollama", "nomic-embed-text", None, None), ("openai", "text-embedding-3-large", None, None), ("openai", "other", None, None), ("gemini", "gemini-embedding-001", 256, None), ("anthropic", "other", None, 99), ("nobody", "other", None, None)]
+    return spark.createDataFrame([(p, m, embedding.resolve_dimension(p, m, a, c)) for p, m, a, c in cases], "provider string, model string, dimension int")
+
+
+def retry_delays(spark, folder):
+    """The delay before each further try, in milliseconds."""
+    p = embedding.RetryPolicy()
+    return spark.createDataFrame([(n, round(1000 * p.delay(n))) for n in range(12)], "n int, ms long")
+
+
+def queue_order(spark, folder):
+    """The places of the events as jobs by type of event, in a queue that holds half of them."""
+    names = {"click": "high", "view": "normal"}
+    rows = table(spark, folder, "events").select("event_id", "event_type").orderBy("event_id")
+    q = queueing.JobQueue((rows.count() + 1) // 2)
+    for r in rows.toLocalIterator():  # the queue lives in one process
+        q.put(r.event_id, names.get(r.event_type, "low"))
+    taken = list(iter(lambda: q.take_under_pressure(lambda: False), None))
+    return spark.createDataFrame([(e, i) for i, e in enumerate(taken)], "event_id long, place int")
+
+
+def lru_hits(spark, folder):
+    """Hits and misses of a cache of eight users over the events in order, by type of event."""
+    cache, seen = caching.LruCache(8), {}
+    for r in table(spark, folder, "events").select("event_id", "event_type", "user_id").orderBy("event_id").toLocalIterator():
+        hit = cache.get(r.user_id) is not None
+        cache.put(r.user_id, r.event_id)
+        n = seen.setdefault(r.event_type, [0, 0])
+        n[not hit] += 1
+    return spark.createDataFrame([(k, *v) for k, v in seen.items()], "event_type string, hits long, misses long")
+
+
+QUERIES = {f.__name__: f for f in (embed_fixed, embed_checked, embed_dimensions, retry_delays, queue_order, lru_hits, store_lookups, store_in_order, store_delete_file, store_transactions, store_vectors, moves_resolved, store_latest_files, store_needs_update, store_pending, store_known_contents, store_by_heading, store_delete, store_edges, store_counts, embed_missing, embed_report, index_due, index_report, watch_changes, watch_batches, watch_rate)}
 
 _SCANS = "scans AS (SELECT path, min((coalesce(modified, -1), coalesce(last_indexed, -1), coalesce(hash, ''))) AS a, max((coalesce(modified, -1), coalesce(last_indexed, -1), coalesce(hash, ''))) AS b FROM file_meta WHERE path IS NOT NULL GROUP BY path)"
 _CHUNK = "chunk AS (SELECT DISTINCT ON (chunk_id) * FROM chunks WHERE chunk_id IS NOT NULL ORDER BY chunk_id, created_at DESC NULLS LAST)"
@@ -246,6 +300,14 @@ edge AS ({_LAST % ("edge_id", "created_at", _down("from_id", "to_id", "relation"
 state AS ({_LAST % ("file_id", "last_indexed", _down("hash", "status"), "index_state", "file_id")})"""
 _HOT = "hot AS (SELECT file_id FROM %s WHERE file_id IS NOT NULL GROUP BY file_id ORDER BY count(*) DESC, file_id LIMIT 1)"
 ORACLE = {
+    "embed_fixed": "SELECT DISTINCT sha256(text) AS content_hash, CASE WHEN regexp_matches(text, '[^\\s\\x{0B}\\x{1C}-\\x{1F}\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]') THEN 1.0 ELSE 0.0 END::DOUBLE AS first, 4::INT AS size, 'fixed' AS model, 4::BIGINT AS dimension, NULL::VARCHAR AS error FROM documents WHERE text IS NOT NULL",
+    "embed_checked": "SELECT CASE WHEN length(text) > 500 THEN 'DimensionMismatch' END AS error, length(text) <= 500 AS ok, count(DISTINCT text) AS texts FROM documents WHERE text IS NOT NULL GROUP BY ALL",
+    "embed_dimensions": "SELECT * FROM (VALUES ('ollama', 'nomic-embed-text', 768), ('openai', 'text-embedding-3-large', 3072), ('openai', 'other', 1536), ('gemini', 'gemini-embedding-001', 256), ('anthropic', 'other', 99), ('nobody', 'other', 768)) v(provider, model, dimension)",
+    "retry_delays": "SELECT n::INT AS n, least(30000, 100 * 2 ** n)::BIGINT AS ms FROM range(12) r(n)",
+    "queue_order": "WITH held AS (SELECT *, row_number() OVER (ORDER BY event_id) AS r, count(*) OVER () AS n FROM events) SELECT event_id, (row_number() OVER (ORDER BY CASE event_type WHEN 'click' THEN 0 WHEN 'view' THEN 1 ELSE 2 END, event_id) - 1)::INT AS place FROM held WHERE r <= (n + 1) // 2",
+    "lru_hits": """WITH e AS (SELECT *, row_number() OVER (ORDER BY event_id) AS i FROM events), b AS (SELECT *, lag(i) OVER (PARTITION BY user_id ORDER BY i) AS p FROM e),
+d AS (SELECT b.event_type, b.i, b.p, (SELECT count(*) FROM b o WHERE o.i > b.p AND o.i < b.i AND (o.p IS NULL OR o.p <= b.p)) AS between_them FROM b)
+SELECT event_type, count(*) FILTER (p IS NOT NULL AND between_them < 8) AS hits, count(*) FILTER (p IS NULL OR between_them >= 8) AS misses FROM d GROUP BY event_type""",
     "store_lookups": f"""WITH {_TABLES}
 SELECT 'file by path' AS lookup, file_id AS id FROM files WHERE path = (SELECT min(path) FROM files) UNION ALL SELECT 'file', min(file_id) FROM files UNION ALL SELECT 'chunk', min(chunk_id) FROM chunk
 UNION ALL SELECT 'chunks without heading', chunk_id FROM chunk WHERE heading IS NULL UNION ALL SELECT 'node', min(id) FROM node UNION ALL SELECT 'node by ref', id FROM node WHERE ref_id = (SELECT min(ref_id) FROM node)

@@ -64,11 +64,11 @@ def readable_files(root: str) -> list[str]:
 
 
 def scan(spark: SparkSession, root: str, patterns: tuple[str, ...] = (), predicate: Callable[[str], bool] | None = None, hashed: bool = True) -> DataFrame:
-    """``FILES`` of a directory that all executors reach. The driver lists paths only; executors read. Unreadable files are left out."""
+    """``FILES`` of a directory that all executors reach. The driver lists paths only; executors read. Unreadable files are left out; those too large to be hashed have no hash."""
     paths = [(p,) for p in listed(root, patterns, predicate)]
     if not paths:
         return spark.createDataFrame([], FILES)
-    names = [f.split()[0] for f in FILES.split(", ")]
+    names, largest = [f.split()[0] for f in FILES.split(", ")], MAX_HASHED
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -76,7 +76,7 @@ def scan(spark: SparkSession, root: str, patterns: tuple[str, ...] = (), predica
             for path in b.column(0).to_pylist():
                 try:
                     s = os.stat(path)
-                    rows.append((hashlib.sha256(path.encode()).hexdigest(), path, hash_file(path) if hashed else None, s.st_size, int(s.st_mtime * 1000), os.path.splitext(path)[1][1:].lower()))
+                    rows.append((hashlib.sha256(path.encode()).hexdigest(), path, hash_file(path) if hashed and s.st_size <= largest else None, s.st_size, int(s.st_mtime * 1000), os.path.splitext(path)[1][1:].lower()))
                 except (OSError, HashError):
                     continue
             if rows:
