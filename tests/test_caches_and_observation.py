@@ -86,4 +86,4 @@ def test_watched_directory_is_indexed(spark, tmp_path):
     for _ in range(2):
         watch.index_changes(store, str(root), HashingEmbedder(8), f"file://{tmp_path}/check", done=reports.append, once=True).awaitTermination(90)
         (root / "b.txt").write_text("two text")
-    assert [(r.indexed, r.skipped) for r in reports] == [(1, 0), (1, 1)] and store.chunks.count() == 2
+    assert [(r.indexed, r.skipped) for r in reports] == [(1, 0), (1, 0)] and store.chunks.count() == 2  # each batch by itself
