@@ -143,7 +143,8 @@ def changes(before: DataFrame, after: DataFrame) -> DataFrame:
     """(event_type, path, old_path, hash) between two scans: Created, Modified, Deleted, Renamed.
 
     A file that is gone and one that is new with the same hash are a rename; of several candidates
-    the first by path on either side are matched one to one.
+    the first by path on either side are matched one to one. Files without a hash are no renames, and
+    don't meet in one task.
     """
     from pyspark.sql import Window as W
 
@@ -151,8 +152,8 @@ def changes(before: DataFrame, after: DataFrame) -> DataFrame:
     a = after.select(F.col("path").alias("q"), F.col("hash").alias("ah"))
     both = b.join(a, F.col("p") == F.col("q"), "full_outer")
     modified = both.where(F.col("p").isNotNull() & F.col("q").isNotNull() & ~F.col("bh").eqNullSafe(F.col("ah"))).select(F.lit("Modified").alias("event_type"), F.col("q").alias("path"), F.lit(None).cast("string").alias("old_path"), F.col("ah").alias("hash"))
-    gone = both.where(F.col("q").isNull()).select("p", F.col("bh").alias("h"), F.row_number().over(W.partitionBy("bh").orderBy("p")).alias("n"))
-    new = both.where(F.col("p").isNull()).select("q", F.col("ah").alias("h"), F.row_number().over(W.partitionBy("ah").orderBy("q")).alias("n"))
+    gone = both.where(F.col("q").isNull()).select("p", F.col("bh").alias("h"), F.row_number().over(W.partitionBy("bh", F.when(F.col("bh").isNull(), F.col("p"))).orderBy("p")).alias("n"))
+    new = both.where(F.col("p").isNull()).select("q", F.col("ah").alias("h"), F.row_number().over(W.partitionBy("ah", F.when(F.col("ah").isNull(), F.col("q"))).orderBy("q")).alias("n"))
     pairs = gone.join(new, ["h", "n"], "full_outer")
     kind = F.when(F.col("p").isNull(), "Created").when(F.col("q").isNull(), "Deleted").otherwise("Renamed")
     rest = pairs.select(kind.alias("event_type"), F.coalesce("q", "p").alias("path"), F.when(F.col("p").isNotNull() & F.col("q").isNotNull(), F.col("p")).alias("old_path"), F.col("h").alias("hash"))
