@@ -49,6 +49,8 @@ RATIO, NAME_RATIO, SIGN_RATIO = 25, 100, 3
 ESTABLISHED, COMMON_SHAPE = 2e-5, 1e-4
 #: How many times as frequent a shape must be as the odd one that a word has.
 SHAPE_RATIO = 50
+#: Characters of a word at most; longer tokens, such as addresses and encoded data, are no words and have no wrong characters.
+LONGEST = 64
 #: Nonblank lines from either edge of a page that may be running.
 EDGE = 2
 
@@ -353,7 +355,7 @@ def fit_lines(documents: list[tuple[list[str | None], str | None]]) -> LineModel
 _STRIP = ".,;:!?()[]\"“”«»…"
 _LIGATURES = {0xFB00: "ff", 0xFB01: "fi", 0xFB02: "fl", 0xFB03: "ffi", 0xFB04: "ffl"}
 #: The last token of a line that ends with a hyphen.
-_BROKEN = re.compile(rf"(\S*[{HYPHENS}])[^\S\n]*$", re.M)
+_BROKEN = re.compile(rf"(?<!\S)(\S*[{HYPHENS}])[^\S\n]*$", re.M)
 
 
 class _Cores(dict):
@@ -446,6 +448,9 @@ class Lexicon:
 
     def asks(self, word: str) -> Iterator[str]:
         """The keys of the counts that judging and repairing a word may need: ``w`` with a word, ``s`` with a shape."""
+        if len(word) > LONGEST:
+            yield "w" + word
+            return
         for w in (word, *_options(word)):
             yield from ("w" + x for x in spellings(w))
         if any(c.isdigit() or c in SIGNS for c in word):
@@ -454,7 +459,7 @@ class Lexicon:
 
     def misread_at(self, word: str) -> int | None:
         """Where a word has a wrong character, or None."""
-        if len(word) < 2:
+        if not 2 <= len(word) <= LONGEST:
             return None
         own = max(1, self.count(word))
         if (m := FOREIGN.search(word)) and not re.search(r"[/@]\S*\.\w|://", word):
@@ -551,6 +556,8 @@ def verdicts(words: DataFrame, shapes: DataFrame, total: int) -> DataFrame:
             form, of = [], []
             odd = []
             for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if len(w) > LONGEST:
+                    continue
                 if n >= RATIO:
                     forms = set(misread_forms(w)) - {w}
                     form += forms
@@ -666,7 +673,7 @@ _AT_EDGE = np.array([f[0] != "inner" for f in CODES] + [False])
 def _asked(pages: list[str | None], codes: list[list[int]], sound: dict[str, int]) -> tuple[list[str], list[str]]:
     """The words of which the document must know whether they are misread, and the keys of what it must know about words that lines may join to."""
     text = "\n".join(p or "" for p in pages)
-    words = {c for t in set(text.split()) if (c := _core(t)) not in sound and len(c) > 1}
+    words = {c for t in set(text.split()) if 1 < len(c := _core(t)) <= LONGEST and c not in sound}
     keys: set[str] = set()
     if _BROKEN.search(text):
         edges = set(np.flatnonzero(_AT_EDGE[[c for page in codes for c in page]]).tolist())

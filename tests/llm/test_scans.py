@@ -171,3 +171,12 @@ def test_decoding_many_pages_is_decoding_each():
         for b in reversed(back):
             out.append(int(b[out[-1]]))
         assert out[::-1] == states.tolist()
+
+
+def test_tokens_that_are_no_words_are_left_alone(spark):
+    """A page of one very long token, and words broken over lines that make one, end soon and have no noise."""
+    blob = "aB3/x+c1l0rn" * 30_000
+    rows = [("blob", None, [blob, f"{blob}-\n{blob} and more words"], "x", 1), ("line", None, ["word, " * 50_000 + "7"], "x", 1)]
+    reader = S.fit(S.documents(spark.createDataFrame(rows, KIND)))
+    assert {x.kind for x in S.noise(reader).collect()} <= {"split"}
+    assert S.Lexicon({}, {}, 1).misread_at("a~" * 40) is None
